@@ -1,7 +1,7 @@
-"""Toxicity: logistic regression on word presence, regularised by counterfactual swaps of identity terms.
+"""Toxicity: logistic regression on presence of words and word beginnings, regularised by counterfactual swaps of identity terms.
 
-Training takes at most ``train_docs`` labelled documents (lowest hash of doc_id and text), whose distinct lower-cased words
-are the features; copies (same three lowest word hashes) count once. Of the words whose chi-square against the label exceeds
+Training takes at most ``train_docs`` labelled documents (lowest hash of doc_id), whose distinct lower-cased words and
+their first 3 to 6 characters (for inflected forms) are the features; copies (same three lowest word hashes) count once. Of the features whose chi-square against the label exceeds
 ``min_chi`` (chance words of a large vocabulary stay below) the ``n_features`` with the largest are kept, and all identity terms. Labels may be wrong: after a first fit, documents whose label the fit
 holds for ``doubt`` unlikely are left out and the weights are fitted anew. Every labelled sentence with an identity term is paired with copies in which the term is swapped for the others of
 its group; the loss adds ``swap_penalty`` times the mean squared change of the logit over all pairs, so that mentions of a
@@ -47,6 +47,10 @@ GROUPS = [x.split() for x in IDENTITY]
 GROUP_OF = {w: g for g in GROUPS for w in g}
 
 
+#: A feature is written as its length, a colon and the beginning; 0 stands for the whole word.
+LENGTHS = (0, 3, 4, 5, 6)
+
+
 def words_of(text: str | None) -> set[str]:
     return set(WORDS.findall((text or "").lower()))
 
@@ -87,8 +91,14 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": b["id"], "toxic": b["toxic"], "copy": low, "words": words, "swaps": [swaps_of(t) for t in b["text"]]})
 
 
-def train(docs: DataFrame, labels: DataFrame, train_docs: int = 20_000, n_features: int = 512, min_docs: int = 5, min_chi: float = 30.0, doubt: float = 0.15, **fit) -> dict:
-    """Labels (doc_id, toxic) are all for training -> {"bias": float, "weights": {word: float}}."""
+def _beginnings(n: int):
+    """The features of length n of the column words."""
+    long = F.filter("words", lambda w: F.length(w) >= n)
+    return F.transform(long, lambda w: F.concat(F.lit(f"{n}:"), F.substring(w, 1, n) if n else w))
+
+
+def train(docs: DataFrame, labels: DataFrame, train_docs: int = 12_000, n_features: int = 512, min_docs: int = 5, min_chi: float = 30.0, doubt: float = 0.15, **fit) -> dict:
+    """Labels (doc_id, toxic) are all for training -> {"bias": float, "weights": {length: {beginning: float}}}."""
     marks = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     dealt = F.xxhash64("doc_id", F.lit("toxicity"))
     marks = marks.orderBy(dealt, "doc_id").limit(train_docs)  # the bound of the broadcast
@@ -105,8 +115,10 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = 20_000, n_featur
     b, c = df - a, bad - a
     d = n - bad - b
     chi = n * (a * d - b * c) * (a * d - b * c) / ((a + b) * (c + d) * float(bad) * float(n - bad))
+    pieces = F.concat(*(_beginnings(n) for n in LENGTHS))
+    rows = rows.withColumn("features", F.array_distinct(pieces))
     top = (
-        rows.select("toxic", F.explode("words").alias("word"))
+        rows.select("toxic", F.explode("features").alias("word"))
         .groupBy("word")
         .agg(F.count("*").cast("double").alias("df"), F.sum("toxic").cast("double").alias("bad"))
         .where((F.col("df") >= min_docs) & (F.col("df") < n))
@@ -114,16 +126,16 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = 20_000, n_featur
         .orderBy(chi.desc(), "word")
         .limit(n_features)
     )
-    vocabulary = list(dict.fromkeys([r["word"] for r in top.collect()] + [w for g in GROUPS for w in g]))
+    vocabulary = list(dict.fromkeys([r["word"] for r in top.collect()] + [f"0:{w}" for g in GROUPS for w in g]))
     place = {w: i for i, w in enumerate(vocabulary)}
     # At most train_docs rows with words of the vocabulary only.
     known = F.array(*(F.lit(w) for w in vocabulary))
-    kept = rows.orderBy("id").select("toxic", F.array_intersect("words", known).alias("words"), "swaps").collect()
+    kept = rows.orderBy("id").select("toxic", F.array_intersect("features", known).alias("features"), "swaps").collect()
     x, y = np.zeros((len(kept), len(vocabulary)), dtype=np.float64), np.array([float(r["toxic"] > 0) for r in kept])
     changes = []
     for i, r in enumerate(kept):
-        x[i, [place[w] for w in r["words"]]] = 1
-        changes += [(place[w], place[v]) for w in r["swaps"] for v in GROUP_OF[w] if v != w]
+        x[i, [place[w] for w in r["features"]]] = 1
+        changes += [(place[f"0:{w}"], place[f"0:{v}"]) for w in r["swaps"] for v in GROUP_OF[w] if v != w]
     pairs: dict[tuple[int, int], int] = {}
     for p in changes:
         pairs[p] = pairs.get(p, 0) + 1
@@ -134,12 +146,19 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = 20_000, n_featur
     held = np.abs(y - 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))) < 1 - doubt
     if 0 < y[held].sum() < held.sum():
         w = fit_weights(x[held], y[held], swaps, **fit)
-    return {"bias": float(w[-1]), "weights": {v: float(w[i]) for v, i in place.items()}}
+    weights: dict[int, dict[str, float]] = {n: {} for n in LENGTHS}
+    for v, i in place.items():
+        length, _, piece = v.partition(":")
+        weights[int(length)][piece] = float(w[i])
+    return {"bias": float(w[-1]), "weights": weights}
 
 
 def score_text(text: str | None, model: dict) -> float:
-    weights = model["weights"]
-    z = model["bias"] + math.fsum(weights[w] for w in weights.keys() & words_of(text))
+    words, found = words_of(text), []
+    for n, weights in model["weights"].items():
+        if weights:
+            found += [weights[w] for w in weights.keys() & ({w[:n] for w in words if len(w) >= n} if n else words)]
+    z = model["bias"] + math.fsum(found)
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
