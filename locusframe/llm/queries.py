@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality, toxicity, urls
+from . import chat, decontaminate, mixing, quality, toxicity, urls
 
 QUERIES = {
     "op1_perspective_rotation": chat.op1_perspective_rotation,
     "op6_source_mixing": mixing.op6_source_mixing,
     "op7_risk_controlled_quality": quality.op7_risk_controlled_quality,
     "op8_url_trees": urls.op8_url_trees,
+    "op9_benchmark_leaks": decontaminate.op9_benchmark_leaks,
     "op10_counterfactual_toxicity": toxicity.op10_counterfactual_toxicity,
 }
 ORACLES = {"op1_perspective_rotation": chat.OP1_SQL}
