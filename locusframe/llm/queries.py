@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, quality, relz, suffix, toxicity, urls
+from . import chat, decontaminate, mixing, ordermin, quality, relz, suffix, toxicity, urls
 
 QUERIES = {
     "op1_perspective_rotation": chat.op1_perspective_rotation,
     "op2_suffix_dedup": suffix.op2_suffix_dedup,
     "op4_relative_lempel_ziv": relz.op4_relative_lempel_ziv,
+    "op5_order_minhash": ordermin.op5_order_minhash,
     "op6_source_mixing": mixing.op6_source_mixing,
     "op7_risk_controlled_quality": quality.op7_risk_controlled_quality,
     "op8_url_trees": urls.op8_url_trees,
