@@ -154,21 +154,16 @@ def leaks(
     passage_words: int = 64, shard_words: int = 2_000_000,
 ) -> DataFrame:
     """(doc_id, text), (item_id, text) -> one row per document and item that it holds: doc_id, item_id, question_overlap, answer_overlap, score."""
-    spark = docs.sparkSession
-    items = benchmark.where("text is not null").select("item_id", "text")
-    words = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(1, math.ceil(words / 5 / shard_words))
     texts, found = documents(docs), []
     schema = "doc_id long, item_id long, question_overlap double, answer_overlap double, score double"
-    for shard in range(shards):
-        # A shard of the items, of at most about shard_words words, is what the driver holds at once.
-        own = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard).collect()]
-        index = spark.sparkContext.broadcast(Index(sorted(own, key=repr), threshold))
+    for index in indexes(benchmark, threshold, shard_words):
 
         def search(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             for b in batches:
-                rows = [(d, *x) for d, t in zip(b["doc_id"], b["text"], strict=True) for x in index.value.verified(t, min_question, min_answer, passage_words)]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "question_overlap", "answer_overlap", "score"])
+                rows = [(d, *x) for d, t in zip(b["doc_id"].tolist(), b["text"], strict=True) for x in index.value.verified(t, min_question, min_answer, passage_words)]
+                out = pd.DataFrame(rows, columns=["doc_id", "item_id", "question_overlap", "answer_overlap", "score"])
+                out[["doc_id", "item_id"]] = out[["doc_id", "item_id"]].astype("Int64")
+                yield out
 
         found.append(texts.mapInPandas(search, schema))
     out = found[0]
@@ -177,5 +172,35 @@ def leaks(
     return out
 
 
+def indexes(benchmark: DataFrame, threshold: float, shard_words: int) -> list:
+    """Broadcast indexes of all items, each of at most about shard_words words: what the driver and a worker hold at once."""
+    spark = benchmark.sparkSession
+    items = benchmark.where("text is not null").select("item_id", "text")
+    words = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    shards = max(1, math.ceil(words / 5 / shard_words))
+    out = []
+    for shard in range(shards):
+        own = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard).collect()]
+        out.append(spark.sparkContext.broadcast(Index(sorted(own, key=repr), threshold)))
+    return out
+
+
+def drop_leaks(
+    docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, min_question: float = 0.5, min_answer: float = 0.5,
+    passage_words: int = 64, shard_words: int = 2_000_000,
+) -> DataFrame:
+    """The rows of docs, with all columns, that hold no item."""
+    def cleaner(index):
+        @F.pandas_udf("boolean")
+        def clean(texts: pd.Series) -> pd.Series:
+            return pd.Series([not index.value.verified(t, min_question, min_answer, passage_words) for t in texts], dtype="bool")
+
+        return clean
+
+    for index in indexes(benchmark, threshold, shard_words):
+        docs = docs.where(cleaner(index)(F.col("text")))
+    return docs
+
+
 def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

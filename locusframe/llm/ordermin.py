@@ -140,20 +140,21 @@ def components(links: DataFrame, what: str) -> DataFrame:
     return roots
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, many: int = 48, few: int = 2, hubs: int = 3) -> DataFrame:
-    """(doc_id, text) -> one row per document: doc_id, class_id (the class's least doc_id), class_size, links (of its text), content."""
+def near_classes(docs: DataFrame, similarity: float = 0.8, many: int = 48, few: int = 2, hubs: int = 3) -> DataFrame:
+    """(doc_id, text) -> one row per document: doc, version (repeats.texts), class_doc, class_version (the class's least), class_size, links."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for doc, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc, version, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 words = word_names(body)
-                rows.append((doc, content_name(words), len(words), sketches(words, many, few)))
-            columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())], strict=True)], names=["doc", "content", "words", "sketch"])
+                rows.append((doc, version, content_name(words), len(words), sketches(words, many, few)))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["doc", "version", "content", "words", "sketch"])
 
     keyed = texts(docs)
-    all_rows = materialize(keyed.select("doc", "body").mapInArrow(sketched, "doc long, content long, words long, sketch array<long>"), "near-sketches")
+    all_rows = materialize(keyed.mapInArrow(sketched, "doc long, version long, content long, words long, sketch array<long>"), "near-sketches")
     contents = all_rows.groupBy("content").agg(F.min("doc").alias("doc"), F.first("words").alias("words"), F.first("sketch").alias("sketch"))
     contents = materialize(contents, "near-contents")
     members = materialize(contents.select("content", "words", F.explode("sketch").alias("bucket")), "near-members")
@@ -214,16 +215,31 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, many: int = 48, fe
     rooted = rooted.join(degree, "content", "left").withColumn("root", F.coalesce("root", "content"))
     rooted = materialize(rooted, "near-rooted")
     counts = all_rows.groupBy("content").agg(F.count("*").alias("copies"))
-    of_class = rooted.join(counts, "content").groupBy("root").agg(F.min("least").alias("class_doc"), F.sum("copies").alias("class_size"))
-    of_content = materialize(rooted.join(materialize(of_class, "near-classes"), "root").select("content", "class_doc", "class_size", "links"), "near-of-content")
+    one = F.min(F.struct("least", "version")).alias("one")
+    versions = all_rows.groupBy("content", F.col("doc").alias("least")).agg(F.min("version").alias("version"))
+    of_class = rooted.join(versions, ["content", "least"]).join(counts, "content").groupBy("root").agg(one, F.sum("copies").alias("class_size"))
+    of_class = materialize(of_class.select("root", "one.*", "class_size").toDF("root", "class_doc", "class_version", "class_size"), "near-classes")
+    of_content = rooted.join(of_class, "root").select("content", "class_doc", "class_version", "class_size", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    return all_rows.select("doc", "version", "content").join(materialize(of_content, "near-of-content"), "content").drop("content")
 
-    def back(doc):
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, text) -> one row per document: doc_id, class_id (the class's least doc_id), class_size, links (of its text)."""
+
+    def id_of(doc: str):
         return F.when(F.col(doc) != -(2**63), F.col(doc))
 
-    return all_rows.select("doc", "content").join(of_content, "content").select(
-        back("doc").alias("doc_id"), back("class_doc").alias("class_id"), "class_size", F.coalesce("links", F.lit(0)).cast("long").alias("links"), "content"
-    )
+    classes = near_classes(docs, **options)
+    return classes.select(id_of("doc").alias("doc_id"), id_of("class_doc").alias("class_id"), "class_size", "links")
+
+
+def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, with all columns, that are the least doc_id of their class; of repeated rows one stays."""
+    kept = near_classes(docs, **options).select(F.col("class_doc").alias("doc"), F.col("class_version").alias("version")).distinct()
+    kept = materialize(kept, "near-kept")
+    keys = texts(docs.select("doc_id", "text", F.struct("*").alias("row")), "row").drop("body")
+    return keys.join(kept, ["doc", "version"]).dropDuplicates(["doc", "version"]).select("row.*")
 
 
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("content")
+    return near_duplicates(table(spark, sf_dir, "documents"))

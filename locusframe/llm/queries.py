@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, ordermin, quality, relz, suffix, toxicity, urls
+from . import chat, decontaminate, mixing, ordermin, pii, quality, relz, suffix, toxicity, urls
 
 QUERIES = {
     "op1_perspective_rotation": chat.op1_perspective_rotation,
     "op2_suffix_dedup": suffix.op2_suffix_dedup,
+    "op3_semi_markov_pii": pii.op3_semi_markov_pii,
     "op4_relative_lempel_ziv": relz.op4_relative_lempel_ziv,
     "op5_order_minhash": ordermin.op5_order_minhash,
     "op6_source_mixing": mixing.op6_source_mixing,

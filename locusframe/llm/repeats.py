@@ -31,11 +31,11 @@ TOKEN = -1
 BATCH = 1 << 20
 
 
-def texts(docs: DataFrame) -> DataFrame:
-    """(doc, version, body): null doc_id comes before all others; rows of one doc_id with different texts differ in version."""
+def texts(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc, version, body, *more): null doc_id comes before all others; rows of one doc_id with different texts differ in version."""
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     first = F.lit(-(2**63)).cast("long")
-    return docs.select(F.coalesce("doc_id", first).alias("doc"), F.crc32(body).alias("version"), body.alias("body"))
+    return docs.select(F.coalesce("doc_id", first).alias("doc"), F.crc32(body).alias("version"), body.alias("body"), *more)
 
 
 def _records(columns: list[np.ndarray], schema: str) -> pa.RecordBatch:

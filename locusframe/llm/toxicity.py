@@ -162,15 +162,15 @@ def score_text(text: str | None, model: dict) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
-    """Adds the column score."""
-    model_b = docs.sparkSession.sparkContext.broadcast(model)  # at most n_features words and the identity terms
+def scorer(spark: SparkSession, model: dict):
+    """A function from a text column to its score."""
+    shared = spark.sparkContext.broadcast(model)  # at most n_features features and the identity terms
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series([score_text(t, model_b.value) for t in texts], dtype="float64")
+        return pd.Series([score_text(t, shared.value) for t in texts], dtype="float64")
 
-    return docs.withColumn("score", scored(F.coalesce(F.col(text), F.lit(""))))
+    return scored
 
 
 def held_out(doc_id):
@@ -180,10 +180,17 @@ def held_out(doc_id):
 def score_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, score, predicted; labels of held-out documents are not learnt from."""
     model = train(docs, labels.where(~held_out(F.col("doc_id"))), **options)
-    return score(documents(docs), model).select(
+    scored = documents(docs).withColumn("score", scorer(docs.sparkSession, model)("text"))
+    return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
     )
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5, **options) -> DataFrame:
+    """The rows of docs, with all columns, that score below limit."""
+    model = train(docs, labels.where(~held_out(F.col("doc_id"))), **options)
+    return docs.where(scorer(docs.sparkSession, model)(F.col("text")) < limit)
+
+
 def op10_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
