@@ -126,7 +126,8 @@ def input_errors(run):
         for mark in ("GFF line", "BED line", "GFF parent hierarchy", "contig is not in", "invalid GFF record", "not sorted", "CSI limit"):
             if mark in text:
                 # Traces of Python workers quote the source line before the message.
-                message = text[text.rindex(mark) :].split("\n")[0]
+                at = text.rindex(mark) if mark.startswith("GFF parent") else text.index(mark)
+                message = text[at:].split("\n")[0]
                 raise InputError(message) from e
         raise
 
