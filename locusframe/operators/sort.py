@@ -112,7 +112,7 @@ def sort_gff(lines: DataFrame) -> DataFrame:
 
 def sorted_lines(spark: SparkSession, path) -> DataFrame:
     lines = read_lines(spark, path)
-    return sort_bed(lines) if source_format(path) == BED else sort_gff(lines)
+    return input_errors(lambda: sort_bed(lines) if source_format(path) == BED else sort_gff(lines))
 
 
 def input_errors(run):
