@@ -127,11 +127,11 @@ def span_features(tokens: list, i: int, j: int) -> list[int]:
     n = len(digits)
     small = all(len(t) <= 3 and int(t) <= 255 for _, _, t in tokens[i:j] if t[0].isdigit() and t.isascii())
     before = tokens[i - 1][2].lower() if i else ""
-    glued = "l" * (i > 0 and tokens[i - 1][1] == tokens[i][0] and tokens[i - 1][2][-1].isalnum()) + "r" * (j < len(tokens) and tokens[j][0] == tokens[j - 1][1] and tokens[j][2][0].isalnum())
+    close = "l" * (i > 0 and tokens[i - 1][1] == tokens[i][0]) + "r" * (j < len(tokens) and tokens[j][0] == tokens[j - 1][1])
     more = "d" * (j < len(tokens) and tokens[j][2][0].isdigit()) + "b" * (i > 0 and tokens[i - 1][2][0].isdigit())
     kinds = "".join(sorted(set(re.sub(r"[0-9]", "9", shape))))
     names = [
-        "bias", f"shape {re.sub(r'w+', 'w', shape)}" if len(shape) < 24 else "shape long", f"groups {''.join(groups)}", f"digits {min(n, 20)}", f"kinds {kinds}", f"glued {glued}", f"more {more}",
+        "bias", f"shape {re.sub(r'w+', 'w', shape)}" if len(shape) < 24 else "shape long", f"groups {''.join(groups)}", f"digits {min(n, 20)}", f"kinds {kinds}", f"close {close}", f"more {more}",
         f"ends {shape[0]}{shape[-1]}", f"at {('@' in shape) + 2 * ('A' in shape)} dot {('.' in shape) + 2 * ('D' in shape)} end {shape[-1] == 'w'}",
     ]
     if 14 <= n <= 19:
@@ -158,11 +158,26 @@ def segments(tokens: list) -> list[tuple[int, int, list[int]]]:
             if e - s > MAX_TOKEN or t in ",;!?\"" or (j - 1 > i and s - tokens[j - 2][1] > 2):
                 break
             any_trigger |= trigger[j - 1]
-            if any_trigger and t[0].isalnum():
+            if any_trigger and t[0].isalnum() and not glued(tokens, i, j):
                 out.append((i, j, span_features(tokens, i, j)))
     return out
 
 
+def glued(tokens: list, i: int, j: int) -> bool:
+    """Is the segment part of a longer run of letters and digits?"""
+    left = i > 0 and tokens[i - 1][1] == tokens[i][0] and tokens[i - 1][2][-1].isalnum() and tokens[i][2][0].isalnum()
+    right = j < len(tokens) and tokens[j][0] == tokens[j - 1][1] and tokens[j][2][0].isalnum()
+    return left or right
+
+
+def segment_scores(tokens: list, i: int, j: int, total: np.ndarray) -> np.ndarray:
+    """total with the kinds that the segment can't be shut out: an email has letters, the others have none."""
+    letters = any(t[0].isalpha() for _, _, t in tokens[i:j])
+    out = total.copy()
+    out[slice(1, None) if letters else slice(0, 1)] = -np.inf
+    return out
+
+
 def decode(n: int, scores: dict[tuple[int, int], np.ndarray]) -> list[tuple[int, int, int]]:
     """The best cover of n tokens by outside tokens (score 0) and entities (i, j, kind)."""
     best, back = [0.0] + [-math.inf] * n, [None] * (n + 1)
@@ -267,13 +282,14 @@ def trained(many: int = 600, seed: int = 11, rounds: int = 14, rate: float = 0.3
         if not segs:
             continue
         features = np.array([f + [DIM] * (width - len(f)) for *_, f in segs])
-        data.append((len(tokens), [(i, j) for i, j, _ in segs], features, gold))
+        shut = np.array([segment_scores(tokens, i, j, np.zeros(4)) for i, j, _ in segs])
+        data.append((len(tokens), [(i, j) for i, j, _ in segs], features, shut, gold))
     order = random.Random(seed)
     for _ in range(rounds):
         order.shuffle(data)
-        for n, spans, features, gold in data:
+        for n, spans, features, shut, gold in data:
             wide = np.vstack([w, np.zeros((1, 4))])
-            scores = wide[features].sum(axis=1)
+            scores = wide[features].sum(axis=1) + shut
             chance = expected(n, dict(zip(spans, scores, strict=True)))
             error = -np.array([chance[x] for x in spans])
             for x, k in gold.items():
@@ -313,7 +329,7 @@ def field_spans(text: str, weights: np.ndarray) -> list[tuple[int, int, str]]:
         segs = segments(tokens)
         if not segs:
             continue
-        scores = {(i, j): weights[f].sum(axis=0) for i, j, f in segs}
+        scores = {(i, j): segment_scores(tokens, i, j, weights[f].sum(axis=0)) for i, j, f in segs}
         for i, j, k in decode(len(tokens), scores):
             out.append((tokens[i][0], tokens[j - 1][1], KINDS[k]))
             done = max(done, tokens[j - 1][1])
