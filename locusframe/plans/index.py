@@ -23,7 +23,7 @@ from ..sources.coordinate_index import dictionary_fingerprint, discover, read_co
 from ..sources.formats import BED, source_format
 from ..sources.lines import read_lines, records_only
 from ..sources.records import parse
-from ..staging import materialize
+from ..staging import materialize, release
 
 VERSION = (1, 0)
 TABLES = ["records", "references", "spans", "postings", "meta"]
@@ -133,13 +133,13 @@ def build_index(
         references = spark.createDataFrame(list(enumerate(found.names)), "reference_id int, name string")
     else:
         references = materialize(s.references_of(records), "index-references")
-    observed = s.observe(records, F.broadcast(references), tags, case_sensitive)  # one row a contig
+    observed = s.observe(records, references, tags, case_sensitive)
     observed = phase("merge", lambda: materialize(observed, "index-observed"))
     spans = phase("spans", lambda: materialize(s.spans_of(observed, span_block_size), "index-spans"))
     postings = phase("postings", lambda: materialize(s.postings_of(observed, spans), "index-postings"))
     counts = st.build_counts(observed, spans, postings).first().asDict()
     forms = st.structural_totals(spans, postings).first().asDict()
-    names = [r["name"] for r in references.orderBy("reference_id").collect()]  # one row a contig
+    names = [r["name"] for r in references.orderBy("reference_id").toLocalIterator()]  # one row a contig
     meta = IndexMetadata(
         *VERSION, fmt, case_sensitive, tags, sha256_file(source), sha256_file(coordinate_index) if coordinate_index else "", dictionary_fingerprint(names),
         counts["distinct_terms"], counts["unique_spans"], counts["postings"], forms["span_blocks"], len(names), span_block_size,
@@ -157,6 +157,7 @@ def build_index(
         spark.createDataFrame([(json.dumps(meta.__dict__),)], "meta string").coalesce(1).write.mode("overwrite").parquet(f"{out}/meta")
 
     phase("serialize", write)
+    release(records, observed, spans, postings)
     local = str(output)
     total, post, span = _size(local), _size(f"{local}/postings"), _size(f"{local}/spans")
     if progress:
@@ -253,7 +254,7 @@ class IndexedSource(IndexReader):
         if matcher.empty:
             return q.shaped(self.records.limit(0))
         wanted = q.requested_spans(self.postings, self.spans, self.references, matcher, contigs)
-        return q.shaped(self._verified(q.candidates(self.records, F.broadcast(self.references), wanted), matcher))  # one row a contig
+        return q.shaped(self._verified(q.candidates(self.records, self.references, wanted), matcher))
 
     def query_with_stats(self, term: str, *, match: str = "exact", contigs: Iterable[str] | None = None) -> tuple[DataFrame, q.QueryStats]:
         """Candidates are the records of the requested spans; there are no file chunks, so those counts stay 0."""
@@ -265,7 +266,7 @@ class IndexedSource(IndexReader):
         n = wanted.agg(F.count("*").alias("spans"), F.count_distinct("block_id").alias("blocks")).first()
         if not n["spans"]:
             return rows, q.QueryStats()
-        found = q.candidates(self.records, F.broadcast(self.references), wanted)
+        found = q.candidates(self.records, self.references, wanted)
         stats = q.QueryStats(n["spans"], n["blocks"], n["spans"], unique_candidate_records=found.count(), matching_records=rows.count())
         return rows, stats
 
