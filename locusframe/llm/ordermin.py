@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import U, mix, names_of, stretches
-from .common import materialize, table
+from .common import materialize, release, table
 from .relz import word_names
 from .repeats import texts
 
@@ -123,6 +123,7 @@ def components(links: DataFrame, what: str) -> DataFrame:
     moves = []
     links = materialize(links.where("a <> b").select("a", "b"), f"{what}-links")
     while links.limit(1).count():
+        given = links
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         move = both.groupBy(F.col("a").alias("v")).agg(F.least(F.first("a"), F.min("b")).alias("to"))
         move = materialize(move, f"{what}-moves")
@@ -131,12 +132,14 @@ def components(links: DataFrame, what: str) -> DataFrame:
         # The link from a vertex to its new place stays, so that nothing comes apart.
         links = links.join(a, "a").join(b, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         links = materialize(links.where("a <> b").distinct(), f"{what}-links")
+        release(given)
     if not moves:
         return links.selectExpr("a AS v", "b AS root")
     roots = moves[-1].toDF("v", "root")
     for move in reversed(moves[:-1]):
         later = roots.toDF("to", "root")
         roots = materialize(move.join(later, "to", "left").select("v", F.coalesce("root", "to").alias("root")), f"{what}-roots")
+    release(*moves[:-1])
     return roots
 
 

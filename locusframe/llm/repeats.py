@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import U, anchors, doubled, lengths_to, mix, stretches
-from .common import materialize
+from .common import materialize, release
 
 ROWS = "name long, context long, doc long, version long, start long, shape int"
 MARKS = "doc long, version long, start long, shape int, repeat boolean, earlier long"
@@ -129,12 +129,15 @@ def _ranked(within: bool):
 
 
 def _round(rows: DataFrame, within: bool, what: str) -> DataFrame:
-    """Rows (ROWS, known, earlier) -> marks, written."""
+    """Rows (ROWS, known, earlier) -> marks, written; the rows themselves are needed no more."""
+    rows = materialize(rows, f"{what}-rows")
     known = rows.where("known = 1").selectExpr("doc", "version", "start", "shape", "true AS repeat", "earlier")
     rest = rows.where("known = 0").drop("known", "earlier")
     order = ["name", "context", "doc", "start"]
-    marks = rest.repartition("name").sortWithinPartitions(*order).mapInArrow(_ranked(within), MARKS)
-    return materialize(marks, what), known
+    ranked = rest.repartition("name").sortWithinPartitions(*order).mapInArrow(_ranked(within), MARKS)
+    marks = materialize(ranked.unionByName(known), f"{what}-marks")
+    release(rows)
+    return marks
 
 
 def _emit(within: bool, of: Callable):
@@ -206,9 +209,8 @@ def find_repeats(docs: DataFrame, symbols: Callable, k: int, window: int, chunks
     rows = docs.mapInArrow(_emit(within, first), kind)
     found = []
     for i, chunk in enumerate([*chunks, None]):
-        rows = materialize(rows, f"{what}-rows-{i}")
-        marks, known = _round(rows, within, f"{what}-marks-{i}")
-        found += [known, marks.where("repeat")]
+        marks = _round(rows, within, f"{what}-{i}")
+        found.append(marks.where("repeat"))
         if chunk is None:
             break
 
