@@ -117,11 +117,12 @@ def mix_sources(
         .withColumn("length", F.ceil(F.col("shard_size") / F.greatest(F.round(F.col("shard_size") / block_tokens), F.lit(1))))
         .withColumn("blocks", F.when(F.col("length") > 0, F.ceil(F.col("shard_size") / F.col("length"))).otherwise(0))
         # target * (shard_size / source_size) tokens at shard_size / blocks tokens a block
-        .withColumn("votes", F.when(F.col("blocks") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0))
+        # in millionths, as whole numbers, so that sums don't depend on their order
+        .withColumn("votes", F.when(F.col("blocks") > 0, F.round(F.col("target") * F.col("blocks") / F.col("source_size") * 1e6)).otherwise(0).cast("long"))
     )
     shards = materialize(shards, "mix-shards")
     votes = shards.groupBy("key").agg(F.sum("votes").alias("all_votes"))
-    seats = votes.crossJoin(votes.agg(F.round(F.sum("all_votes")).cast("long").alias("seats")))
+    seats = votes.withColumn("seats", F.round(F.sum("all_votes").over(Window.partitionBy(F.lit(0))) / 1e6).cast("long"))  # one row a source
     per_source = apportion(seats, [], "key", "all_votes", "seats").select("key", F.col("q").alias("source_seats"))
     quotas = apportion(shards.join(per_source, "key"), ["key"], "shard", "votes", "source_seats").select(
         "key",
@@ -159,3 +160,74 @@ def mix_sources(
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
+
+
+def _number_sql(text: str) -> str:
+    return f"CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT)"
+
+
+def _apportion_sql(name: str, parties: str, within: str, party: str, votes: str, seats: str) -> str:
+    """CTEs that end in {name}: the parties with q, as in apportion()."""
+    over = f"PARTITION BY {within}" if within else ""
+    keys = ", ".join(filter(None, [within, party]))
+    return f"""
+{name}_share AS (SELECT *, CASE WHEN sum({votes}) OVER ({over}) > 0 THEN CAST({votes} * {seats} AS DOUBLE) / CAST(sum({votes}) OVER ({over}) AS DOUBLE) ELSE 0.0 END AS share FROM {parties}),
+{name}_first AS (SELECT *, CAST(floor(share + 0.5) AS BIGINT) AS first FROM {name}_share),
+{name}_short AS (SELECT *, CAST({seats} - sum(first) OVER ({over}) AS BIGINT) AS short, count(*) OVER ({over}) AS parties FROM {name}_first),
+{name}_steps AS (
+  SELECT {keys}, short, first, k, CASE WHEN short > 0 THEN -share / (2 * (first + k) - 1) ELSE share / (2 * (first - k) + 1) END AS quotient
+  FROM {name}_short, unnest(range(1, CAST(ceil((abs(short) + parties) * share / greatest({seats}, 1)) AS BIGINT) + 2)) AS t(k)
+  WHERE short <> 0 AND share > 0 AND (short > 0 OR k <= first)
+),
+{name}_ranked AS (SELECT *, row_number() OVER ({over} ORDER BY quotient, {party}, k) AS place FROM {name}_steps),
+{name}_change AS (SELECT {keys}, CAST(sum(sign(short)) AS BIGINT) AS change FROM {name}_ranked WHERE place <= abs(short) GROUP BY {keys}),
+{name} AS (SELECT s.*, first + coalesce(change, 0) AS q FROM {name}_short s LEFT JOIN {name}_change USING ({keys}))"""
+
+
+def _taken_sql(token: str) -> str:
+    def copies(block: str) -> str:
+        return f"CAST(floor(CAST(({block}) * quota + offset_ AS DOUBLE) / blocks) AS BIGINT)"
+
+    block = f"(({token}) // length_)"
+    return f"(length_ * {copies(block)} + ({copies(block + ' + 1')} - {copies(block)}) * (({token}) - {block} * length_))"
+
+
+OP6_SQL = rf"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce('s' || source, 'n') AS key, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         {_number_sql("'mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')")} AS order_, {_number_sql("'mix:shard:' || coalesce(CAST(doc_id AS VARCHAR), 'null')")} AS deal
+  FROM documents
+),
+sums AS (SELECT key, any_value(source) AS source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS docs FROM sized GROUP BY key),
+weighed AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM sums),
+ratios AS (SELECT *, CAST(3 * source_size AS DOUBLE) / weight AS ratio FROM weighed),
+levels AS (
+  SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY ratio, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+            / CAST(sum(weight) OVER (ORDER BY ratio, key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level
+  FROM ratios
+),
+sources AS (
+  SELECT key, source_size, least(CAST(3 * source_size AS DOUBLE), (SELECT level FROM levels WHERE level <= ratio ORDER BY ratio, key LIMIT 1) * weight) AS target,
+         CAST(ceil(docs / 1024.0) AS BIGINT) AS shards
+  FROM levels
+),
+dealt AS (SELECT doc_id, source, key, size, order_, source_size, target, deal % shards AS shard FROM sized JOIN sources USING (key)),
+sizes AS (SELECT key, shard, source_size, target, CAST(sum(size) AS BIGINT) AS shard_size FROM dealt GROUP BY ALL),
+lengths AS (SELECT *, CAST(ceil(CAST(shard_size AS DOUBLE) / greatest(round(CAST(shard_size AS DOUBLE) / 128), 1)) AS BIGINT) AS length_ FROM sizes),
+cut AS (SELECT *, CASE WHEN length_ > 0 THEN CAST(ceil(CAST(shard_size AS DOUBLE) / length_) AS BIGINT) ELSE 0 END AS blocks FROM lengths),
+shards AS (SELECT *, CASE WHEN blocks > 0 THEN CAST(round(target * blocks / source_size * 1e6) AS BIGINT) ELSE 0 END AS votes FROM cut),
+votes AS (SELECT key, CAST(sum(votes) AS BIGINT) AS all_votes FROM shards GROUP BY key),
+seats AS (SELECT *, CAST(round(CAST(sum(all_votes) OVER () AS DOUBLE) / 1e6) AS BIGINT) AS seats FROM votes),
+{_apportion_sql("per_source", "seats", "", "key", "all_votes", "seats")},
+seated AS (SELECT s.*, p.q AS source_seats FROM shards s JOIN per_source p USING (key)),
+{_apportion_sql("per_shard", "seated", "key", "shard", "votes", "source_seats")},
+quotas AS (
+  SELECT key, shard, length_, blocks, least(q, 3 * blocks) AS quota, {_number_sql("'mix:' || key || ':' || CAST(shard AS VARCHAR)")} % greatest(blocks, 1) AS offset_ FROM per_shard
+),
+placed AS (
+  SELECT *, CAST(sum(size) OVER (PARTITION BY key, shard ORDER BY order_, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop FROM dealt JOIN quotas USING (key, shard)
+)
+SELECT doc_id, size, source_size, target, CASE WHEN size > 0 AND blocks > 0 THEN {_taken_sql("stop")} - {_taken_sql("stop - size")} ELSE 0 END AS taken,
+       source, shard, blocks AS shard_blocks, quota AS shard_quota
+FROM placed
+"""
