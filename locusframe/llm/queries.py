@@ -16,4 +16,10 @@ QUERIES = {
     "op9_benchmark_leaks": decontaminate.op9_benchmark_leaks,
     "op10_counterfactual_toxicity": toxicity.op10_counterfactual_toxicity,
 }
-ORACLES = {"op1_perspective_rotation": chat.OP1_SQL}
+#: The other operators rest on trained models, alignment or BM25, which SQL can't express; they are tested against brute force.
+ORACLES = {
+    "op1_perspective_rotation": chat.OP1_SQL,
+    "op2_suffix_dedup": suffix.OP2_SQL,
+    "op4_relative_lempel_ziv": relz.OP4_SQL,
+    "op6_source_mixing": mixing.OP6_SQL,
+}

@@ -72,4 +72,19 @@ def parse_factors(docs: DataFrame, window: int = 13) -> DataFrame:
 
 
 def op4_relative_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_factors(table(spark, sf_dir, "documents")).drop("kept")
+    return parse_factors(table(spark, sf_dir, "documents")).drop("kept", "sources")
+
+
+OP4_SQL = r"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+words AS (SELECT doc_id, i, ws[i] AS word, CASE WHEN i + 12 <= len(ws) THEN md5(array_to_string(ws[i:i + 12], ' ')) END AS name FROM texts, unnest(range(1, len(ws) + 1)) AS t(i)),
+firsts AS (SELECT name, min(doc_id) AS first FROM words WHERE name IS NOT NULL GROUP BY name),
+marked AS (SELECT doc_id, i, word, i - max(CASE WHEN first < doc_id THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) <= 12 AS hit FROM words LEFT JOIN firsts USING (name)),
+placed AS (SELECT doc_id, i, word, coalesce(hit, false) AS gone, coalesce(lag(hit) OVER (PARTITION BY doc_id ORDER BY i), false) AS before FROM marked),
+runs AS (SELECT *, sum(CASE WHEN gone AND NOT before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM placed),
+factors AS (SELECT doc_id, run, min(i) - 1 AS a, max(i) AS b FROM runs WHERE gone GROUP BY doc_id, run),
+listed AS (SELECT doc_id, count(*) AS n_factors, string_agg(a || ':' || b, ',' ORDER BY a) AS factors FROM factors GROUP BY doc_id),
+kept AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM placed GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(n_factors, 0) AS n_factors, coalesce(factors, '') AS factors
+FROM documents LEFT JOIN kept USING (doc_id) LEFT JOIN listed USING (doc_id)
+"""

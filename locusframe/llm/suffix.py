@@ -68,3 +68,20 @@ def dedup_substrings(docs: DataFrame, window: int = 100) -> DataFrame:
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents")).drop("kept")
+
+
+#: Bytes as hex digits, in pieces of 1,000, because a substring of a long string takes long.
+OP2_SQL = r"""
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+pieces AS (SELECT doc_id, p * 1000 AS base, substr(h, p * 2000 + 1, 2198) AS h FROM texts, unnest(range(0, length(h) // 2000 + 1)) AS t(p)),
+bytes AS (SELECT doc_id, base + i AS i, substr(h, 2 * i + 1, 2) AS byte, CASE WHEN 2 * i + 200 <= length(h) THEN md5(substr(h, 2 * i + 1, 200)) END AS name FROM pieces, unnest(range(0, least(1000, length(h) // 2))) AS t(i)),
+firsts AS (SELECT name, min(doc_id * 1000000000 + i) AS first FROM bytes WHERE name IS NOT NULL GROUP BY name),
+marked AS (SELECT doc_id, i, byte, i - max(CASE WHEN first < doc_id * 1000000000 + i THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) <= 99 AS hit FROM bytes LEFT JOIN firsts USING (name)),
+placed AS (SELECT doc_id, i, byte, coalesce(hit, false) AS gone, coalesce(lag(hit) OVER (PARTITION BY doc_id ORDER BY i), false) AS before FROM marked),
+runs AS (SELECT *, sum(CASE WHEN gone AND NOT before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM placed),
+cut AS (SELECT doc_id, run, min(i) AS a, max(i) + 1 AS b FROM runs WHERE gone GROUP BY doc_id, run),
+listed AS (SELECT doc_id, count(*) AS n_spans, string_agg(a || ':' || b, ',' ORDER BY a) AS spans FROM cut GROUP BY doc_id),
+kept AS (SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (WHERE gone) AS n_removed, string_agg(byte, '' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM placed GROUP BY doc_id)
+SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN kept USING (doc_id) LEFT JOIN listed USING (doc_id)
+"""
