@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.coords import gff_to_span
 from ..functions.matching import Matcher
 from ..functions.text import ascii_lower
 from ..sources.records import last_of_each_tag
@@ -48,13 +47,16 @@ def requested_spans(postings: DataFrame, spans: DataFrame, references: DataFrame
     return found
 
 
-def candidates(annotation: DataFrame, references: DataFrame, requested: DataFrame) -> DataFrame:
-    """Records whose span is requested."""
-    start, length = gff_to_span(F.col("start"), F.col("end"))
-    keyed = annotation.join(references.withColumnRenamed("name", "reference_sequence_name"), "reference_sequence_name")
-    keyed = keyed.withColumn("span_start", start).withColumn("length", length)
-    wanted = requested.select(F.col("reference_id"), F.col("start").alias("span_start"), "length")
-    return keyed.join(wanted, ["reference_id", "span_start", "length"], "left_semi")
+def candidates(records: DataFrame, requested: DataFrame, few: int = 2000) -> DataFrame:
+    """Records (with span_id) of the requested spans.
+
+    Up to ``few`` ids go into the scan as a filter, which skips row groups since records lie in the order of their spans; more are
+    joined.
+    """
+    ids = [r["span_id"] for r in requested.select("span_id").limit(few + 1).collect()]
+    if len(ids) <= few:
+        return records.where(F.col("span_id").isin(ids) if ids else F.lit(False))
+    return records.join(requested.select("span_id"), "span_id", "left_semi")
 
 
 def verified(records: DataFrame, matcher: Matcher, tags: list[str], case_sensitive: bool = False, skip_empty: bool = False) -> DataFrame:

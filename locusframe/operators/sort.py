@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..errors import InputError
 from ..functions.text import natural_key, unsigned
 from ..sources.formats import BED, source_format
-from ..sources.lines import feature_lines, read_lines, with_fasta
+from ..sources.lines import feature_lines, read_lines
 from ..sources.records import attribute_values, last_of_each_tag, parse_gff
 from ..staging import materialize
 
@@ -88,14 +88,13 @@ def tie_ranks(rows: DataFrame) -> DataFrame:
 
 def sort_gff(lines: DataFrame) -> DataFrame:
     """(raw_line) ordered: comment lines in file order, features, then the FASTA tail as it is."""
-    placed = with_fasta(lines)
     tail = F.col("fasta").isNotNull() & (F.col("src_pos") >= F.col("fasta"))
     comment = F.col("value").startswith("#")
-    others = placed.where(tail | comment).select(
+    others = lines.where(tail | comment).select(
         F.when(tail, 2).otherwise(0).alias("section"), F.lit("").alias("contig_key"), F.lit(0).cast("long").alias("start"),
         F.lit(0).cast("long").alias("end"), F.col("src_pos").alias("tie"), "src_pos", F.col("value").alias("raw_line"),
     )
-    parsed = parse_gff(feature_lines(placed).select("src_pos", "value")).withColumn("attributes", last_of_each_tag(F.col("attributes")))
+    parsed = parse_gff(feature_lines(lines).select("src_pos", "value")).withColumn("attributes", last_of_each_tag(F.col("attributes")))
 
     def named(tag: str):
         return F.filter(attribute_values(F.col("attributes"), tag), lambda v: v != "")

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..errors import InputError
 from ..functions.coords import gff_to_span
 from ..functions.text import normalize
-from ..staging import materialize, numbered
+from ..staging import numbered
 
 SPAN = ["reference_id", "start", "length"]
 
@@ -37,13 +37,14 @@ def references_of(annotation: DataFrame) -> DataFrame:
     return first.select((F.row_number().over(Window.orderBy("first", "name")) - 1).cast("int").alias("reference_id"), "name")
 
 
-def observe(annotation: DataFrame, references: DataFrame, tags: list[str], case_sensitive: bool = False) -> DataFrame:
-    """annotation -> (src_pos, reference_id, start, length, terms); an unknown contig is an error."""
+def observe(annotation: DataFrame, references: DataFrame, tags: list[str], case_sensitive: bool = False, keep: bool = False) -> DataFrame:
+    """annotation -> (src_pos, reference_id, start, length, terms), and with keep its own columns; an unknown contig is an error."""
     start, length = gff_to_span(F.col("start"), F.col("end"))
     terms = F.filter(configured_values(F.col("attributes"), tags, case_sensitive), lambda v: v != "")
     known = annotation.join(references.withColumnRenamed("name", "reference_sequence_name"), "reference_sequence_name", "left")
     missing = F.raise_error(F.concat(F.lit("contig is not in the coordinate index: "), "reference_sequence_name", F.lit(" at line "), (F.col("src_pos") + 1).cast("string")))
-    return known.select("src_pos", F.coalesce("reference_id", missing.cast("int")).alias("reference_id"), start.alias("start"), length.alias("length"), terms.alias("terms"))
+    record = [F.struct(*annotation.columns).alias("record")] if keep else []
+    return known.select("src_pos", F.coalesce("reference_id", missing.cast("int")).alias("reference_id"), start.alias("start"), length.alias("length"), terms.alias("terms"), *record)
 
 
 def spans_of(observations: DataFrame, block_rows: int = 4096) -> DataFrame:
@@ -54,7 +55,6 @@ def spans_of(observations: DataFrame, block_rows: int = 4096) -> DataFrame:
     if not 1 <= block_rows <= 1_000_000:
         raise InputError("span block size must be from 1 to 1000000")
     spans = numbered(observations.where(F.size("terms") > 0).select(*SPAN).distinct(), SPAN, "span_id", "spans")
-    spans = materialize(spans, "spans-numbered")
     # Ids are dense within a reference too: the first id of each tells the place in it. One row a reference.
     first = spans.groupBy("reference_id").agg(F.min("span_id").alias("first"), F.count("*").alias("n"))
     before = Window.orderBy("reference_id").rowsBetween(Window.unboundedPreceding, -1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import time
+import uuid
 import warnings
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, fields
@@ -13,7 +14,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import CorruptIndexError, InputError, StaleIndexError
+from ..errors import CorruptIndexError, InputError, SourceIoError, StaleIndexError
 from ..functions.matching import Matcher
 from ..operators import query as q
 from ..operators import spans as s
@@ -90,6 +91,20 @@ def _size(path: str) -> int:
     return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet"))
 
 
+def written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def replace_folder(spark: SparkSession, new: str, old: str) -> None:
+    """Puts a finished folder in the place of another."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(old).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(path(old), True)
+    if not fs.rename(path(new), path(old)):
+        raise SourceIoError(f"cannot write {old}")
+
+
 def annotation_of(spark: SparkSession, source) -> DataFrame:
     """All feature records of a file."""
     fmt = source_format(source)
@@ -125,6 +140,8 @@ def build_index(
         tags = ["name"]
     else:
         tags = s.attribute_tags(attributes)
+    out = str(output)
+    building = f"{out}.building-{uuid.uuid4().hex}"
     records = annotation_of(spark, source)
     records = phase("scan", lambda: materialize(records.where(F.concat("score", "strand", "phase").isNotNull()), "index-records"))
     if coordinate_index is not None:
@@ -132,11 +149,14 @@ def build_index(
         validate_format(found, fmt)
         references = spark.createDataFrame(list(enumerate(found.names)), "reference_id int, name string")
     else:
-        references = materialize(s.references_of(records), "index-references")
-    observed = s.observe(records, references, tags, case_sensitive)
+        references = s.references_of(records)
+    references = written(references.coalesce(1), f"{building}/references")
+    observed = s.observe(records, references, tags, case_sensitive, keep=True)
     observed = phase("merge", lambda: materialize(observed, "index-observed"))
-    spans = phase("spans", lambda: materialize(s.spans_of(observed, span_block_size), "index-spans"))
-    postings = phase("postings", lambda: materialize(s.postings_of(observed, spans), "index-postings"))
+    spans = phase("spans", lambda: written(s.spans_of(observed, span_block_size), f"{building}/spans"))
+    # Row groups hold runs of terms, so exact and prefix queries read few of them.
+    ordered = s.postings_of(observed, spans).repartitionByRange("term").sortWithinPartitions("term", "span_id")
+    postings = phase("postings", lambda: written(ordered, f"{building}/postings"))
     counts = st.build_counts(observed, spans, postings).first().asDict()
     forms = st.structural_totals(spans, postings).first().asDict()
     names = [r["name"] for r in references.orderBy("reference_id").toLocalIterator()]  # one row a contig
@@ -148,18 +168,15 @@ def build_index(
     )
 
     def write() -> None:
-        out = str(output)
-        records.write.mode("overwrite").parquet(f"{out}/records")
-        references.coalesce(1).write.mode("overwrite").parquet(f"{out}/references")
-        spans.write.mode("overwrite").parquet(f"{out}/spans")
-        # Row groups hold runs of terms, so exact and prefix queries read few of them.
-        postings.repartitionByRange("term").sortWithinPartitions("term", "span_id").write.mode("overwrite").parquet(f"{out}/postings")
-        spark.createDataFrame([(json.dumps(meta.__dict__),)], "meta string").coalesce(1).write.mode("overwrite").parquet(f"{out}/meta")
+        # All records of a span, with or without terms of their own, lie in the order of the spans.
+        of_span = observed.join(spans.select("span_id", *s.SPAN), s.SPAN).select("record.*", "reference_id", "span_id")
+        written(of_span.repartitionByRange("span_id").sortWithinPartitions("span_id", "src_pos"), f"{building}/records")
+        written(spark.createDataFrame([(json.dumps(meta.__dict__),)], "meta string").coalesce(1), f"{building}/meta")
+        replace_folder(spark, building, out)
 
     phase("serialize", write)
-    release(records, observed, spans, postings)
-    local = str(output)
-    total, post, span = _size(local), _size(f"{local}/postings"), _size(f"{local}/spans")
+    release(records, observed)
+    total, post, span = _size(out), _size(f"{out}/postings"), _size(f"{out}/spans")
     if progress:
         progress("done")
     return BuildStats(
@@ -248,13 +265,18 @@ class IndexedSource(IndexReader):
     def _verified(self, candidates: DataFrame, matcher: Matcher) -> DataFrame:
         return q.verified(candidates, matcher, self.meta.attributes, self.meta.case_sensitive, self.meta.format == BED)
 
+    def _requested(self, matcher: Matcher, contigs: Iterable[str] | None) -> DataFrame:
+        """Ids of the requested spans; without contigs the postings tell them."""
+        if contigs is None:
+            return q.matching_span_ids(self.postings, matcher)
+        return q.requested_spans(self.postings, self.spans, self.references, matcher, contigs)
+
     def query(self, term: str, *, match: str = "exact", contigs: Iterable[str] | None = None) -> DataFrame:
         """Matching records in source order."""
         matcher = self.matcher(term, match)
         if matcher.empty:
             return q.shaped(self.records.limit(0))
-        wanted = q.requested_spans(self.postings, self.spans, self.references, matcher, contigs)
-        return q.shaped(self._verified(q.candidates(self.records, self.references, wanted), matcher))
+        return q.shaped(self._verified(q.candidates(self.records, self._requested(matcher, contigs)), matcher))
 
     def query_with_stats(self, term: str, *, match: str = "exact", contigs: Iterable[str] | None = None) -> tuple[DataFrame, q.QueryStats]:
         """Candidates are the records of the requested spans; there are no file chunks, so those counts stay 0."""
@@ -266,7 +288,7 @@ class IndexedSource(IndexReader):
         n = wanted.agg(F.count("*").alias("spans"), F.count_distinct("block_id").alias("blocks")).first()
         if not n["spans"]:
             return rows, q.QueryStats()
-        found = q.candidates(self.records, self.references, wanted)
+        found = q.candidates(self.records, wanted)
         stats = q.QueryStats(n["spans"], n["blocks"], n["spans"], unique_candidate_records=found.count(), matching_records=rows.count())
         return rows, stats
 

@@ -22,48 +22,41 @@ def is_blocked(path: str) -> bool:
 
 
 def read_lines(spark: SparkSession, path) -> DataFrame:
-    """(src_pos, value): positions 0, 1, 2, ... in file order; lines end at a line feed, a carriage return before it is cut.
+    """(src_pos, value, fasta): positions 0, 1, 2, ... in file order; lines end at a line feed, a carriage return before it is cut.
 
-    Plain files are split by Spark; blocked gzip by its blocks; other gzip is one task.
+    fasta is the position of the first ``##FASTA`` line, null if there is none. Plain files are split by Spark; blocked gzip by
+    its blocks; other gzip is one task.
     """
     path = str(path)
     local = path.removeprefix("file://")
     suffix = Path(path).suffix.lower()
     if Path(local).is_dir() or (not Path(local).exists() and "://" not in path):
         raise SourceIoError(f"no such file: {path}")
+    mid = F.monotonically_increasing_id()
     if suffix in COMPRESSED and is_blocked(local):
         spark.dataSource.register(BgzfSource)
-        raw = spark.read.format("bgzf").option("path", local).load().select("value", F.lit(path).alias("file"), F.col("src_offset").alias("block"), F.col("src_offset").alias("at"))
-        order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-        raw = raw.withColumn("mid", F.monotonically_increasing_id())
-        part = F.shiftright("mid", 33)
-        counts = raw.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-        offsets = counts.select("part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
-        # One row a split of the file.
-        placed = raw.withColumn("part", part).join(F.broadcast(offsets), "part")
-        position = F.col("before") + F.col("mid").bitwiseAND(F.lit((1 << 33) - 1))
+        raw = spark.read.format("bgzf").option("path", local).load().select("value", F.lit(path).alias("file"), mid.alias("mid"))
+        raw = raw.withColumn("block", F.shiftright("mid", 33))  # partitions are in file order
     else:
         text = spark.read.option("lineSep", "\n").text(path)
-        raw = text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mid"))
-        order = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
-        splits = raw.groupBy("file", "block").agg(F.min("mid").alias("first"), F.count("*").alias("n"))
-        splits = splits.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
-        # One row a split of the file.
-        placed = raw.join(F.broadcast(splits), ["file", "block"])
-        position = F.col("before") + F.col("mid") - F.col("first")
-    return placed.select(position.cast("long").alias("src_pos"), F.regexp_replace("value", r"\r\z", "").alias("value"))
+        raw = text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), mid.alias("mid"))
+    raw = raw.withColumn("value", F.regexp_replace("value", r"\r\z", ""))
+    mark = F.min(F.when(F.col("value") == "##FASTA", F.col("mid")))
+    splits = raw.groupBy("file", "block").agg(F.min("mid").alias("first"), F.count("*").alias("n"), mark.alias("mark"))
+    # From here one row a split of the file.
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    everywhere = Window.partitionBy(F.lit(0))
+    splits = splits.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    splits = splits.withColumn("fasta", F.min(F.col("before") + F.col("mark") - F.col("first")).over(everywhere)).drop("n", "mark")
+    placed = raw.join(F.broadcast(splits), ["file", "block"])
+    return placed.select((F.col("before") + F.col("mid") - F.col("first")).cast("long").alias("src_pos"), "value", "fasta")
 
 
 def records_only(lines: DataFrame, fmt: str) -> DataFrame:
     """Drops what is no record: comments, track and browser lines, and a FASTA tail."""
     if fmt == BED:
-        return lines.where(~F.col("value").startswith("#") & ~F.col("value").startswith("track ") & ~F.col("value").startswith("browser "))
-    return feature_lines(with_fasta(lines)).drop("fasta")
-
-
-def with_fasta(lines: DataFrame) -> DataFrame:
-    """Adds fasta, the position of the FASTA mark (null if there is none)."""
-    return lines.crossJoin(F.broadcast(lines.where(F.col("value") == "##FASTA").agg(F.min("src_pos").alias("fasta"))))  # one row
+        return lines.drop("fasta").where(~F.col("value").startswith("#") & ~F.col("value").startswith("track ") & ~F.col("value").startswith("browser "))
+    return feature_lines(lines).drop("fasta")
 
 
 def feature_lines(lines: DataFrame) -> DataFrame:
@@ -72,4 +65,4 @@ def feature_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumn("value", own).where(F.col("value").isNotNull() & ~F.col("value").startswith("#"))
 
 
-__all__ = ["EOF_BLOCK", "feature_lines", "is_blocked", "read_lines", "records_only", "with_fasta"]
+__all__ = ["EOF_BLOCK", "feature_lines", "is_blocked", "read_lines", "records_only"]
