@@ -244,11 +244,13 @@ class IndexReader:
 
 
 class IndexedSource(IndexReader):
-    """Record queries; opening it checks that the index belongs to the source as it is."""
+    """Record queries; opening it checks that the index belongs to the source as it is (check_source: by reading all of it)."""
 
-    def __init__(self, spark: SparkSession, source, index, coordinate_index=None, attributes: Iterable[str] | None = None, case_sensitive: bool | None = None):
+    def __init__(
+        self, spark: SparkSession, source, index, coordinate_index=None, attributes: Iterable[str] | None = None, case_sensitive: bool | None = None, check_source: bool = True
+    ):
         super().__init__(spark, index)
-        if sha256_file(source) != self.meta.source_fingerprint:
+        if check_source and sha256_file(source) != self.meta.source_fingerprint:
             raise StaleIndexError(f"{index} was built from another version of {source}")
         if self.meta.coordinate_index_fingerprint and coordinate_index is not None and sha256_file(coordinate_index) != self.meta.coordinate_index_fingerprint:
             raise StaleIndexError(f"{index} was built with another coordinate index")

@@ -201,3 +201,33 @@ def test_arguments():
     for bad in ([], ["a", ""]):
         with pytest.raises(InputError):
             attribute_tags(bad)
+
+
+def test_many_spans_are_joined(base):
+    from locusframe.operators.query import candidates
+
+    _, index = base
+    wanted = index.lookup_span_ids("br", "prefix")
+    few, joined = candidates(index.records, wanted), candidates(index.records, wanted, few=1)
+    assert sorted(r["raw_line"] for r in few.collect()) == sorted(r["raw_line"] for r in joined.collect()) and few.count() == 3
+
+
+def test_a_build_replaces_an_older_index(spark, tmp_path):
+    built(spark, tmp_path, BASE, ["Name"])
+    _, index = built(spark, tmp_path, gff((1, 5, "Name=new")), ["Name"])
+    assert index.query("new").count() == 1 and index.query("brca1").count() == 0
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a.gff3", "index"]
+    assert open_index(spark, "no such file", tmp_path / "index", check_source=False).query("new").count() == 1
+
+
+def test_progress_and_resources(spark, tmp_path):
+    seen = []
+    built(spark, tmp_path, BASE, ["Name"], progress=seen.append)
+    assert seen[0] == "scan" and seen[-1] == "done"
+    with pytest.raises(InputError, match="memory_budget"):
+        built(spark, tmp_path, BASE, ["Name"], memory_budget=0)
+
+
+def test_attributes_of_bed_warn(spark, tmp_path):
+    with pytest.warns(UserWarning):
+        built(spark, tmp_path, BEDS, ["Name"], "a.bed")
