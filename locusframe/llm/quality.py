@@ -146,3 +146,52 @@ def judge_quality(docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta:
 
 def op7_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP7_SQL = rf"""
+WITH texts AS (
+  SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+),
+windows AS (SELECT doc_id, i, CASE WHEN i + 2 <= len(ws) THEN ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] END AS w FROM texts, unnest(range(1, len(ws) + 1)) AS u(i)),
+often AS (SELECT doc_id, i, w IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, w) > 1 AS again FROM windows),
+covered AS (SELECT doc_id, i - max(CASE WHEN again THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) <= 2 AS hit FROM often),
+repeats AS (SELECT doc_id, count(*) FILTER (WHERE hit) AS n FROM covered GROUP BY doc_id),
+base AS (
+  SELECT doc_id, stratum, CAST(len(ws) AS BIGINT) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         coalesce(n, 0) AS n_repeat_words, len(lines) AS n_lines
+  FROM texts LEFT JOIN repeats USING (doc_id)
+),
+scored AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_symbols / greatest(n_words, 1) AS symbols, n_dup_lines / greatest(n_lines, 1) AS dup_lines,
+         n_repeat_words / greatest(n_words, 1) AS repeats, CASE WHEN n_words > 0 THEN abs(ln(greatest(word_chars, 1) / greatest(n_words, 1) / 5.0)) ELSE 0.0 END AS word_length
+  FROM base
+),
+marks AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+long AS (UNPIVOT (SELECT doc_id, stratum, base_failed, symbols, dup_lines, repeats, word_length FROM scored) ON symbols, dup_lines, repeats, word_length INTO NAME rule VALUE score),
+placed AS (
+  SELECT stratum, rule, quality, len(list_filter({CUTOFFS}, lambda c: score > c)) AS at_ FROM long JOIN marks USING (doc_id) WHERE NOT base_failed
+),
+groups AS (SELECT stratum, rule, sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS n FROM placed GROUP BY ALL),
+tried AS (
+  SELECT g.stratum, g.rule, g.n, c.i, sum(CASE WHEN at_ >= c.i AND quality = 1 THEN 1 ELSE 0 END) AS k, sum(CASE WHEN at_ >= c.i AND quality <> 1 THEN 1 ELSE 0 END) AS caught
+  FROM groups g JOIN placed p ON g.stratum = p.stratum AND g.rule = p.rule, range(1, {len(CUTOFFS)} + 1) AS c(i) GROUP BY ALL
+),
+certified AS (
+  SELECT *, n > 0 AND k <= 0.0125 * n AND (
+    SELECT sum(exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln(0.0125) + (n - x) * ln(1 - 0.0125))) FROM unnest(range(0, CAST(CASE WHEN k <= 0.0125 * n THEN k ELSE 0 END AS BIGINT) + 1)) AS q(x)
+  ) <= 0.05 / ((SELECT count(DISTINCT stratum) FROM placed) * {len(RULES) * len(CUTOFFS)}) AS ok
+  FROM tried
+),
+chosen AS (
+  SELECT stratum, rule, {CUTOFFS}[i] AS cutoff FROM certified WHERE ok AND caught - 5 * k > 0
+  QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY caught - 5 * k DESC, i DESC) = 1
+),
+rejected AS (
+  SELECT doc_id, min_by(rule, list_position({RULES}, rule)) AS rejected_by FROM long JOIN chosen USING (stratum, rule) WHERE score > cutoff GROUP BY doc_id
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected_by IS NULL AS kept, rejected_by
+FROM scored LEFT JOIN rejected USING (doc_id)
+"""

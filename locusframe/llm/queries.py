@@ -22,4 +22,5 @@ ORACLES = {
     "op2_suffix_dedup": suffix.OP2_SQL,
     "op4_relative_lempel_ziv": relz.OP4_SQL,
     "op6_source_mixing": mixing.OP6_SQL,
+    "op7_risk_controlled_quality": quality.OP7_SQL,
 }
