@@ -28,7 +28,7 @@ def normalize(c: Column, case_sensitive: bool = False) -> Column:
 def percent_decode(c: Column) -> Column:
     """Decodes %XX; a malformed % stands for itself, + is no blank."""
     safe = F.regexp_replace(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"), r"\+", "%2B")
-    return F.url_decode(safe)
+    return F.when(c.contains("%"), F.url_decode(safe)).otherwise(c)  # most values need no work
 
 
 def natural_key(c: Column) -> Column:

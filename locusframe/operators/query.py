@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,15 +49,26 @@ def requested_spans(postings: DataFrame, spans: DataFrame, references: DataFrame
     return found
 
 
-def candidates(records: DataFrame, requested: DataFrame, few: int = 2000) -> DataFrame:
+def ranges_over(ids: list[int], most: int = 50) -> list[tuple[int, int]]:
+    """At most ``most`` ranges that hold all ids, cut at the widest gaps."""
+    ids = sorted(ids)
+    cuts = sorted(sorted(range(1, len(ids)), key=lambda i: ids[i - 1] - ids[i])[: most - 1])
+    return [(ids[a], ids[b - 1]) for a, b in zip([0, *cuts], [*cuts, len(ids)], strict=True)]
+
+
+def candidates(records: DataFrame, requested: DataFrame, few: int = 200, some: int = 100_000) -> DataFrame:
     """Records (with span_id) of the requested spans.
 
-    Up to ``few`` ids go into the scan as a filter, which skips row groups since records lie in the order of their spans; more are
-    joined.
+    Records lie in the order of their spans, so up to ``few`` ids in the scan's filter skip most row groups. Up to ``some`` are
+    broadcast, with ranges over them in the filter; more are joined.
     """
-    ids = [r["span_id"] for r in requested.select("span_id").limit(few + 1).collect()]
+    ids = [r["span_id"] for r in requested.select("span_id").limit(some + 1).collect()]
     if len(ids) <= few:
         return records.where(F.col("span_id").isin(ids) if ids else F.lit(False))
+    if len(ids) <= some:
+        listed = records.sparkSession.createDataFrame(pd.DataFrame({"span_id": ids}), "span_id long")
+        near = reduce(lambda x, y: x | y, (F.col("span_id").between(a, b) for a, b in ranges_over(ids)))
+        return records.where(near).join(F.broadcast(listed), "span_id", "left_semi")
     return records.join(requested.select("span_id"), "span_id", "left_semi")
 
 

@@ -12,6 +12,7 @@ from locusframe.functions.matching import Matcher, java_pattern, normalized
 from locusframe.functions.text import natural_key, normalize, percent_decode, strip_line_ending, unsigned, varint_length
 from locusframe.operators import statistics as st
 from locusframe.operators.intervals import coalesce_ranges, out_of_order, overlap_join
+from locusframe.operators.query import ranges_over
 from locusframe.plans.tables import ORACLES, QUERIES
 from locusframe.staging import materialize, numbered, release
 from locusframe.streaming.ingest import stream_postings
@@ -63,6 +64,10 @@ def test_numbers_are_dense_and_in_order(spark):
     assert [r["n"] for r in rows] == list(range(5000))
 
 
+def test_ranges_over():
+    assert ranges_over([9, 1, 2, 30, 31], 2) == [(1, 9), (30, 31)] and ranges_over([5]) == [(5, 5)] and len(ranges_over(list(range(0, 900, 3)))) == 50
+
+
 def test_release(spark):
     t = materialize(spark.range(5), "t")
     assert t.count() == 5 and os.path.exists(t.staged_path.removeprefix("file:"))
