@@ -58,3 +58,17 @@ def natural_order(df: DataFrame, column: str) -> DataFrame:
     """(column, natural_rank) of its distinct values; names equal but for case share a rank."""
     names = df.select(column).distinct()
     return names.select(column, F.dense_rank().over(Window.orderBy(natural_key(F.col(column)))).cast("long").alias("natural_rank"))
+
+
+def byte_offsets(lines: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """(src_pos, value) with offset, the byte at which the line begins in a file of all lines, each ended by one byte.
+
+    Lengths are summed per block of positions, blocks before each block, and lines within a block, so no window runs over all lines.
+    """
+    sized = lines.withColumn("bytes", (F.octet_length("value") + 1).cast("long")).withColumn("block", F.floor(F.col("src_pos") / block))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    # One row a block.
+    blocks = sized.groupBy("block").agg(F.sum("bytes").alias("n")).select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("block").orderBy("src_pos").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sized.withColumn("inside", F.coalesce(F.sum("bytes").over(inside), F.lit(0))).join(blocks, "block")
+    return placed.select("src_pos", "value", (F.col("base") + F.col("inside")).alias("offset"))

@@ -87,6 +87,12 @@ class IndexMetadata:
     for_length_blocks: int
 
 
+@dataclass(frozen=True)
+class LookupStats:
+    postings_bytes_decompressed: int = 0
+    span_bytes_decompressed: int = 0
+
+
 def _size(path: str) -> int:
     return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet"))
 
@@ -238,6 +244,16 @@ class IndexReader:
     def lookup_spans(self, term: str, match: str = "exact") -> DataFrame:
         return q.requested_spans(self.postings, self.spans, self.references, self.matcher(term, match)).orderBy("span_id")
 
+    def lookup_spans_with_stats(self, term: str, match: str = "exact") -> tuple[DataFrame, LookupStats]:
+        """Bytes are those of the structural encodings that the lookup touches: matching postings, blocks of requested spans."""
+        matcher, rows = self.matcher(term, match), self.lookup_spans(term, match)
+        if matcher.empty:
+            return rows, LookupStats()
+        post = st.posting_bytes(self.postings.where(matcher.predicate(F.col("term")))).agg(F.sum("posting_bytes")).first()[0]
+        touched = self.spans.join(rows.select("block_id").distinct(), "block_id", "left_semi")
+        span = sum((st.start_bytes(touched).agg(F.sum("start_bytes")).first()[0] or 0, st.length_bytes(touched).agg(F.sum("length_bytes")).first()[0] or 0))
+        return rows, LookupStats(post or 0, span)
+
     def resolve_span_ids(self, ids: list[int]) -> DataFrame:
         """Spans in the order of ids, repeats kept."""
         given = self.spark.createDataFrame(list(enumerate(ids)), "pos long, span_id long")
@@ -295,8 +311,8 @@ class IndexedSource(IndexReader):
         stats = q.QueryStats(n["spans"], n["blocks"], n["spans"], unique_candidate_records=found.count(), matching_records=rows.count())
         return rows, stats
 
-    query_name = query
-    query_on_contigs = query
+    query_name = query_name_with_mode = query_on_contigs = query
+    query_name_with_stats = query_on_contigs_with_stats = query_with_stats
 
 
 def open_index(spark: SparkSession, source, index, coordinate_index=None, **options) -> IndexedSource:

@@ -188,6 +188,11 @@ def attribute_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("src_pos.l_orderkey").alias("order_key"), F.col("src_pos.l_linenumber").alias("line_number"), F.col("src_pos.l_extendedprice").alias("price"), "place", "value")
 
 
+def byte_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("src_pos"), F.col("p_name").alias("value"))
+    return iv.byte_offsets(lines, 64)
+
+
 def tie_order_topological(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as records at one place a customer, each the child of the order before it: parents first, then source order."""
     by = Window.partitionBy("o_custkey").orderBy(F.col("o_orderkey").desc())
@@ -225,6 +230,7 @@ QUERIES = {
     "varint_length": varints,
     "fingerprint": fingerprints,
     "attribute_values": attribute_values,
+    "byte_offsets": byte_offsets,
     "tie_order_topological": tie_order_topological,
 }
 
@@ -298,6 +304,7 @@ SELECT reference, min(start) AS start, max("end") AS "end", count(*) AS merged F
 FROM rows r WHERE EXISTS (SELECT 1 FROM rows w WHERE w.reference_id = r.reference_id AND w.span_start = r.span_start AND w.length = r.length AND list_contains(w.terms, 'promo'))""",
     "resolved_spans": f"{_INDEX} SELECT i AS pos, span_id, reference_id, start, length FROM (SELECT i, i * 7 % 20 AS span_id FROM range(0, 40) t(i)) JOIN numbered USING (span_id)",
     "normalized_terms": "SELECT p_partkey, translate(p_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || chr(201) AS term, p_name || chr(201) AS trimmed, 'a b+%zz' || chr(233) AS decoded FROM part",
+    "byte_offsets": "SELECT p_partkey AS src_pos, p_name AS value, CAST(coalesce(sum(strlen(p_name) + 1) OVER (ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM part",
     "varint_length": f"SELECT o_orderkey, {_VLEN.format('o_orderkey * o_custkey')} AS bytes FROM orders",
     "fingerprint": "SELECT p_partkey, sha256(p_name) AS sha256 FROM part",
     "attribute_values": f"""WITH {_ROWS} SELECT l_orderkey AS order_key, l_linenumber AS line_number, l_extendedprice AS price, CAST(i AS INTEGER) AS place, [p_name, p_brand, p_type][i + 1] AS value

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..errors import SourceIoError
+from ..errors import InputError, SourceIoError
 from .bgzf import EOF_BLOCK, BgzfSource, blocks
 from .formats import BED, COMPRESSED
 
@@ -21,6 +21,14 @@ def is_blocked(path: str) -> bool:
     return True
 
 
+def is_gzip(path: str) -> bool:
+    try:
+        with open(path, "rb") as f:
+            return f.read(2) == b"\x1f\x8b"
+    except OSError:
+        return False
+
+
 def read_lines(spark: SparkSession, path) -> DataFrame:
     """(src_pos, value, fasta): positions 0, 1, 2, ... in file order; lines end at a line feed, a carriage return before it is cut.
 
@@ -33,11 +41,14 @@ def read_lines(spark: SparkSession, path) -> DataFrame:
     if Path(local).is_dir() or (not Path(local).exists() and "://" not in path):
         raise SourceIoError(f"no such file: {path}")
     mid = F.monotonically_increasing_id()
-    if suffix in COMPRESSED and is_blocked(local):
+    zipped = suffix in COMPRESSED or is_gzip(local)
+    if zipped and is_blocked(local):
         spark.dataSource.register(BgzfSource)
         raw = spark.read.format("bgzf").option("path", local).load().select("value", F.lit(path).alias("file"), mid.alias("mid"))
         raw = raw.withColumn("block", F.shiftright("mid", 33))  # partitions are in file order
     else:
+        if is_gzip(local) and suffix != ".gz":
+            raise InputError(f"{path} is gzip, but neither blocked nor named .gz")
         text = spark.read.option("lineSep", "\n").text(path)
         raw = text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), mid.alias("mid"))
     raw = raw.withColumn("value", F.regexp_replace("value", r"\r\z", ""))

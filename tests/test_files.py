@@ -42,6 +42,20 @@ def test_blocked_gzip_round_trip(spark, tmp_path):
     assert lines == SORTED.splitlines()
 
 
+def test_gzip_by_content(spark, tmp_path):
+    path = tmp_path / "a.gff"
+    with open(path, "wb") as f:
+        w = BgzfWriter(f)
+        w.write(SORTED.encode())
+        w.close()
+    assert read_lines(spark, path).count() == len(SORTED.splitlines())
+    path.write_bytes(gzip.compress(SORTED.encode()))
+    with pytest.raises(InputError, match="gzip"):
+        read_lines(spark, path)
+    (tmp_path / "a.gff.gz").write_bytes(gzip.compress(b"a\n") + gzip.compress(b"b\n"))
+    assert [r["value"] for r in read_lines(spark, tmp_path / "a.gff.gz").orderBy("src_pos").collect()] == ["a", "b"]
+
+
 @pytest.mark.parametrize("split", [1, 3000, 70000])
 def test_blocked_gzip_in_many_splits(spark, tmp_path, split):
     from locusframe.sources.bgzf import BgzfSource, compressed_block

@@ -84,6 +84,14 @@ def test_span_lookup_keeps_order_and_repeats(base):
     assert {r["term"]: r["span_ids"] for r in posting_lists(index.postings).collect()}["brca1"] == [0, 2]
 
 
+def test_lookup_stats(base):
+    _, index = base
+    rows, stats = index.lookup_spans_with_stats("brca1")
+    # Postings: a count, the first id and one gap; one start gap; blocks of two spans (two varints) and of one (no bits).
+    assert rows.count() == 2 and (stats.postings_bytes_decompressed, stats.span_bytes_decompressed) == (3, 1 + 22 + 20)
+    assert index.lookup_spans_with_stats(" ")[1] == type(stats)()
+
+
 def test_case_policy(spark, tmp_path):
     _, index = built(spark, tmp_path, BASE, ["Name"], case_sensitive=True)
     assert ids(index, "BRCA1") == [0, 2] and ids(index, "brca1") == []
