@@ -5,9 +5,12 @@ keeps them in text order; it is equal for two texts the likelier the fewer word
 equal sketch are candidates; a pair is linked if its word alignment (edit distance in a band as wide as the threshold
 allows) has similarity 1 - distance / longer length of at least ``similarity``. Classes are the connected components of links.
 
-Equal texts are one vertex. Of a bucket of equal sketches no pairs are made: every member meets the bucket's hub; then,
-where members of a bucket are still in different classes, the hubs under other orders (``hubs`` in all). So the number of
-candidates is linear in the number of sketches, whatever the size of a group.
+Equal texts are one vertex. Every member of a bucket of equal sketches meets the bucket's hub; then, where members of a
+bucket are still in different classes, the hubs under other orders (``hubs`` in all). Members that are in different classes
+even then, and are no hubs, are compared by what similar texts must share: edits of ``band`` words leave all but 3 * band of
+the 3-word grams, so a pair meets at one of the rarest 3 * band + 1 or so of them (single words for texts of less than
+``SHORT`` words). No pair of a bucket is left out. The number of candidates is linear in the number of sketches but for texts
+that share their rarest grams.
 
 Defined cases: null text is empty; empty texts (and those without words) form one class; texts of fewer than five words have
 one k-mer, the whole; null doc_id comes before all others, and a class that has one has class_id null; repeated rows are in
@@ -29,6 +32,10 @@ from .relz import word_names
 from .repeats import texts
 
 K = 5
+#: Words of a gram by which the rest of crowded buckets is compared; pairs whose longer text has fewer than SHORT words go by single words.
+GRAM, SHORT = 3, 12
+#: Bits of the slots in which grams are counted, and how many texts of one gram meet in one task.
+SLOTS, MEET = 18, 256
 
 
 def content_name(words: np.ndarray) -> int:
@@ -36,16 +43,39 @@ def content_name(words: np.ndarray) -> int:
     return int(stretches(words, np.array([0]), np.array([len(words)]))[0]) if len(words) else 0
 
 
+def numbered_grams(grams: np.ndarray) -> np.ndarray:
+    """Names of the grams with their occurrence numbers."""
+    by = np.argsort(grams, kind="stable")
+    new = np.concatenate([[True], grams[by][1:] != grams[by][:-1]])
+    nth = np.empty(len(grams), dtype=U)
+    nth[by] = (np.arange(len(grams)) - np.maximum.accumulate(np.where(new, np.arange(len(grams)), 0))).astype(U)
+    return mix(grams + nth * U(0x9E3779B97F4A7C15))
+
+
+def rarest(words: np.ndarray, similarity: float, counts: np.ndarray | None = None) -> np.ndarray:
+    """Grams of which two texts that are alike have one in common (int64): the rarest by counts, or all where there are none."""
+    n = len(words)
+    out = []
+    lengths = np.arange(n, int(n / similarity + 1e-9) + 1)
+    for size, partners in ((1, lengths[lengths < SHORT]), (GRAM, lengths[lengths >= SHORT])):
+        if not n or not len(partners) or n < size:
+            continue
+        grams = numbered_grams(names_of(words, size) ^ U(size))
+        if counts is not None:
+            # A partner of that many words shares at least so many grams.
+            shared = int((partners - size + 1 - size * np.floor((1 - similarity) * partners + 1e-9)).min())
+            rank = np.lexsort([grams, counts[(grams >> U(64 - SLOTS)).astype(np.int64)]])
+            grams = grams[rank[: len(grams) - max(1, shared) + 1]]
+        out.append(grams)
+    return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
+
+
 def sketches(words: np.ndarray, many: int, few: int = 2) -> np.ndarray:
     """``many`` order-sensitive sketches (int64); none of a text without words."""
     if not len(words):
         return np.empty(0, np.int64)
     grams = names_of(words, K) if len(words) >= K else np.array([content_name(words)]).view(U)
-    by = np.argsort(grams, kind="stable")
-    new = np.concatenate([[True], grams[by][1:] != grams[by][:-1]])
-    nth = np.empty(len(grams), dtype=U)
-    nth[by] = (np.arange(len(grams)) - np.maximum.accumulate(np.where(new, np.arange(len(grams)), 0))).astype(U)
-    labelled = mix(grams + nth * U(0x9E3779B97F4A7C15))
+    labelled = numbered_grams(grams)
     out = np.empty(many, np.int64)
     few = min(few, len(grams))
     rows = max(1, min(many, (1 << 19) // len(grams)))
@@ -178,8 +208,57 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, many: int = 48, few:
         fits = F.least("words", "hub_words") >= similarity * F.greatest("words", "hub_words") - 1e-9
         return pairs.where(fits).select(F.least("content", "hub").alias("a"), F.greatest("content", "hub").alias("b")).distinct()
 
-    def words_of(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.col("a").alias("content")).union(pairs.select("b")).distinct()
+    def untested(classes: DataFrame) -> DataFrame:
+        """(content, words, root) of members that have met their bucket's hubs only, of buckets where such members are in different classes."""
+        rows = members.join(classes.withColumnRenamed("v", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
+        rows = materialize(rows, "near-classed")
+        chosen = F.array(*(F.min_by("content", F.struct(F.xxhash64("content", F.lit(hub)), "content")) for hub in range(hubs)))
+        mixed = rows.groupBy("bucket").agg(chosen.alias("met"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        rest = rows.join(mixed.select("bucket", "met"), "bucket").where(~F.array_contains("met", F.col("content"))).drop("met")
+        rest = materialize(rest, "near-rest")
+        release(rows)
+        mixed = rest.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        return rest.join(mixed.select("bucket"), "bucket").select("content", "words", "root").distinct()
+
+    def remaining(rest: DataFrame) -> DataFrame:
+        """Pairs of rest (content, words, root) in different classes that share one of their rarest grams."""
+        lists = materialize(words_of(rest.select("content")), "near-rest-words")
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(1 << SLOTS, np.int64)
+            for b in batches:
+                for x in b.column(1).to_pylist():
+                    grams = rarest(np.frombuffer(x, np.uint32).astype(U), similarity).view(U)
+                    total += np.bincount((grams >> U(64 - SLOTS)).astype(np.int64), minlength=1 << SLOTS)
+            slots = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(total[slots])], names=["slot", "n"])
+
+        # At most 2^SLOTS rows. Any counts give all pairs, as long as they are the same for all texts; good ones give few others.
+        found = lists.mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+        counts = np.zeros(1 << SLOTS, np.int64)
+        for slot, n in found:
+            counts[slot] = n
+        shared = docs.sparkSession.sparkContext.broadcast(counts)
+
+        def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                grams = [rarest(np.frombuffer(x, np.uint32).astype(U), similarity, shared.value) for x in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(grams, pa.list_(pa.int64()))], names=["content", "grams"])
+
+        rows = lists.mapInArrow(listed, "content long, grams array<long>").join(rest, "content").select(F.explode("grams").alias("gram"), "content", "words", "root")
+        rows = materialize(rows, "near-grams")
+        mixed = rows.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / MEET).alias("pieces"))
+        rows = rows.join(mixed.where("low <> high").select("gram", "pieces"), "gram")
+        # Crowded grams are dealt by pairs of pieces.
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("content"), "pieces")).withColumn("other", F.explode(F.expr("sequence(0L, pieces - 1)")))
+        rows = materialize(rows.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "content", "words", "root"), "near-meeting")
+        x = rows.where("own = i").selectExpr("gram", "i", "j", "content AS a", "words AS a_words", "root AS a_root")
+        y = rows.where("own = j").selectExpr("gram", "i", "j", "content AS b", "words AS b_words", "root AS b_root")
+        pairs = x.join(y, ["gram", "i", "j"]).where("a_root <> b_root AND (i < j OR a < b)")
+        fits = F.least("a_words", "b_words") >= similarity * F.greatest("a_words", "b_words") - 1e-9
+        return pairs.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def words_of(needed: DataFrame) -> DataFrame:
         needed = needed.join(contents.select("content", "doc"), "content")
 
         def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +280,7 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, many: int = 48, few:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         pairs = materialize(pairs, "near-pairs")
-        lists = materialize(words_of(pairs), "near-words")
+        lists = materialize(words_of(pairs.select(F.col("a").alias("content")).union(pairs.select("b")).distinct()), "near-words")
         first = pairs.join(lists.toDF("a", "list_a"), "a")
         full = first.join(lists.toDF("b", "list_b"), "b").select("a", "b", "list_a", "list_b")
         return full.mapInArrow(check, "a long, b long")
@@ -213,6 +292,12 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, many: int = 48, few:
         if more.limit(1).count():
             links = links.union(more)
             classes = components(links, "near")
+    rest = materialize(untested(classes), "near-open")
+    if rest.limit(1).count():
+        more = materialize(verified(remaining(rest)), "near-verified")
+        if more.limit(1).count():
+            links = links.union(more)
+            classes = components(links, "near")
     degree = links.select(F.col("a").alias("content")).union(links.select("b")).groupBy("content").agg(F.count("*").alias("links"))
     rooted = contents.select("content", F.col("doc").alias("least")).join(classes.withColumnRenamed("v", "content"), "content", "left")
     rooted = rooted.join(degree, "content", "left").withColumn("root", F.coalesce("root", "content"))

@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from locusframe.llm.ordermin import alike, banded_distance, components, keep_one_of_each, near_duplicates
+from locusframe.llm.ordermin import alike, banded_distance, components, keep_one_of_each, near_duplicates, rarest, sketches
+from locusframe.llm.relz import word_names
 
 SCHEMA = "doc_id long, text string, content string, words string, class_id string"
 
@@ -82,6 +84,40 @@ def test_no_link_is_lost_in_a_large_group_of_copies(spark):
     assert {x["class_id"] for x in out} == {0} and {x["class_size"] for x in out} == {500}
 
 
+def test_crowded_buckets_lose_no_pair(spark):
+    """Pages of one template, too far apart to be linked, crowd the buckets of the few pairs that are near."""
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    page = lambda: [w if r.random() < 0.86 else f"p{r.randrange(10**6)}" for w in base]
+    texts = [page() for _ in range(240)]
+    for _ in range(30):
+        near = page()
+        places = set(r.sample(range(200), 36))
+        texts += [near, [f"n{r.randrange(10**6)}" if i in places else w for i, w in enumerate(near)]]
+    buckets, linked = {}, set()
+    for i, t in enumerate(texts):
+        for b in sketches(word_names(" ".join(t).encode()), 48).tolist():
+            buckets.setdefault(b, []).append(i)
+    for i, j in sorted({(i, j) for m in buckets.values() for i in m for j in m if i < j}):
+        if alike(texts[i], texts[j], 0.8):
+            linked.add((i, j))
+    assert len(linked) > 15 and max(map(len, buckets.values())) > 50
+    out = {x["doc_id"]: x["class_id"] for x in near_duplicates(frame(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
+    assert [(i, j) for i, j in sorted(linked) if out[i] != out[j]] == []
+
+
+def test_similar_texts_share_a_rare_gram():
+    r = random.Random(6)
+    counts = np.random.default_rng(6).integers(0, 5, 1 << 18)
+    names = np.random.default_rng(7).integers(0, 2**32, 10**7 // 100, dtype=np.uint64)
+    for _ in range(3000):
+        a = [r.randrange(40) for _ in range(r.choice([1, 2, 4, 5, 6, 9, 10, 11, 12, 13, 14, 15, 16, 30, 100]))]
+        b = [hash(w) % 90000 for w in edited(r, a, r.randrange(len(a) // 4 + 2))]
+        if b and alike(a, b, 0.8):
+            x, y = (set(rarest(names[np.array(t)], 0.8, counts).tolist()) for t in (a, b))
+            assert x & y
+
+
 def test_odd_rows(spark):
     docs = [(1, None), (2, ""), (3, " \n"), (4, "one"), (5, "one"), (None, "three words here"), (6, "three  words\nhere"), (4, "one"), (7, "x " * 30000), (8, "x " * 30000 + "y")]
     got = sorted((x["doc_id"] or -1, x["class_id"], x["class_size"]) for x in near_duplicates(frame(spark, docs)).collect())
