@@ -4,8 +4,8 @@ Training takes at most ``train_docs`` labelled documents (lowest hash of doc_id)
 their first 3 to 6 characters (for inflected forms) are the features; copies (same three lowest word hashes) count once. Of the features whose chi-square against the label exceeds
 ``min_chi`` (chance words of a large vocabulary stay below) the ``n_features`` with the largest are kept, and all identity terms. Labels may be wrong: after a first fit, documents whose label the fit
 holds for ``doubt`` unlikely are left out and the weights are fitted anew. Every labelled sentence with an identity term is paired with copies in which the term is swapped for the others of
-its group; the loss adds ``swap_penalty`` times the mean squared change of the logit over all pairs, so that mentions of a
-group carry no weight of their own. Scoring reads whole texts.
+its group; the loss adds ``swap_penalty`` times the mean squared change of the logit over all pairs, in which whole words and
+beginnings change, so that mentions of a group carry no weight of their own. Scoring reads whole texts.
 
 Defined cases: null and empty texts have no words and get the intercept's score; without training labels of both kinds the
 score is the share of toxic ones (0 if there are none); a document with several labels counts as toxic if any says so; null
@@ -63,6 +63,29 @@ def swaps_of(text: str | None) -> list[str]:
     return [w for s in SENTENCE.split(low) for w in sorted(GROUP_OF.keys() & set(WORDS.findall(s)))]
 
 
+def features_of(words: set[str]) -> set[str]:
+    return {f"{n}:{w[:n] if n else w}" for w in words for n in LENGTHS if len(w) >= n}
+
+
+def changes_of(text: str | None) -> list[str]:
+    """For each swap in each sentence the features that go, a tab and those that come; separated by spaces."""
+    low = (text or "").lower()
+    if GROUP_OF.keys().isdisjoint(WORDS.findall(low)):
+        return []
+    out = []
+    for s in SENTENCE.split(low):
+        words = set(WORDS.findall(s))
+        for w in sorted(GROUP_OF.keys() & words):
+            group = set(GROUP_OF[w])
+            # Only these features can change; other words of the sentence may hold some of them.
+            rest = features_of(words - {w}) & features_of(group)
+            for v in GROUP_OF[w]:
+                if v != w:
+                    old, new = features_of({w}) - rest, features_of({v}) - rest
+                    out.append(" ".join(sorted(old - new)) + "\t" + " ".join(sorted(new - old)))
+    return out
+
+
 def fit_weights(x: np.ndarray, y: np.ndarray, swaps: np.ndarray, l2: float = 0.3, swap_penalty: float = 1.0, rounds: int = 25):
     """Newton's method for mean log loss + l2 / 2n |w|^2 + swap_penalty / 2 mean (swap . w)^2; the last weight is the intercept."""
     n, k = x.shape
@@ -88,7 +111,7 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         words = [sorted(words_of(t)) for t in b["text"]]
         low = [" ".join(sorted(w, key=lambda x: (zlib.crc32(x.encode("utf-8", "replace")), x))[:3]) for w in words]
-        yield pd.DataFrame({"id": b["id"], "toxic": b["toxic"], "copy": low, "words": words, "swaps": [swaps_of(t) for t in b["text"]]})
+        yield pd.DataFrame({"id": b["id"], "toxic": b["toxic"], "copy": low, "words": words, "swaps": [changes_of(t) for t in b["text"]]})
 
 
 def _beginnings(n: int):
@@ -130,18 +153,16 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = 12_000, n_featur
     place = {w: i for i, w in enumerate(vocabulary)}
     # At most train_docs rows with words of the vocabulary only.
     known = F.array(*(F.lit(w) for w in vocabulary))
-    kept = rows.orderBy("id").select("toxic", F.array_intersect("features", known).alias("features"), "swaps").collect()
+    kept = rows.orderBy("id").select("toxic", F.array_intersect("features", known).alias("features")).collect()
     x, y = np.zeros((len(kept), len(vocabulary)), dtype=np.float64), np.array([float(r["toxic"] > 0) for r in kept])
-    changes = []
     for i, r in enumerate(kept):
         x[i, [place[w] for w in r["features"]]] = 1
-        changes += [(place[f"0:{w}"], place[f"0:{v}"]) for w in r["swaps"] for v in GROUP_OF[w] if v != w]
-    pairs: dict[tuple[int, int], int] = {}
-    for p in changes:
-        pairs[p] = pairs.get(p, 0) + 1
+    # As many rows as there are pairs of terms, times the sets of beginnings that other words of a sentence hold.
+    pairs = rows.select(F.explode("swaps").alias("swap")).groupBy("swap").agg(F.count("*").alias("times")).orderBy("swap").collect()
     swaps = np.zeros((len(pairs), len(vocabulary)))
-    for i, ((u, v), times) in enumerate(pairs.items()):
-        swaps[i, u], swaps[i, v] = -math.sqrt(times), math.sqrt(times)
+    for i, r in enumerate(pairs):
+        for sign, names in zip((-1, 1), r["swap"].split("\t"), strict=True):
+            swaps[i, [place[f] for f in names.split() if f in place]] = sign * math.sqrt(r["times"])
     w = fit_weights(x, y, swaps, **fit)
     held = np.abs(y - 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))) < 1 - doubt
     if 0 < y[held].sum() < held.sum():

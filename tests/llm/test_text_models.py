@@ -226,6 +226,35 @@ def test_swaps_are_by_sentence():
     assert toxicity.swaps_of(None) == []
 
 
+def test_training_takes_weight_off_beginnings_of_identity_terms(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    docs, labels = [], []
+    for i in range(900):
+        kind = r.choice(["muslim", "christian", "hindu", "", "", ""])
+        slur = r.random() < 0.2
+        docs.append((i, " ".join([word() for _ in range(12)] + ["vile"] * slur + [kind])))
+        labels.append((i, int(slur or (kind == "muslim" and r.random() < 0.6))))
+    df, lf = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+    def logit(text, model):
+        p = toxicity.score_text(text, model)
+        return np.log(p / (1 - p))
+
+    plain, fair = (toxicity.train(df, lf, doubt=0.0, swap_penalty=x) for x in (0.0, 10.0))
+    assert "musl" in plain["weights"][4]
+    change = [logit("a muslim came", m) - logit("a hindu came", m) for m in (plain, fair)]
+    assert change[0] > 2 and abs(change[1]) < 0.1 * change[0]
+    assert logit("a vile one", fair) - logit("a new one", fair) > 1
+
+
+def test_a_swap_changes_beginnings():
+    changes = toxicity.changes_of("Hindu christmas.")
+    assert "0:hindu 3:hin 4:hind 5:hindu\t0:muslim 3:mus 4:musl 5:musli 6:muslim" in changes
+    assert "0:hindu 3:hin 4:hind 5:hindu\t0:christian" in changes  # christmas has its beginnings
+    assert toxicity.changes_of(None) == []
+
+
 def test_toxic_rows(spark):
     r = random.Random(1)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(3, 7)))
