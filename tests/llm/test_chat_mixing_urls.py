@@ -50,6 +50,19 @@ def test_long_conversations_come_in_parts(spark):
     assert "".join(r["rendered"] for r in sorted((r for r in out if r["conv_id"] == 1 and r["perspective"] == "a"), key=lambda r: r["part"])) == rendered([("ab"[i % 2], str(i)) for i in range(100)], "a")[0]
 
 
+def test_crowded_parts_are_cut_in_order(spark):
+    turns = [(None if i % 3 else i % 5, "abc"[i % 3 if i % 7 else 2], f"{i % 90:02}") for i in range(400)]
+    rows = [(c, *t, "") for c in (1, None) for t in turns] + [(2, 0, "a", "same", "")] * 300 + [(3, 0, "a", str(i), "") for i in range(32)]
+    out = rotate_perspectives(spark.createDataFrame(rows, CONVERSATIONS).repartition(7), part_turns=8).collect()
+    in_order = sorted(turns, key=lambda t: (-1 if t[0] is None else t[0], *t[1:]))
+    for conv, said in ((1, in_order), (None, in_order), (2, [(0, "a", "same")] * 300), (3, sorted((0, "a", str(i)) for i in range(32)))):
+        for who in {t[1] for t in said}:
+            own = sorted((r for r in out if r["conv_id"] == conv and r["perspective"] == who), key=lambda r: r["sub_part"])
+            assert [r["sub_part"] for r in own] == list(range(-(-len(said) // 32)))
+            for k, r in enumerate(own):
+                assert (r["rendered"], r["mask"]) == rendered([t[1:] for t in said[32 * k : 32 * k + 32]], who)
+
+
 def test_no_conversations(spark):
     assert rotate_perspectives(spark.createDataFrame([], CONVERSATIONS)).count() == 0
 
