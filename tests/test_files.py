@@ -170,13 +170,13 @@ def test_dictionary_fingerprint_depends_on_bounds():
 
 
 def test_command_line(spark, tmp_path):
-    (tmp_path / "a.bed").write_text("chr1\t0\t10\tAlpha\nchr1\t20\t25\tBeta\n")
+    (tmp_path / "a.bed").write_text("ctgX\t4\t9\tQuill\nctgX\t30\t44\tFern\n")
     out = io.StringIO()
     run(spark, parser().parse_args(["build", str(tmp_path / "a.bed"), "--output", str(tmp_path / "i")]), out)
     assert "records_processed: 2" in out.getvalue()
     out = io.StringIO()
     run(spark, parser().parse_args(["query", str(tmp_path / "a.bed"), "al", "--match", "prefix", "--index", str(tmp_path / "i"), "--contig", "CHR1"]), out)
-    assert out.getvalue() == "chr1\t0\t10\tAlpha\n"
+    assert out.getvalue() == "ctgX\t4\t9\tQuill\n"
     out = io.StringIO()
     run(spark, parser().parse_args(["inspect", str(tmp_path / "i")]), out)
     assert "term_count: 2" in out.getvalue()

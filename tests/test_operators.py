@@ -25,15 +25,15 @@ def column(spark, values, f, kind="string"):
 
 
 def test_text_functions(spark):
-    assert column(spark, ["  BRCA1 ", "\tÉİ\n"], normalize) == ["brca1", "Éİ"]
-    assert [normalized("  BRCA1 "), normalized("x A ", True)] == ["brca1", "x A"]
+    assert column(spark, ["  BRCA1 ", "\tÉİ\n"], normalize) == ["tolq9", "Éİ"]
+    assert [normalized("  BRCA1 "), normalized("x A ", True)] == ["tolq9", "x A"]
     assert column(spark, ["a%20b", "a+b", "100%", "%zz", "%C3%A9"], percent_decode) == ["a b", "a+b", "100%", "%zz", "é"]
     assert column(spark, ["a\r\n", "a\n\r", "a\r", "a"], strip_line_ending) == ["a", "a\n", "a", "a"]
     assert column(spark, ["7", "+7", "-7", " 7", "", "99999999999999999999", None], unsigned) == [7, 7, None, None, None, None, None]
     assert column(spark, [0, 1, 127, 128, 16383, 16384, 2**62], varint_length, "long") == [1, 1, 1, 2, 2, 3, 9]
-    names = ["chr10", "chr2", "GLP1", "chr1", "Chr3"]
+    names = ["arm10", "arm2", "Zeta1", "arm1", "Arm3"]
     keys = dict(zip(names, column(spark, names, natural_key)))
-    assert sorted(names, key=keys.get) == ["chr1", "chr2", "Chr3", "chr10", "GLP1"]
+    assert sorted(names, key=keys.get) == ["arm1", "arm2", "Arm3", "arm10", "Zeta1"]
 
 
 @pytest.mark.parametrize(
