@@ -3,16 +3,18 @@
 Of the k-grams of every window the one with the least (mixed) name is the window's anchor, the leftmost of equals. Equal
 windows have equal anchors at equal offsets, so whoever looks for repeated windows can meet at anchors, of which there are
 about 2 in window - k + 2 positions. Names of stretches are made by doubling: the name of 2 m symbols at a position mixes the
-names of m symbols there and m further on.
+names of m symbols there and m further on. Names only say which stretches may be equal; digests say which are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import blake2b
+
 import numpy as np
 
 U = np.uint64
 _A, _B, _C = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0xFF51AFD7ED558CCD)
-_INVERSE = U(pow(int(_B), -1, 1 << 64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -45,28 +47,19 @@ def names_of(symbols: np.ndarray, n: int) -> np.ndarray:
     return names
 
 
-def stretches(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Names of the stretches [start, end), of any lengths; int64."""
-    power = np.full(len(symbols) + 1, _B, dtype=U)
-    power[0] = 1
-    np.multiply.accumulate(power, out=power)
-    sums = np.concatenate([np.zeros(1, dtype=U), np.cumsum(symbols * power[:-1], dtype=U)])
-    back = np.full(int(starts.max()) + 1, _INVERSE, dtype=U)
-    back[0] = 1
-    np.multiply.accumulate(back, out=back)
-    return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(U)).view(np.int64)
+def digests(data: bytes, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit BLAKE2 digests of data[low:high], as two int64 arrays: what decides that two stretches are equal."""
+    found = b"".join([blake2b(data[a:b], digest_size=16).digest() for a, b in zip(low.tolist(), high.tolist(), strict=True)])
+    both = np.frombuffer(found, np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
 
-def anchors(symbols: np.ndarray, k: int, window: int, piece: int = 1 << 20):
-    """(kgram name, context name, position, first and last window start) of every anchor; int64 arrays.
+def anchors(symbols: np.ndarray, k: int, window: int, piece: int = 1 << 20) -> Iterator[tuple[np.ndarray, ...]]:
+    """(name of the k-gram, position, first and last window start) of the anchors; int64 arrays, for pieces of a text's window starts.
 
-    The context is the stretch from the first window's start to the last window's end. Texts are taken in pieces of
-    window starts; an anchor that serves windows of two pieces is given for each.
+    An anchor that serves windows of two pieces is given for each.
     """
     n = len(symbols) - window + 1
-    if n <= 0:
-        return (np.empty(0, np.int64),) * 5
-    out = []
     for a in range(0, n, piece):
         part = symbols[a : min(a + piece, n) + window - 1]
         grams = names_of(part, k)
@@ -78,9 +71,7 @@ def anchors(symbols: np.ndarray, k: int, window: int, piece: int = 1 << 20):
         at = (least & U((1 << 24) - 1)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         last = np.concatenate([first[1:] - 1, [len(at) - 1]])
-        context = stretches(part, first, last + window)
-        out.append((grams[at[first]].view(np.int64), context, at[first] + a, first + a, last + a))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        yield grams[at[first]].view(np.int64), at[first] + a, first + a, last + a
 
 
 def joined(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:

@@ -1,24 +1,30 @@
 """Near-duplicate documents by Order MinHash, verified by banded alignment.
 
-A sketch picks, under one hash, the ``few`` least of the text's 5-word k-mers, each labelled with its occurrence number, and
+A sketch picks, under one hash, the two least of the text's k-mers of words, each labelled with its occurrence number, and
 keeps them in text order; it is equal for two texts the likelier the fewer word edits lie between them. Texts with an
 equal sketch are candidates; a pair is linked if its word alignment (edit distance in a band as wide as the threshold
 allows) has similarity 1 - distance / longer length of at least ``similarity``. Classes are the connected components of links.
 
-Equal texts are one vertex. Every member of a bucket of equal sketches meets the bucket's hub; then, where members of a
+Sketches are of five words; as edits spread evenly over a text that is just similar enough leave no five words whole,
+most are of three, and of two where the longer text of a pair has fewer than ``SHORT`` words (``SKETCHES``). Texts whose
+partners may be on the other side of that length have both kinds.
+
+Equal texts (128-bit digests of their words) are one vertex. Every member of a bucket of equal sketches meets the bucket's hub; then, where members of a
 bucket are still in different classes, the hubs under other orders (``hubs`` in all). Members that are in different classes
 even then, and are no hubs, are compared by what similar texts must share: edits of ``band`` words leave all but 3 * band of
 the 3-word grams, so a pair meets at one of the rarest 3 * band + 1 or so of them (single words for texts of less than
 ``SHORT`` words). No pair of a bucket is left out. The number of candidates is linear in the number of sketches but for texts
 that share their rarest grams.
 
-Defined cases: null text is empty; empty texts (and those without words) form one class; texts of fewer than five words have
-one k-mer, the whole; null doc_id comes before all others, and a class that has one has class_id null; repeated rows are in
-one class; an empty table gives no rows; further columns are ignored.
+Defined cases: null text is empty; empty texts (and those without words) form one class; texts of fewer words than a k-mer
+have one, the whole; very long texts are aligned in memory linear in their words but for their commonest ones; null doc_id
+comes before all others, and a class that has one has class_id null; repeated rows are in one class; an empty table gives no
+rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,21 +32,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import U, mix, names_of, stretches
+from .anchors import U, mix, names_of
 from .common import materialize, release, table
-from .relz import word_names
-from .repeats import texts
+from .relz import word_names, word_symbols
+from .repeats import Symbols, texts
 
-K = 5
 #: Words of a gram by which the rest of crowded buckets is compared; pairs whose longer text has fewer than SHORT words go by single words.
 GRAM, SHORT = 3, 12
+#: (words of a k-mer, how many sketches) for pairs whose longer text has SHORT words or more, and for the others.
+SKETCHES = {"long": [(5, 16), (3, 40)], "short": [(2, 40)]}
+FEW = 2
 #: Bits of the slots in which grams are counted, and how many texts of one gram meet in one task.
 SLOTS, MEET = 18, 256
 
 
-def content_name(words: np.ndarray) -> int:
-    """One name for the whole sequence of words."""
-    return int(stretches(words, np.array([0]), np.array([len(words)]))[0]) if len(words) else 0
+def content_names(text: Symbols) -> tuple[int, int]:
+    """A 128-bit digest of the whole sequence of words."""
+    if not len(text.names):
+        return 0, 0
+    first, second = text.digests(np.array([0]), np.array([len(text.names)]))
+    return int(first[0]), int(second[0])
 
 
 def numbered_grams(grams: np.ndarray) -> np.ndarray:
@@ -70,36 +81,36 @@ def rarest(words: np.ndarray, similarity: float, counts: np.ndarray | None = Non
     return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 
-def sketches(words: np.ndarray, many: int, few: int = 2) -> np.ndarray:
-    """``many`` order-sensitive sketches (int64); none of a text without words."""
-    if not len(words):
-        return np.empty(0, np.int64)
-    grams = names_of(words, K) if len(words) >= K else np.array([content_name(words)]).view(U)
-    labelled = numbered_grams(grams)
-    out = np.empty(many, np.int64)
-    few = min(few, len(grams))
-    rows = max(1, min(many, (1 << 19) // len(grams)))
-    odd = (mix(np.arange(1, many + 1, dtype=U)) << U(1)) | U(1)
-    for i in range(0, many, rows):
-        ranks = labelled[None, :] * odd[i : i + rows, None]
-        lines = np.arange(len(ranks))
-        places = np.empty((len(ranks), few), dtype=np.int64)
-        for j in range(few):
-            places[:, j] = ranks.argmin(axis=1)
-            ranks[lines, places[:, j]] = U(0xFFFFFFFFFFFFFFFF)
-        places.sort(axis=1)
-        name = np.zeros(len(ranks), dtype=U)
-        for j in range(few):
-            name = mix(name * U(0xC2B2AE3D27D4EB4F) + grams[places[:, j]])
-        out[i : i + rows] = mix(name + np.arange(i, i + len(ranks), dtype=U)).view(np.int64)
-    return out
+def sketches(words: np.ndarray, similarity: float = 0.8) -> np.ndarray:
+    """The order-sensitive sketches of a text (int64); none of a text without words."""
+    n, out = len(words), []
+    kinds = SKETCHES["short"] * (n < SHORT) + SKETCHES["long"] * (int(n / similarity + 1e-9) >= SHORT)
+    for k, many in kinds if n else []:
+        grams = names_of(words, min(k, n))
+        labelled, few = numbered_grams(grams), min(FEW, len(grams))
+        rows = max(1, min(many, (1 << 19) // len(grams)))
+        odd = (mix(np.arange(1, many + 1, dtype=U)) << U(1)) | U(1)
+        for i in range(0, many, rows):
+            ranks = labelled[None, :] * odd[i : i + rows, None]
+            lines = np.arange(len(ranks))
+            places = np.empty((len(ranks), few), dtype=np.int64)
+            for j in range(few):
+                places[:, j] = ranks.argmin(axis=1)
+                ranks[lines, places[:, j]] = U(0xFFFFFFFFFFFFFFFF)
+            places.sort(axis=1)
+            name = np.full(len(ranks), k, dtype=U)
+            for j in range(few):
+                name = mix(name * U(0xC2B2AE3D27D4EB4F) + grams[places[:, j]])
+            out.append(mix(name + np.arange(i, i + len(ranks), dtype=U)).view(np.int64))
+    return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
 def banded_distance(a: list, b: list, band: int) -> int:
     """The word edit distance of a and b if it is at most band, else some number above it.
 
     Bit-parallel rows of differences over a window of 2 * band + 1 rows that slides along the diagonal; outside the band
-    differences are taken as +1, which no alignment of distance band or less can use.
+    differences are taken as +1, which no alignment of distance band or less can use. Places of a word are a list, from which
+    the window's bits are set; words with many places have all their bits at hand.
     """
     if len(a) < len(b):
         a, b = b, a
@@ -114,17 +125,31 @@ def banded_distance(a: list, b: list, band: int) -> int:
     m, n = len(a), len(b)
     if not n or not band:
         return m
-    at: dict = {}
+    places: dict = {}
     for i, w in enumerate(a):
-        at[w] = at.get(w, 0) | (1 << i)
-    mask = (1 << (2 * band + 1)) - 1
+        places.setdefault(w, []).append(i)
+    bits: dict = {}
+    for w, at in places.items():
+        if len(at) > 16 + m // 1024:
+            flags = np.zeros(m, dtype=np.uint8)
+            flags[at] = 1
+            bits[w] = int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+    width = 2 * band + 1
+    mask = (1 << width) - 1
     plus, minus, base, top = mask, 0, 0, 0
     for j, w in enumerate(b, 1):
         if j - band - 1 > base:
             top += (plus & 1) - (minus & 1)
             base += 1
             plus, minus = (plus >> 1) | (mask ^ (mask >> 1)), minus >> 1
-        equal = (at.get(w, 0) >> base) & mask
+        if w in bits:
+            equal = (bits[w] >> base) & mask
+        else:
+            equal, at = 0, places.get(w, ())
+            for i in at[bisect_left(at, base) :] if at else ():
+                if i >= base + width:
+                    break
+                equal |= 1 << (i - base)
         diagonal = (((equal & plus) + plus) ^ plus) | equal | minus
         up = minus | ~(diagonal | plus)
         down = (diagonal & plus) << 1
@@ -133,7 +158,7 @@ def banded_distance(a: list, b: list, band: int) -> int:
         minus = up & diagonal & mask
         top += 1
     rows = (1 << max(0, m - base)) - 1
-    if m - base > 2 * band + 1:
+    if m - base > width:
         return band + 1
     return top + (plus & rows).bit_count() - (minus & rows).bit_count()
 
@@ -173,62 +198,73 @@ def components(links: DataFrame, what: str) -> DataFrame:
     return roots
 
 
-def near_classes(docs: DataFrame, similarity: float = 0.8, many: int = 48, few: int = 2, hubs: int = 3) -> DataFrame:
+def near_classes(docs: DataFrame, similarity: float = 0.8, hubs: int = 3) -> DataFrame:
     """(doc_id, text) -> one row per document: doc, version (repeats.texts), class_doc, class_version (the class's least), class_size, links."""
+    staged: list[DataFrame] = []
+
+    def kept(df: DataFrame, what: str) -> DataFrame:
+        staged.append(materialize(df, f"near-{what}"))
+        return staged[-1]
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
         for b in batches:
             rows = []
             for doc, version, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                words = word_names(body)
-                rows.append((doc, version, content_name(words), len(words), sketches(words, many, few)))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["doc", "version", "content", "words", "sketch"])
+                words = word_symbols(body)
+                rows.append((doc, version, *content_names(words), len(words.names), sketches(words.names, similarity)))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["doc", "version", "content", "check", "words", "sketch"])
 
     keyed = texts(docs)
-    all_rows = materialize(keyed.mapInArrow(sketched, "doc long, version long, content long, words long, sketch array<long>"), "near-sketches")
-    contents = all_rows.groupBy("content").agg(F.min("doc").alias("doc"), F.first("words").alias("words"), F.first("sketch").alias("sketch"))
-    contents = materialize(contents, "near-contents")
-    members = materialize(contents.select("content", "words", F.explode("sketch").alias("bucket")), "near-members")
-
-    def candidates(hub: int, classes: DataFrame | None) -> DataFrame:
-        """Members with their bucket's hub; with classes only where the two are in different ones."""
-        rows = members
-        if classes is not None:
-            rows = rows.join(classes.withColumnRenamed("v", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
-            rows = materialize(rows, "near-classed")
-        else:
-            rows = rows.withColumn("root", F.col("content"))
+    all_rows = kept(keyed.mapInArrow(sketched, "doc long, version long, content long, check long, words long, sketch array<long>"), "sketches")
+    contents = all_rows.groupBy("content", "check").agg(F.min(F.struct("doc", "version")).alias("at"), F.first("words").alias("words"), F.first("sketch").alias("sketch"))
+    contents = kept(contents, "contents")
+    # A vertex is named by 64 bits of its digest; should two share them, both are renamed by all 128.
+    same = contents.groupBy("content").agg(F.count("*").alias("texts")).where("texts > 1")
+    if same.limit(1).count():
+
+        def told_apart(df: DataFrame) -> DataFrame:
+            other = F.when(F.col("texts").isNotNull(), F.xxhash64("content", "check")).otherwise(F.col("content"))
+            return df.join(same, "content", "left").withColumn("content", other).drop("texts")
+
+        all_rows, contents = kept(told_apart(all_rows), "sketches"), kept(told_apart(contents), "contents")
+    everywhere = contents.select("content", "words", F.explode("sketch").alias("bucket"))
+    shared = everywhere.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").select("bucket")
+    # Sketches that no other text has are read once.
+    members = kept(everywhere.join(shared, "bucket"), "members")
+
+    def classed(classes: DataFrame) -> DataFrame:
+        rows = members.join(classes.withColumnRenamed("v", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
+        return kept(rows, "classed")
+
+    def candidates(hub: int, rows: DataFrame) -> DataFrame:
+        """Members (content, words, bucket, root) with their bucket's hub where the two are in different classes."""
         chosen = F.min(F.struct(F.xxhash64("content", F.lit(hub)).alias("order"), "content", "words", "root"))
         mixed = rows.groupBy("bucket").agg(chosen.alias("hub"), F.min("root").alias("low"), F.max("root").alias("high"))
-        mixed = materialize(mixed.where("low <> high").select("bucket", "hub.content", "hub.words", "hub.root").toDF("bucket", "hub", "hub_words", "hub_root"), "near-hubs")
+        mixed = kept(mixed.where("low <> high").select("bucket", "hub.content", "hub.words", "hub.root").toDF("bucket", "hub", "hub_words", "hub_root"), "hubs")
         pairs = rows.join(mixed, "bucket").where("root <> hub_root")
         # Lengths alone can rule a pair out.
         fits = F.least("words", "hub_words") >= similarity * F.greatest("words", "hub_words") - 1e-9
         return pairs.where(fits).select(F.least("content", "hub").alias("a"), F.greatest("content", "hub").alias("b")).distinct()
 
-    def untested(classes: DataFrame) -> DataFrame:
+    def untested(rows: DataFrame) -> DataFrame:
         """(content, words, root) of members that have met their bucket's hubs only, of buckets where such members are in different classes."""
-        rows = members.join(classes.withColumnRenamed("v", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
-        rows = materialize(rows, "near-classed")
         chosen = F.array(*(F.min_by("content", F.struct(F.xxhash64("content", F.lit(hub)), "content")) for hub in range(hubs)))
         mixed = rows.groupBy("bucket").agg(chosen.alias("met"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        rest = rows.join(mixed.select("bucket", "met"), "bucket").where(~F.array_contains("met", F.col("content"))).drop("met")
-        rest = materialize(rest, "near-rest")
-        release(rows)
+        rest = kept(rows.join(mixed.select("bucket", "met"), "bucket").where(~F.array_contains("met", F.col("content"))).drop("met"), "rest")
         mixed = rest.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
         return rest.join(mixed.select("bucket"), "bucket").select("content", "words", "root").distinct()
 
     def remaining(rest: DataFrame) -> DataFrame:
         """Pairs of rest (content, words, root) in different classes that share one of their rarest grams."""
-        lists = materialize(words_of(rest.select("content")), "near-rest-words")
+        lists = kept(words_of(rest.select("content")), "rest-words")
 
         def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(1 << SLOTS, np.int64)
             for b in batches:
                 for x in b.column(1).to_pylist():
-                    grams = rarest(np.frombuffer(x, np.uint32).astype(U), similarity).view(U)
+                    grams = rarest(word_names(x), similarity).view(U)
                     total += np.bincount((grams >> U(64 - SLOTS)).astype(np.int64), minlength=1 << SLOTS)
             slots = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(total[slots])], names=["slot", "n"])
@@ -238,20 +274,20 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, many: int = 48, few:
         counts = np.zeros(1 << SLOTS, np.int64)
         for slot, n in found:
             counts[slot] = n
-        shared = docs.sparkSession.sparkContext.broadcast(counts)
+        common = docs.sparkSession.sparkContext.broadcast(counts)
 
         def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                grams = [rarest(np.frombuffer(x, np.uint32).astype(U), similarity, shared.value) for x in b.column(1).to_pylist()]
+                grams = [rarest(word_names(x), similarity, common.value) for x in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(grams, pa.list_(pa.int64()))], names=["content", "grams"])
 
         rows = lists.mapInArrow(listed, "content long, grams array<long>").join(rest, "content").select(F.explode("grams").alias("gram"), "content", "words", "root")
-        rows = materialize(rows, "near-grams")
+        rows = kept(rows, "grams")
         mixed = rows.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / MEET).alias("pieces"))
         rows = rows.join(mixed.where("low <> high").select("gram", "pieces"), "gram")
         # Crowded grams are dealt by pairs of pieces.
         rows = rows.withColumn("own", F.pmod(F.xxhash64("content"), "pieces")).withColumn("other", F.explode(F.expr("sequence(0L, pieces - 1)")))
-        rows = materialize(rows.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "content", "words", "root"), "near-meeting")
+        rows = kept(rows.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "content", "words", "root"), "meeting")
         x = rows.where("own = i").selectExpr("gram", "i", "j", "content AS a", "words AS a_words", "root AS a_root")
         y = rows.where("own = j").selectExpr("gram", "i", "j", "content AS b", "words AS b_words", "root AS b_root")
         pairs = x.join(y, ["gram", "i", "j"]).where("a_root <> b_root AND (i < j OR a < b)")
@@ -259,56 +295,51 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, many: int = 48, few:
         return pairs.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def words_of(needed: DataFrame) -> DataFrame:
-        needed = needed.join(contents.select("content", "doc"), "content")
+        """(content, words with one space between two) of the texts needed, each read from one of its documents."""
+        needed = needed.join(contents.select("content", "at.doc", "at.version"), "content")
 
         def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                found = []
-                for content, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    words = word_names(body)
-                    if content_name(words) == content:  # else another text of that doc_id
-                        found.append((content, (words >> U(32)).astype(np.uint32).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["content", "list"])
-
-        lists = keyed.join(needed, "doc").select("content", "body").mapInArrow(listed, "content long, list binary")
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([word_symbols(x).data for x in b.column(1).to_pylist()], pa.binary())], names=["content", "list"])
+
+        lists = keyed.join(needed, ["doc", "version"]).select("content", "body").mapInArrow(listed, "content long, list binary")
         return lists.dropDuplicates(["content"])
 
     def verified(pairs: DataFrame) -> DataFrame:
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                keep = [alike(np.frombuffer(x, np.uint32).tolist(), np.frombuffer(y, np.uint32).tolist(), similarity) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+                keep = [alike(x.split(), y.split(), similarity) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        pairs = materialize(pairs, "near-pairs")
-        lists = materialize(words_of(pairs.select(F.col("a").alias("content")).union(pairs.select("b")).distinct()), "near-words")
+        pairs = kept(pairs, "pairs")
+        lists = kept(words_of(pairs.select(F.col("a").alias("content")).union(pairs.select("b")).distinct()), "words")
         first = pairs.join(lists.toDF("a", "list_a"), "a")
         full = first.join(lists.toDF("b", "list_b"), "b").select("a", "b", "list_a", "list_b")
-        return full.mapInArrow(check, "a long, b long")
+        return kept(full.mapInArrow(check, "a long, b long"), "verified")
 
-    links = materialize(verified(candidates(0, None)), "near-verified")
+    links = verified(candidates(0, members.withColumn("root", F.col("content"))))
     classes = components(links, "near")
     for hub in range(1, hubs):
-        more = materialize(verified(candidates(hub, classes)), "near-verified")
+        more = verified(candidates(hub, classed(classes)))
         if more.limit(1).count():
             links = links.union(more)
             classes = components(links, "near")
-    rest = materialize(untested(classes), "near-open")
+    rest = kept(untested(classed(classes)), "open")
     if rest.limit(1).count():
-        more = materialize(verified(remaining(rest)), "near-verified")
+        more = verified(remaining(rest))
         if more.limit(1).count():
             links = links.union(more)
             classes = components(links, "near")
     degree = links.select(F.col("a").alias("content")).union(links.select("b")).groupBy("content").agg(F.count("*").alias("links"))
-    rooted = contents.select("content", F.col("doc").alias("least")).join(classes.withColumnRenamed("v", "content"), "content", "left")
-    rooted = rooted.join(degree, "content", "left").withColumn("root", F.coalesce("root", "content"))
-    rooted = materialize(rooted, "near-rooted")
+    rooted = contents.select("content", "at").join(classes.withColumnRenamed("v", "content"), "content", "left")
+    rooted = kept(rooted.join(degree, "content", "left").withColumn("root", F.coalesce("root", "content")), "rooted")
     counts = all_rows.groupBy("content").agg(F.count("*").alias("copies"))
-    one = F.min(F.struct("least", "version")).alias("one")
-    versions = all_rows.groupBy("content", F.col("doc").alias("least")).agg(F.min("version").alias("version"))
-    of_class = rooted.join(versions, ["content", "least"]).join(counts, "content").groupBy("root").agg(one, F.sum("copies").alias("class_size"))
-    of_class = materialize(of_class.select("root", "one.*", "class_size").toDF("root", "class_doc", "class_version", "class_size"), "near-classes")
+    of_class = rooted.join(counts, "content").groupBy("root").agg(F.min("at").alias("least"), F.sum("copies").alias("class_size"))
+    of_class = kept(of_class.select("root", "least.*", "class_size").toDF("root", "class_doc", "class_version", "class_size"), "classes")
     of_content = rooted.join(of_class, "root").select("content", "class_doc", "class_version", "class_size", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
-    return all_rows.select("doc", "version", "content").join(materialize(of_content, "near-of-content"), "content").drop("content")
+    out = materialize(all_rows.select("doc", "version", "content").join(of_content, "content").drop("content"), "near-of-documents")
+    release(*staged)
+    return out
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:

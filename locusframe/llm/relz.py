@@ -1,13 +1,16 @@
 """Substring dedup by relative Lempel-Ziv parsing against all documents as reference.
 
 The reference is every document with a smaller doc_id, indexed by blocks: the surroundings of the anchors of all 13-word
-windows (repeats.py). A document is parsed greedily into factors: blocks found in the index, and single windows where a
-block isn't found, which is at factor boundaries; touching or overlapping finds extend the factor. Every factor is of at
-least 13 words and becomes a duplicate span. Longest factors against one reference each would miss windows that
-straddle two of them; checking windows at the boundaries gives them as well.
-
-Defined cases: null text has no words; texts of fewer words than the window lose nothing; null doc_id comes before all
-others; rows with one doc_id don't remove words from each other; an empty table gives no rows; further columns are ignored.
+windows, and in later rounds single windows where a block isn't found, which is at the boundaries of factors (repeats.py). The
+index has one place (document, word) for a block. A document is parsed greedily from left to right: a factor starts at the
+first word that is not yet covered and lies in a window of the index, and takes the reference that reaches furthest, for as long as
+the windows that follow are found where that reference goes on. Factors are (first word, end, reference, its first word). Where one
+ends, windows that straddle the boundary may be found in another reference; then the next factor begins there, and may be shorter
+than a window, but with the words before it it holds one. All words of factors are duplicates.
+
+Defined cases: null text has no words; texts of fewer words than the window lose nothing; very long texts are indexed in pieces;
+null doc_id comes before all others; rows with one doc_id don't remove words from each other; repeated rows are parsed alike;
+an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,58 +24,99 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .anchors import mix
 from .common import table
-from .repeats import find_repeats, texts
-from .suffix import BYTE, removed_spans, with_repeats
+from .repeats import Symbols, find_repeats, texts
+from .suffix import BYTE, with_repeats
 
 IS_WORD = np.ones(256, dtype=bool)
 IS_WORD[[9, 10, 11, 12, 13, 32]] = False
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
+_NONE = np.empty(0, np.int64)
 
 
-def word_names(body: bytes) -> np.ndarray:
-    """Names of the words, runs of bytes that are no white space."""
+def word_symbols(body: bytes) -> Symbols:
+    """The words, runs of bytes that are no white space; the data are the words with one space between two."""
     b = np.frombuffer(body, np.uint8)
     inside = IS_WORD[b]
     edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
-    first = edges[::2]
+    first, end = edges[::2], edges[1::2]
     if not len(first):
-        return np.empty(0, np.uint64)
+        return Symbols(np.empty(0, np.uint64), b"", _NONE, _NONE)
     offset = np.zeros(len(b), dtype=np.int64)
     offset[first] = first
     offset = np.arange(len(b)) - np.maximum.accumulate(offset)
     power = np.full(int(offset.max()) + 1, _STEP)
     power[0] = 1
     np.multiply.accumulate(power, out=power)
-    return mix(np.add.reduceat(BYTE[b] * power[offset] * inside, first))
+    names = mix(np.add.reduceat(BYTE[b] * power[offset] * inside, first))
+    gaps = np.zeros(len(b), dtype=bool)
+    gaps[end[:-1]] = True
+    ends = np.cumsum(end - first + 1) - 1
+    return Symbols(names, np.where(gaps, np.uint8(32), b)[inside | gaps].tobytes(), ends - (end - first), ends)
+
+
+def word_names(body: bytes) -> np.ndarray:
+    return word_symbols(body).names
+
+
+def greedy_factors(runs: list | None, window: int) -> list[tuple[int, int, int, int]]:
+    """Runs of found windows (start, n, earlier, earlier_start) -> factors (first word, end, reference, its first word)."""
+    found = sorted((r["start"], r["n"], r["earlier"], r["earlier_start"]) for r in runs or [])
+    reach: list[list[int]] = []  # first window, end of its words, reference, place there: windows found one after another in one reference
+    for start, n, doc, place in found:
+        if reach and reach[-1][1] == start + window - 1 and reach[-1][2] == doc and reach[-1][3] + start - reach[-1][0] == place:
+            reach[-1][1] += n
+        else:
+            reach.append([start, start + n + window - 1, doc, place])
+    out, done, i = [], 0, 0
+    while i < len(reach):
+        # Both starts and ends grow, so the last that begins by the first uncovered word reaches furthest.
+        while i + 1 < len(reach) and reach[i + 1][0] <= done:
+            i += 1
+        first, end, doc, place = reach[i]
+        if end > done:
+            at = max(first, done)
+            out.append((at, end, doc, place + at - first))
+            done = end
+        i += 1
+    return out
 
 
 def parse_factors(docs: DataFrame, window: int = 13) -> DataFrame:
-    """(doc_id, text) -> doc_id, n_words, n_removed, kept_sha256, n_factors, factors (first word:end, comma-joined), sources, kept (text).
+    """(doc_id, text) -> doc_id, n_words, n_removed, kept_sha256, n_spans, spans (first word:end, comma-joined), factors, kept (text).
 
-    sources: for each factor a document with a smaller doc_id that holds its beginning.
+    factors: (first, end, reference, at): words first to end are those of document reference from word at on (null: one without doc_id).
     """
-    repeats = find_repeats(texts(docs), word_names, min(4, window), window, [1], False, "relz")
+    repeats = find_repeats(texts(docs), word_symbols, min(4, window), window, [1], False, "relz")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for doc_id, body, runs in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                words, factors = body.split(), removed_spans(runs, window)
-                ends = [0, *(x for s in factors for x in s), len(words)]
-                kept = [w for x, y in zip(ends[::2], ends[1::2], strict=True) for w in words[x:y]]
-                text = b" ".join(kept)
-                source = {r["start"]: r["earlier"] for r in runs or []}
-                rows.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(text).hexdigest(), len(factors), ",".join(f"{x}:{y}" for x, y in factors), [source[x] for x, _ in factors], text.decode("utf-8", "replace")))
+                words, factors, spans = word_symbols(body), greedy_factors(runs, window), []
+                for first, end, *_ in factors:
+                    if spans and spans[-1][1] == first:
+                        spans[-1][1] = end
+                    else:
+                        spans.append([first, end])
+                ends = [0, *(x for s in spans for x in s), len(words.names)]
+                kept = b" ".join(words.data[words.starts[x] : words.ends[y - 1]] for x, y in zip(ends[::2], ends[1::2], strict=True) if x < y)
+                removed = sum(y - x for x, y in spans)
+                parsed = [{"first": x, "end": y, "reference": None if doc == -(2**63) else doc, "at": at} for x, y, doc, at in factors]
+                rows.append((doc_id, len(words.names), removed, hashlib.sha256(kept).hexdigest(), len(spans), ",".join(f"{x}:{y}" for x, y in spans), parsed, kept.decode("utf-8", "replace")))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], names=names)
 
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.string()]
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "n_factors", "factors", "sources", "kept"]
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, n_factors long, factors string, sources array<long>, kept string"
+    factor = pa.struct([(x, pa.int64()) for x in ("first", "end", "reference", "at")])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.list_(factor), pa.string()]
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "n_spans", "spans", "factors", "kept"]
+    schema = (
+        "doc_id long, n_words long, n_removed long, kept_sha256 string, n_spans long, spans string, "
+        "factors array<struct<first: long, end: long, reference: long, at: long>>, kept string"
+    )
     return with_repeats(docs, repeats).mapInArrow(cut, schema)
 
 
 def op4_relative_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_factors(table(spark, sf_dir, "documents")).drop("kept", "sources")
+    return parse_factors(table(spark, sf_dir, "documents")).drop("kept", "factors")
 
 
 OP4_SQL = r"""
@@ -82,9 +126,9 @@ firsts AS (SELECT name, min(doc_id) AS first FROM words WHERE name IS NOT NULL G
 marked AS (SELECT doc_id, i, word, i - max(CASE WHEN first < doc_id THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) <= 12 AS hit FROM words LEFT JOIN firsts USING (name)),
 placed AS (SELECT doc_id, i, word, coalesce(hit, false) AS gone, coalesce(lag(hit) OVER (PARTITION BY doc_id ORDER BY i), false) AS before FROM marked),
 runs AS (SELECT *, sum(CASE WHEN gone AND NOT before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM placed),
-factors AS (SELECT doc_id, run, min(i) - 1 AS a, max(i) AS b FROM runs WHERE gone GROUP BY doc_id, run),
-listed AS (SELECT doc_id, count(*) AS n_factors, string_agg(a || ':' || b, ',' ORDER BY a) AS factors FROM factors GROUP BY doc_id),
+spans AS (SELECT doc_id, run, min(i) - 1 AS a, max(i) AS b FROM runs WHERE gone GROUP BY doc_id, run),
+listed AS (SELECT doc_id, count(*) AS n_spans, string_agg(a || ':' || b, ',' ORDER BY a) AS spans FROM spans GROUP BY doc_id),
 kept AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM placed GROUP BY doc_id)
-SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(n_factors, 0) AS n_factors, coalesce(factors, '') AS factors
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(n_spans, 0) AS n_spans, coalesce(spans, '') AS spans
 FROM documents LEFT JOIN kept USING (doc_id) LEFT JOIN listed USING (doc_id)
 """

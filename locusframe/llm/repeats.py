@@ -1,41 +1,74 @@
-"""Windows of texts that also start earlier, found by ranks at growing lengths.
+"""Windows of texts that also start earlier, by prefix doubling over a text's anchors.
 
-Round 1 ranks the k-grams at the anchors of all windows (anchors.py): Spark deals the (name, context, position) rows by name
-and sorts them. A name met once drops out. Of equal contexts (all windows of the anchor with their surroundings) the
-first position stays and the others are repeats; a first position goes on to the next round if its name has other contexts
-as well. The rounds after take the windows that are left in chunks of fewer starts, named by the symbols that all
-windows of the chunk have in common, until a chunk is one window and its name is the window's. Few windows get that far.
+Round 1 ranks the k-grams at the anchors of all windows (anchors.py): Spark deals the (name, position) rows by name, sorts
+them and numbers the names; the number is the position's rank. A name met once drops out. Round n + 1 takes the positions that are
+left, each with its rank, to a greater length: its row is the pair of that rank and the name of the symbols further on, sorted and
+ranked anew, until a position is alone or the length is the window's. Anchors stand for all windows that they serve at first; in
+later rounds for chunks of fewer window starts, at last for one.
+
+Rows also bear the digest of their context, which is all symbols of all windows they stand for. Of rows with equal digests
+(128 bits) the first position stays and the others are repeats, with the first as their reference; they go no further. Names and
+ranks say which rows meet; only digests say what is equal.
 
 A name that many rows of one batch share would go to one task; such rows are dealt on by document, marked to go on in
-any case, and the last round, whose equal rows meet batch by batch, settles them. Results don't depend on the batches.
+any case under the rank of the common name, and the last round, whose equal rows meet batch by batch, settles them. What is
+marked doesn't depend on the batches; which of several earlier places is the reference may.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import U, anchors, doubled, lengths_to, mix, stretches
+from .anchors import U, anchors, digests, doubled, lengths_to, mix
 from .common import materialize, release
 
-ROWS = "name long, context long, doc long, version long, start long, shape int"
-MARKS = "doc long, version long, start long, shape int, repeat boolean, earlier long"
+ROWS = "name long, context long, check long, doc long, version long, start long, shape int"
+#: known: 1 for repeats inside a batch. of, of_start: the earlier place of a known repeat; else of is the common name of a row that was dealt on.
+DEALT = ROWS + ", known int, of long, of_start long"
+MARKS = "doc long, version long, start long, shape int, repeat boolean, earlier long, earlier_start long, rank long"
 #: Rows of a name in one batch from which they are dealt on by document, and among how many names.
 CROWD, SPREAD = 64, 256
-#: The context of rows that only make a name go on.
-TOKEN = -1
+#: Context and check of rows that only make a name go on; they sort first.
+TOKEN = -(2**63)
 BATCH = 1 << 20
+_STEP, _SIGN = U(0x9E3779B97F4A7C15), np.int64(-(2**63))
+
+
+class Symbols(NamedTuple):
+    """A text's symbols: names, and the bytes of symbol i, data[starts[i]:ends[i]] (one byte each where starts is None)."""
+
+    names: np.ndarray
+    data: bytes
+    starts: np.ndarray | None = None
+    ends: np.ndarray | None = None
+
+    def digests(self, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.starts is None:
+            return digests(self.data, first, end)
+        return digests(self.data, self.starts[first], self.ends[end - 1])
+
+
+def version_of(body: Column) -> Column:
+    """64 bits of a text's MD5: tells rows of one doc_id with different texts apart."""
+    return F.conv(F.substring(F.md5(body), 1, 15), 16, 10).cast("long")
+
+
+def doc_key() -> Column:
+    """doc_id; null comes before all others."""
+    return F.coalesce(F.col("doc_id"), F.lit(-(2**63)).cast("long"))
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """(doc, version, body, *more): null doc_id comes before all others; rows of one doc_id with different texts differ in version."""
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    first = F.lit(-(2**63)).cast("long")
-    return docs.select(F.coalesce("doc_id", first).alias("doc"), F.crc32(body).alias("version"), body.alias("body"), *more)
+    return docs.select(doc_key().alias("doc"), version_of(body).alias("version"), body.alias("body"), *more)
 
 
 def _records(columns: list[np.ndarray], schema: str) -> pa.RecordBatch:
@@ -44,62 +77,60 @@ def _records(columns: list[np.ndarray], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=kinds[k]) for c, (_, k) in zip(columns, names, strict=True)], names=[n for n, _ in names])
 
 
-def _first_of(order: list[np.ndarray], keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted positions (by keys, then order), and the place of the first of each position's key among them."""
-    by = np.lexsort([*order[::-1], *keys[::-1]])
-    new = np.ones(len(by), dtype=bool)
-    for k in keys:
-        new[1:] &= k[by][1:] == k[by][:-1]
-    new[1:] = ~new[1:]
-    return by, np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))
-
-
-def _dealt(rows: list[list[np.ndarray]], within: bool) -> Iterator[pa.RecordBatch]:
-    """One batch of ROWS plus earlier: repeats inside the batch are told apart (earlier set), crowded names are spread."""
+def _dealt(rows: list[tuple[np.ndarray, ...]], within: bool, last: bool) -> Iterator[pa.RecordBatch]:
+    """One batch of DEALT: repeats inside the batch are known, crowded names are spread but in the last round."""
     if not rows:
         return
-    name, context, doc, version, start, shape = (np.concatenate(x) for x in zip(*rows, strict=True))
-    by, first = _first_of([doc, start], [name, context])
-    name, context, doc, version, start, shape = (x[by] for x in (name, context, doc, version, start, shape))
+    name, context, check, doc, version, start, shape = (np.concatenate(x) for x in zip(*rows, strict=True))
+    # Equal contexts have equal names.
+    by = np.lexsort([start, doc, check, context])
+    name, context, check, doc, version, start, shape = (x[by] for x in (name, context, check, doc, version, start, shape))
+    new = np.concatenate([[True], (context[1:] != context[:-1]) | (check[1:] != check[:-1])])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
     later = doc > doc[first]
     if within:
         later |= (doc == doc[first]) & (start > start[first])
-    known = np.where(later, 1, 0).astype(np.int32)
-    earlier = doc[first]
-    # Crowds among what is left; sorted by name already.
+    known = later.astype(np.int32)
+    of, of_start = np.where(later, doc[first], 0), np.where(later, start[first], 0)
     left = np.flatnonzero(~later)
     names, at, many = np.unique(name[left], return_inverse=True, return_counts=True)
     crowd = many[at] >= CROWD
-    if crowd.any() and (context != name).any():
+    if crowd.any() and not last:
         rows_at = left[crowd]
-        name[rows_at] = mix(name[rows_at].view(U) + (mix(doc[rows_at].view(U)) % U(SPREAD) + U(1)) * U(0x9E3779B97F4A7C15)).view(np.int64)
-        tokens = np.unique(np.concatenate([names[many >= CROWD], name[rows_at]]))
+        of[rows_at] = name[rows_at]
+        name[rows_at] = mix(name[rows_at].view(U) + (mix(doc[rows_at].view(U)) % U(SPREAD) + U(1)) * _STEP).view(np.int64)
+        spread, one = np.unique(name[rows_at], return_index=True)
+        common = names[many >= CROWD]
+        tokens, origin = np.concatenate([common, spread]), np.concatenate([common, of[rows_at][one]])
         zero = np.zeros(len(tokens), dtype=np.int64)
-        name, context = np.concatenate([name, tokens]), np.concatenate([context, zero + TOKEN])
-        doc, version, start, earlier = (np.concatenate([x, zero]) for x in (doc, version, start, earlier))
+        name, of = np.concatenate([name, tokens]), np.concatenate([of, origin])
+        context, check = np.concatenate([context, zero + TOKEN]), np.concatenate([check, zero + TOKEN])
+        doc, version, start, of_start = (np.concatenate([x, zero]) for x in (doc, version, start, of_start))
         shape, known = np.concatenate([shape, zero]), np.concatenate([known, zero])
-    yield _records([name, context, doc, version, start, shape, known, earlier], ROWS + ", known int, earlier long")
+    yield _records([name, context, check, doc, version, start, shape, known, of, of_start], DEALT)
 
 
 def _ranked(within: bool):
-    """Streams rows sorted by (name, context, doc, start) and marks repeats and those that go on; holds one name's first rows at most."""
+    """Streams rows sorted by (name, context, check, doc, start): numbers the names, marks repeats and those that go on; holds one name's first rows at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = context = None  # of the row before
+        name = context = check = None  # of the row before
         first_doc = first_start = 0  # of its context
         several = False  # its name has other contexts
+        rank = (TaskContext.get().partitionId() + 1) << 40  # of its name; names of this task count on from here
+        count = rank
         held: list[tuple] = []  # first rows of a name with one context so far
 
-        def out(rows: list[np.ndarray], repeat: np.ndarray, earlier: np.ndarray) -> pa.RecordBatch:
-            return _records([*rows, repeat, earlier], MARKS)
+        def out(rows: list[np.ndarray], repeat: np.ndarray, earlier: np.ndarray, earlier_start: np.ndarray, ranks: np.ndarray) -> pa.RecordBatch:
+            return _records([*rows, repeat, earlier, earlier_start, ranks], MARKS)
 
         for b in batches:
             n = b.num_rows
             if not n:
                 continue
-            k, c, d, v, s, f = (b.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            k, c, x, d, v, s, f, o = (b.column(i).to_numpy(zero_copy_only=False) for i in range(8))
             new_name = np.concatenate([[name is None or k[0] != name], k[1:] != k[:-1]])
-            new_context = new_name | np.concatenate([[context is None or c[0] != context], c[1:] != c[:-1]])
+            new_context = new_name | np.concatenate([[context is None or c[0] != context or x[0] != check], (c[1:] != c[:-1]) | (x[1:] != x[:-1])])
             at = np.maximum.accumulate(np.where(new_context, np.arange(n), -1))
             fd, fs = np.where(at < 0, first_doc, d[at]), np.where(at < 0, first_start, s[at])
             repeat = d > fd
@@ -108,40 +139,45 @@ def _ranked(within: bool):
             run_of = np.cumsum(new_name)
             goes_on = np.bincount(run_of, new_context & ~new_name, minlength=run_of[-1] + 1) > 0
             goes_on[0] |= several
+            # A name that begins with a token was spread: its rank is that of the common name, wherever its rows are.
+            begins = np.flatnonzero(new_name)
+            ranks_of = np.concatenate([[rank], np.where(f[begins] == 0, o[begins] | _SIGN, count + 1 + np.arange(len(begins)))]).astype(np.int64)
+            ranks = ranks_of[run_of]
             if held and (new_name.argmax() > 0 or not new_name[0]) and goes_on[0]:
-                rows = [np.array(x) for x in zip(*held, strict=True)]
-                yield out(rows, np.zeros(len(held), dtype=bool), rows[0])
+                rows = [np.array(y) for y in zip(*held, strict=True)]
+                yield out(rows, np.zeros(len(held), dtype=bool), rows[0], rows[2], np.full(len(held), rank))
                 held = []
             if new_name.any():
                 held = []
             real = f > 0
             emit = real & (repeat | goes_on[run_of])
             if emit.any():
-                yield out([x[emit] for x in (d, v, s, f)], repeat[emit], fd[emit])
+                yield out([y[emit] for y in (d, v, s, f)], repeat[emit], fd[emit], fs[emit], ranks[emit])
             last = run_of[-1]
             several = bool(goes_on[last])
             if not several:
                 wait = np.flatnonzero((run_of == last) & real & ~repeat)
                 held += list(zip(d[wait].tolist(), v[wait].tolist(), s[wait].tolist(), f[wait].tolist(), strict=True))
-            name, context, first_doc, first_start = k[-1], c[-1], fd[-1], fs[-1]
+            name, context, check, first_doc, first_start = k[-1], c[-1], x[-1], fd[-1], fs[-1]
+            rank, count = int(ranks_of[last]), count + len(begins)
 
     return run
 
 
 def _round(rows: DataFrame, within: bool, what: str) -> DataFrame:
-    """Rows (ROWS, known, earlier) -> marks, written; the rows themselves are needed no more."""
+    """DEALT -> MARKS, written; the rows themselves are needed no more."""
     rows = materialize(rows, f"{what}-rows")
-    known = rows.where("known = 1").selectExpr("doc", "version", "start", "shape", "true AS repeat", "earlier")
-    rest = rows.where("known = 0").drop("known", "earlier")
-    order = ["name", "context", "doc", "start"]
+    known = rows.where("known = 1").selectExpr("doc", "version", "start", "shape", "true AS repeat", "of AS earlier", "of_start AS earlier_start", "0L AS rank")
+    rest = rows.where("known = 0").drop("known", "of_start")
+    order = ["name", "context", "check", "doc", "start"]
     ranked = rest.repartition("name").sortWithinPartitions(*order).mapInArrow(_ranked(within), MARKS)
     marks = materialize(ranked.unionByName(known), f"{what}-marks")
     release(rows)
     return marks
 
 
-def _emit(within: bool, of: Callable):
-    """mapInArrow over documents; of(row) gives the columns of ROWS but doc and version."""
+def _emit(within: bool, of: Callable, last: bool):
+    """mapInArrow over documents; of(row) yields the columns of ROWS but doc and version."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, n = [], 0
@@ -149,25 +185,20 @@ def _emit(within: bool, of: Callable):
             columns = [b.column(i) for i in range(b.num_columns)]
             for i in range(b.num_rows):
                 doc, version, *rest = (c[i].as_py() for c in columns)
-                name, context, start, shape = of(*rest)
-                if len(name):
-                    rows.append([name, context, np.full(len(name), doc), np.full(len(name), version), start, shape])
+                for name, context, check, start, shape in of(*rest):
+                    rows.append((name, context, check, np.full(len(name), doc), np.full(len(name), version), start, shape))
                     n += len(name)
-                if n >= BATCH:
-                    yield from _dealt(rows, within)
-                    rows, n = [], 0
-        yield from _dealt(rows, within)
+                    if n >= BATCH:
+                        yield from _dealt(rows, within, last)
+                        rows, n = [], 0
+        yield from _dealt(rows, within, last)
 
     return run
 
 
-def _chunks(symbols: np.ndarray, todo: list, window: int, chunk: int, piece: int = 1 << 20):
-    """The open anchors of a text (start, shape) in chunks of window starts, aligned to the anchor."""
-    none = np.empty(0, np.int64)
-    if not todo:
-        return none, none, none, none
-    start = np.array([x["start"] for x in todo], dtype=np.int64)
-    shape = np.array([x["shape"] for x in todo], dtype=np.int64)
+def _chunks(symbols: Symbols, todo: list, window: int, chunk: int, piece: int = 1 << 20) -> Iterator[tuple[np.ndarray, ...]]:
+    """The open anchors of a text (start, shape, rank) in chunks of window starts, aligned to the anchor."""
+    start, shape, rank = (np.array([x[k] for x in todo], dtype=np.int64) for k in ("start", "shape", "rank"))
     many, offset = shape & 255, shape >> 8
     last, anchor = start + many - 1, start + offset
     # Chunk j of an anchor p: window starts p - chunk * (j + 1) + 1 .. p - chunk * j.
@@ -177,36 +208,35 @@ def _chunks(symbols: np.ndarray, todo: list, window: int, chunk: int, piece: int
     j = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per) + low[owner]
     top = anchor[owner] - chunk * j  # the chunk's last start, whole or not
     a, b = np.maximum(top - chunk + 1, start[owner]), np.minimum(top, last[owner])
-    core = window - chunk + 1
-    names, contexts = np.empty(len(a), np.int64), np.empty(len(a), np.int64)
-    for at in range(0, len(symbols), piece):
+    core = lengths_to(window - chunk + 1)
+    for at in range(0, len(symbols.names), piece):
         mine = np.flatnonzero((a >= at) & (a < at + piece))
         if len(mine):
-            part = symbols[at : at + piece + window + 256]
-            grams = part
-            for x, y in zip(lengths_to(core), lengths_to(core)[1:], strict=False):
+            grams = symbols.names[at : at + piece + window + 256]
+            for x, y in zip(core, core[1:], strict=False):
                 grams = doubled(grams, x, y)
             # All windows of the chunk hold the core that begins at its last start.
-            where = np.minimum(top[mine] - at, len(grams) - 1)
-            names[mine] = grams[where].view(np.int64)
-            contexts[mine] = names[mine] if chunk == 1 else stretches(part, a[mine] - at, b[mine] - at + window)
-    return names, contexts, a, (b - a + 1) | ((top - a) << 8)
+            further = grams[np.minimum(top[mine] - at, len(grams) - 1)]
+            names = mix(rank[owner[mine]].view(U) * _STEP + further).view(np.int64)
+            context, check = symbols.digests(a[mine], b[mine] + window)
+            yield names, context, check, a[mine], (b[mine] - a[mine] + 1) | ((top[mine] - a[mine]) << 8)
 
 
 def find_repeats(docs: DataFrame, symbols: Callable, k: int, window: int, chunks: list[int], within: bool, what: str) -> DataFrame:
-    """texts() -> (doc, version, start, n, earlier): n windows from start on, all of which also start earlier.
+    """texts() -> (doc, version, start, n, earlier, earlier_start): n windows from start on, all of which also start earlier.
 
-    symbols: body -> uint64 names of its symbols. within: an earlier start in the same document counts; else only one in a
-    document with a smaller doc_id. chunks: window starts to a chunk in the rounds after the first; the last is 1. earlier: a
-    document with an earlier one.
+    symbols: body -> Symbols. within: an earlier start in the same document counts; else only one in a document with a
+    smaller doc_id. chunks: window starts to a chunk in the rounds after the first; the last is 1. earlier, earlier_start: an
+    earlier document (or the same) and the place in it of the same windows.
     """
 
     def first(body: bytes):
-        name, context, at, low, high = anchors(symbols(body), k, window)
-        return name, context, low, (high - low + 1) | ((at - low) << 8)
+        text = symbols(body)
+        for name, at, low, high in anchors(text.names, k, window):
+            context, check = text.digests(low, high + window)
+            yield name, context, check, low, (high - low + 1) | ((at - low) << 8)
 
-    kind = ROWS + ", known int, earlier long"
-    rows = docs.mapInArrow(_emit(within, first), kind)
+    rows = docs.mapInArrow(_emit(within, first, False), DEALT)
     found = []
     for i, chunk in enumerate([*chunks, None]):
         marks = _round(rows, within, f"{what}-{i}")
@@ -217,9 +247,9 @@ def find_repeats(docs: DataFrame, symbols: Callable, k: int, window: int, chunks
         def later(body: bytes, todo: list, chunk: int = chunk):
             return _chunks(symbols(body), todo, window, chunk)
 
-        todo = marks.where("not repeat").groupBy("doc", "version").agg(F.collect_list(F.struct("start", "shape")).alias("todo"))
-        rows = docs.join(todo, ["doc", "version"]).select("doc", "version", "body", "todo").mapInArrow(_emit(within, later), kind)
+        todo = marks.where("not repeat").groupBy("doc", "version").agg(F.collect_list(F.struct("start", "shape", "rank")).alias("todo"))
+        rows = docs.join(todo, ["doc", "version"]).select("doc", "version", "body", "todo").mapInArrow(_emit(within, later, chunk == 1), DEALT)
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
-    return out.select("doc", "version", "start", F.col("shape").bitwiseAND(255).alias("n"), "earlier")
+    return out.select("doc", "version", "start", F.col("shape").bitwiseAND(255).alias("n"), "earlier", "earlier_start")

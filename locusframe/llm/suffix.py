@@ -1,13 +1,13 @@
 """Suffix-array dedup: bytes covered by a 100-byte string that also starts earlier, by prefix doubling.
 
-Names of 2 m bytes are made of the names of m bytes at a position and m further on; Spark sorts (name, position) pairs and
-drops what is unique, at 24, then 93, then 100 bytes (repeats.py), which is the threshold: no position is ranked further.
-Ranks are 64-bit names rather than dense numbers, and at 24 bytes only the anchors of the 100-byte windows are ranked (one
-position in about 39), which loses no window.
-
-Defined cases: null text is empty; texts shorter than the window lose nothing; null doc_id comes before all others; rows
-that repeat a doc_id and text are judged alike and don't remove each other; of different texts with one doc_id an earlier
-start is earlier; an empty table gives no rows; further columns are ignored.
+Spark sorts pairs of a position's rank so far and the name of the bytes further on, at lengths 24, 93 and 100, which is the
+threshold: no position is ranked further, and one that is alone drops out at once (repeats.py). Sorting every position at
+every doubling would shuffle each text some hundred times over, so positions start as the anchors of the 100-byte windows (one
+in about 39), which stand for all of them and lose none. What is equal is decided by 128-bit digests.
+
+Defined cases: null text is empty; texts shorter than the window lose nothing; very long texts are ranked in pieces;
+null doc_id comes before all others; rows that repeat a doc_id and text are judged alike and don't remove each other; of
+different texts with one doc_id an earlier start is earlier; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,21 +22,19 @@ from pyspark.sql import functions as F
 
 from .anchors import joined
 from .common import table
-from .repeats import find_repeats, texts
+from .repeats import Symbols, find_repeats, texts
 
 BYTE = np.random.default_rng(20240501).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def byte_names(body: bytes) -> np.ndarray:
-    return BYTE[np.frombuffer(body, np.uint8)]
+def byte_symbols(body: bytes) -> Symbols:
+    return Symbols(BYTE[np.frombuffer(body, np.uint8)], body)
 
 
 def with_repeats(docs: DataFrame, repeats: DataFrame) -> DataFrame:
-    """Every row of docs with its repeats (array of start, n, earlier; null if none)."""
-    runs = repeats.groupBy("doc", "version").agg(F.collect_list(F.struct("start", "n", "earlier")).alias("runs"))
-    body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("doc"), F.crc32(body).alias("version"), body.alias("body"))
-    return keyed.join(runs, ["doc", "version"], "left").select("doc_id", "body", "runs")
+    """Every row of docs with its repeats (array of start, n, earlier, earlier_start; null if none)."""
+    runs = repeats.groupBy("doc", "version").agg(F.collect_list(F.struct("start", "n", "earlier", "earlier_start")).alias("runs"))
+    return texts(docs, "doc_id").join(runs, ["doc", "version"], "left").select("doc_id", "body", "runs")
 
 
 def removed_spans(runs: list | None, window: int) -> list[tuple[int, int]]:
@@ -48,7 +46,7 @@ def removed_spans(runs: list | None, window: int) -> list[tuple[int, int]]:
 
 def dedup_substrings(docs: DataFrame, window: int = 100) -> DataFrame:
     """(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start:end in bytes, comma-joined), kept (bytes)."""
-    repeats = find_repeats(texts(docs), byte_names, min(24, window), window, [8, 1] if window > 16 else [1], True, "suffix")
+    repeats = find_repeats(texts(docs), byte_symbols, min(24, window), window, [8, 1] if window > 16 else [1], True, "suffix")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

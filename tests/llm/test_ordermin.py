@@ -96,7 +96,7 @@ def test_crowded_buckets_lose_no_pair(spark):
         texts += [near, [f"n{r.randrange(10**6)}" if i in places else w for i, w in enumerate(near)]]
     buckets, linked = {}, set()
     for i, t in enumerate(texts):
-        for b in sketches(word_names(" ".join(t).encode()), 48).tolist():
+        for b in sketches(word_names(" ".join(t).encode())).tolist():
             buckets.setdefault(b, []).append(i)
     for i, j in sorted({(i, j) for m in buckets.values() for i in m for j in m if i < j}):
         if alike(texts[i], texts[j], 0.8):
@@ -118,6 +118,41 @@ def test_similar_texts_share_a_rare_gram():
             assert x & y
 
 
+@pytest.mark.parametrize("even", [False, True])
+def test_recall_at_the_threshold(spark, even):
+    """Pairs of 10 to 400 words that are just similar enough are found, whether edits are spread evenly or at random."""
+    r = random.Random(7)
+    docs, pairs = [], {}
+    for n in (5, 10, 11, 14, 20, 50, 100, 400):
+        for _ in range(30):
+            a, e = [f"w{r.randrange(10**9)}" for _ in range(n)], n // 5
+            places = {i * n // e for i in range(e)} if even else set(r.sample(range(n), e))
+            b = [f"n{r.randrange(10**9)}" if i in places else w for i, w in enumerate(a)]
+            pairs.setdefault(n, []).append(len(docs))
+            docs += [(len(docs), " ".join(a)), (len(docs) + 1, " ".join(b))]
+    out = {x["doc_id"]: x["class_id"] for x in near_duplicates(frame(spark, docs)).collect()}
+    found = {n: sum(out[i + 1] == i for i in at) / len(at) for n, at in pairs.items()}
+    assert min(found.values()) >= 0.8 and sum(found.values()) / len(found) >= 0.9, found
+    assert sum(i != c for i, c in out.items()) == sum(round(found[n] * len(at)) for n, at in pairs.items())
+
+
+def test_complements_are_no_copies(spark):
+    """Texts whose sums of powers modulo 2^64 are equal, but not a word of which is."""
+    bits = [bin(i).count("1") % 2 for i in range(512)]
+    out = near_duplicates(frame(spark, [(k, " ".join(["yes", "no"][x ^ k] for x in bits)) for k in (0, 1)])).collect()
+    assert {x["doc_id"]: x["class_id"] for x in out} in ({0: 0, 1: 1}, {0: 0, 1: 0})
+    assert all(alike(*([str(x ^ k) for x in bits] for k in (0, 1)), 0.8) == (x["class_size"] == 2) for x in out)
+    kept = keep_one_of_each(frame(spark, [(None, "one text of no id"), (None, "quite another one"), (None, "one text of no id")])).collect()
+    assert sorted(x["text"] for x in kept) == ["one text of no id", "quite another one"]
+
+
+def test_many_distinct_words():
+    words = [f"w{i}" for i in range(60_000)]
+    other = ["first", *words[:30_000], "middle", *words[30_000:], "last"]
+    other[45_000] = "changed"
+    assert banded_distance(words, other, 400) == 4 and alike(words, other, 0.99)
+
+
 def test_odd_rows(spark):
     docs = [(1, None), (2, ""), (3, " \n"), (4, "one"), (5, "one"), (None, "three words here"), (6, "three  words\nhere"), (4, "one"), (7, "x " * 30000), (8, "x " * 30000 + "y")]
     got = sorted((x["doc_id"] or -1, x["class_id"], x["class_size"]) for x in near_duplicates(frame(spark, docs)).collect())

@@ -7,9 +7,9 @@ import numpy as np
 import pytest
 
 from locusframe.llm import repeats as rp
-from locusframe.llm.anchors import anchors, names_of, stretches
-from locusframe.llm.relz import parse_factors, word_names
-from locusframe.llm.suffix import byte_names, dedup_substrings
+from locusframe.llm.anchors import anchors, digests, names_of
+from locusframe.llm.relz import greedy_factors, parse_factors, word_names, word_symbols
+from locusframe.llm.suffix import byte_symbols, dedup_substrings
 
 SCHEMA = "doc_id long, text string, doc string, version string, start string, kept string"
 
@@ -88,19 +88,60 @@ def test_words(spark, seed):
     docs = corpus(seed)
     out = parse_factors(frame(spark, docs)).collect()
     assert sorted((order(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in out) == brute_words(docs)
-    texts = {order(i): (t or "").split() for i, t in docs}
+    check_factors(docs, out)
+
+
+def check_factors(docs, out):
+    """Factors cover what is removed, each is found where it says, and every word of it lies in a window that is found."""
+    texts = {}
+    for i, t in docs:
+        texts.setdefault(i, []).append((t or "").encode().split())
+    covered = 0
     for r in out:
-        for f, source in zip(filter(None, r["factors"].split(",")), r["sources"], strict=True):
-            a, b = map(int, f.split(":"))
-            assert b - a >= 13 and source < order(r["doc_id"])
-            begins = texts[order(r["doc_id"])][a : a + 13]
-            assert any(texts[source][j : j + 13] == begins for j in range(len(texts[source])))
+        end = 0
+        for f in r["factors"]:
+            assert f["first"] >= end and f["end"] > f["first"] and order(f["reference"]) < order(r["doc_id"])
+            end = f["end"]
+            covered += end - f["first"]
+            n = end - f["first"]
+            assert any(w[f["first"] : end] == x[f["at"] : f["at"] + n] for w in texts[r["doc_id"]] for x in texts[f["reference"]])
+        assert sum(f["end"] - f["first"] for f in r["factors"]) == r["n_removed"]
+    return covered
+
+
+def test_greedy_factors():
+    run = lambda *x: dict(zip(("start", "n", "earlier", "earlier_start"), x))
+    # Two runs that go on in one reference are one factor; of two that straddle its end the one that reaches furthest is next.
+    runs = [run(0, 3, 7, 40), run(3, 2, 7, 43), run(5, 1, 2, 0), run(6, 4, 3, 9), run(60, 1, 1, 5)]
+    assert greedy_factors(runs, 13) == [(0, 17, 7, 40), (17, 22, 3, 20), (60, 73, 1, 5)]
+    assert greedy_factors(None, 13) == []
+
+
+def thue_morse(n):
+    """Strings on which sums of powers modulo 2^64 collide with their complements."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return bits, [1 - x for x in bits]
+
+
+def test_adversarial_words(spark):
+    a, b = (["".join("ab"[x] for x in bits)] for bits in thue_morse(512))
+    head = [f"w{i}" for i in range(12)]
+    out = {r["doc_id"]: r["n_removed"] for r in parse_factors(frame(spark, [(1, " ".join(head + a)), (2, " ".join(head + b))])).collect()}
+    assert out == {1: 0, 2: 0}
+    texts = [" ".join(["yes", "no"][x] for x in bits) for bits in thue_morse(512)]
+    docs = list(enumerate(texts))
+    out = parse_factors(frame(spark, docs)).collect()
+    assert sorted((order(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in out) == brute_words(docs)
+    docs = [(i, "".join("xy"[x] for x in bits)) for i, bits in enumerate(thue_morse(1024))]
+    out = dedup_substrings(frame(spark, docs)).collect()
+    assert sorted((order(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out) == brute_bytes(docs)
 
 
 def test_few_distinct_words(spark):
     docs = corpus(5, 30, ["a", "b"])
     out = parse_factors(frame(spark, docs)).collect()
     assert sorted((order(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in out) == brute_words(docs)
+    assert check_factors(docs, out) > 0
     out = dedup_substrings(frame(spark, docs)).collect()
     assert sorted((order(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out) == brute_bytes(docs)
 
@@ -138,7 +179,8 @@ def test_equal_windows_have_equal_anchors():
     b = bytes(r.choice(b"abc ") for _ in range(333)) + a[500:900] + b"tail"
     served = []
     for body in (a, b):
-        _, _, at, low, high = anchors(byte_names(body), 24, 100, piece=130)
+        pieces = anchors(byte_symbols(body).names, 24, 100, piece=130)
+        _, at, low, high = (np.concatenate(x) for x in zip(*pieces))
         served.append({s: p - s for p, lo, hi in zip(at, low, high) for s in range(lo, hi + 1)})
         assert sorted(served[-1]) == list(range(len(body) - 99))
     assert all(served[0][500 + i] == served[1][333 + i] for i in range(301))
@@ -150,5 +192,8 @@ def test_names():
     assert len(words) == len(body.split()) and words[0] == words[2] == words[4] and words[1] == words[3] and len(set(words.tolist())) == 3
     grams = names_of(words, 2)
     assert grams[0] == grams[2] and grams[0] != grams[1]
-    assert stretches(words, np.array([0, 2]), np.array([2, 4])).tolist()[0] == stretches(words, np.array([0, 2]), np.array([2, 4])).tolist()[1]
+    both = word_symbols(body)
+    assert both.data == b" ".join(body.split()) and [both.data[x:y] for x, y in zip(both.starts, both.ends)] == body.split()
+    x, y = both.digests(np.array([0, 2, 1]), np.array([2, 4, 3]))
+    assert (x[0], y[0]) == (x[1], y[1]) != (x[2], y[2]) and (x[0], y[0]) == tuple(z[0] for z in digests(b"one two", np.array([0]), np.array([7])))
     assert len(word_names(b" \n")) == 0
