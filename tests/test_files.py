@@ -175,7 +175,7 @@ def test_command_line(spark, tmp_path):
     run(spark, parser().parse_args(["build", str(tmp_path / "a.bed"), "--output", str(tmp_path / "i")]), out)
     assert "records_processed: 2" in out.getvalue()
     out = io.StringIO()
-    run(spark, parser().parse_args(["query", str(tmp_path / "a.bed"), "al", "--match", "prefix", "--index", str(tmp_path / "i"), "--contig", "CHR1"]), out)
+    run(spark, parser().parse_args(["query", str(tmp_path / "a.bed"), "qu", "--match", "prefix", "--index", str(tmp_path / "i"), "--contig", "CTGX"]), out)
     assert out.getvalue() == "ctgX\t4\t9\tQuill\n"
     out = io.StringIO()
     run(spark, parser().parse_args(["inspect", str(tmp_path / "i")]), out)
