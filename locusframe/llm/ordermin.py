@@ -10,11 +10,13 @@ most are of three, and of two where the longer text of a pair has fewer than ``S
 partners may be on the other side of that length have both kinds.
 
 Equal texts (128-bit digests of their words) are one vertex. Every member of a bucket of equal sketches meets the bucket's hub; then, where members of a
-bucket are still in different classes, the hubs under other orders (``hubs`` in all). Members that are in different classes
-even then, and are no hubs, are compared by what similar texts must share: edits of ``band`` words leave all but 3 * band of
-the 3-word grams, so a pair meets at one of the rarest 3 * band + 1 or so of them (single words for texts of less than
-``SHORT`` words). No pair of a bucket is left out. The number of candidates is linear in the number of sketches but for texts
-that share their rarest grams.
+bucket are still in different classes, the hub under another order, round by round until a round finds no link; texts that
+have none yet are hubs before others. What
+keeps a bucket crowded is a passage or template that many texts have in common. So the members of such buckets get sketches of another
+kind: their grams are drawn with weights that fall with the number of such texts that have the gram, and those that no other
+has are left out. What two of them have in common beyond the crowd decides these, so that similar ones share nearly all and
+their buckets are small; their members meet hubs, round by round, again. No step makes pairs within a group: each round has at most as many
+candidates as there are sketches.
 
 Defined cases: null text is empty; empty texts (and those without words) form one class; texts of fewer words than a k-mer
 have one, the whole; very long texts are aligned in memory linear in their words but for their commonest ones; null doc_id
@@ -26,6 +28,8 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +41,13 @@ from .common import materialize, release, table
 from .relz import word_names, word_symbols
 from .repeats import Symbols, texts
 
-#: Words of a gram by which the rest of crowded buckets is compared; pairs whose longer text has fewer than SHORT words go by single words.
-GRAM, SHORT = 3, 12
+#: Pairs whose longer text has fewer than SHORT words have sketches of their own.
+SHORT = 12
 #: (words of a k-mer, how many sketches) for pairs whose longer text has SHORT words or more, and for the others.
 SKETCHES = {"long": [(5, 16), (3, 40)], "short": [(2, 40)]}
+#: The same for texts of crowded buckets.
+WEIGHTED = {"long": [(3, 16)], "short": [(1, 16)]}
 FEW = 2
-#: Bits of the slots in which grams are counted, and how many texts of one gram meet in one task.
-SLOTS, MEET = 18, 256
 
 
 def content_names(text: Symbols) -> tuple[int, int]:
@@ -56,6 +60,9 @@ def content_names(text: Symbols) -> tuple[int, int]:
 
 def numbered_grams(grams: np.ndarray) -> np.ndarray:
     """Names of the grams with their occurrence numbers."""
+    in_order = np.sort(grams)
+    if not (in_order[1:] == in_order[:-1]).any():
+        return mix(grams)
     by = np.argsort(grams, kind="stable")
     new = np.concatenate([[True], grams[by][1:] != grams[by][:-1]])
     nth = np.empty(len(grams), dtype=U)
@@ -63,48 +70,58 @@ def numbered_grams(grams: np.ndarray) -> np.ndarray:
     return mix(grams + nth * U(0x9E3779B97F4A7C15))
 
 
-def rarest(words: np.ndarray, similarity: float, counts: np.ndarray | None = None) -> np.ndarray:
-    """Grams of which two texts that are alike have one in common (int64): the rarest by counts, or all where there are none."""
-    n = len(words)
-    out = []
-    lengths = np.arange(n, int(n / similarity + 1e-9) + 1)
-    for size, partners in ((1, lengths[lengths < SHORT]), (GRAM, lengths[lengths >= SHORT])):
-        if not n or not len(partners) or n < size:
-            continue
-        grams = numbered_grams(names_of(words, size) ^ U(size))
-        if counts is not None:
-            # A partner of that many words shares at least so many grams.
-            shared = int((partners - size + 1 - size * np.floor((1 - similarity) * partners + 1e-9)).min())
-            rank = np.lexsort([grams, counts[(grams >> U(64 - SLOTS)).astype(np.int64)]])
-            grams = grams[rank[: len(grams) - max(1, shared) + 1]]
-        out.append(grams)
-    return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
+def kinds_of(n: int, similarity: float, table: dict) -> list[tuple[int, int]]:
+    """The kinds of sketches of a text of n words: those of all lengths that a similar text may have."""
+    return (table["short"] * (n < SHORT) + table["long"] * (int(n / similarity + 1e-9) >= SHORT)) if n else []
+
+
+@cache
+def _seeds(k: int, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors, one for each sketch, and what tells the sketches apart."""
+    return (mix(np.arange(1, many + 1, dtype=U)) << U(1)) | U(1), mix(np.arange(many, dtype=U) + U(k << 32))
 
 
 def sketches(words: np.ndarray, similarity: float = 0.8) -> np.ndarray:
     """The order-sensitive sketches of a text (int64); none of a text without words."""
     n, out = len(words), []
-    kinds = SKETCHES["short"] * (n < SHORT) + SKETCHES["long"] * (int(n / similarity + 1e-9) >= SHORT)
-    for k, many in kinds if n else []:
+    for k, many in kinds_of(n, similarity, SKETCHES):
         grams = names_of(words, min(k, n))
-        labelled, few = numbered_grams(grams), min(FEW, len(grams))
+        labelled = numbered_grams(grams)
         rows = max(1, min(many, (1 << 19) // len(grams)))
-        odd = (mix(np.arange(1, many + 1, dtype=U)) << U(1)) | U(1)
+        odd, own = _seeds(k, many)
         for i in range(0, many, rows):
-            ranks = labelled[None, :] * odd[i : i + rows, None]
-            lines = np.arange(len(ranks))
-            places = np.empty((len(ranks), few), dtype=np.int64)
-            for j in range(few):
-                places[:, j] = ranks.argmin(axis=1)
-                ranks[lines, places[:, j]] = U(0xFFFFFFFFFFFFFFFF)
-            places.sort(axis=1)
-            name = np.full(len(ranks), k, dtype=U)
-            for j in range(few):
-                name = mix(name * U(0xC2B2AE3D27D4EB4F) + grams[places[:, j]])
-            out.append(mix(name + np.arange(i, i + len(ranks), dtype=U)).view(np.int64))
+            out.append(_least_in_order(labelled[None, :] * odd[i : i + rows, None], U(0xFFFFFFFFFFFFFFFF), grams, own[i : i + rows]))
     return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
+def _least_in_order(ranks: np.ndarray, most, grams: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """One sketch a line: the grams at its FEW least ranks, in text order. Overwrites ranks."""
+    few, lines = min(FEW, len(grams)), np.arange(len(ranks))
+    places = np.empty((len(ranks), few), dtype=np.int64)
+    for j in range(few):
+        places[:, j] = ranks.argmin(axis=1)
+        ranks[lines, places[:, j]] = most
+    places.sort(axis=1)
+    name = own
+    for j in range(few):
+        name = name * U(0xC2B2AE3D27D4EB4F) + grams[places[:, j]]
+    return mix(name).view(np.int64)
+
+
+def weighted_sketches(grams: np.ndarray, texts: np.ndarray, k: int, many: int) -> np.ndarray:
+    """Sketches of the grams (in text order) that other texts have as well, drawn with weight 1 / (texts - 1)."""
+    grams, others = grams[texts > 1], texts[texts > 1] - 1.0
+    if not len(grams):
+        return np.empty(0, np.int64)
+    odd, own = _seeds(k + 100, many)
+    out, rows = [], max(1, min(many, (1 << 19) // len(grams)))
+    for i in range(0, many, rows):
+        chance = (mix(grams[None, :] * odd[i : i + rows, None]) >> U(11)).astype(np.float64) + 0.5
+        # The first of independent waiting times with rates 1 / others.
+        out.append(_least_in_order(-np.log(chance / 2.0**53) * others, np.inf, grams, own[i : i + rows]))
+    return np.concatenate(out)
+
+
 def banded_distance(a: list, b: list, band: int) -> int:
     """The word edit distance of a and b if it is at most band, else some number above it.
 
@@ -198,7 +215,7 @@ def components(links: DataFrame, what: str) -> DataFrame:
     return roots
 
 
-def near_classes(docs: DataFrame, similarity: float = 0.8, hubs: int = 3) -> DataFrame:
+def near_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(doc_id, text) -> one row per document: doc, version (repeats.texts), class_doc, class_version (the class's least), class_size, links."""
     staged: list[DataFrame] = []
 
@@ -234,65 +251,52 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, hubs: int = 3) -> Dat
     # Sketches that no other text has are read once.
     members = kept(everywhere.join(shared, "bucket"), "members")
 
-    def classed(classes: DataFrame) -> DataFrame:
-        rows = members.join(classes.withColumnRenamed("v", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
-        return kept(rows, "classed")
+    def open_members(rows: DataFrame, classes: DataFrame) -> DataFrame:
+        """(content, words, bucket, root, linked): the members of buckets that hold several classes."""
+        rows = rows.drop("root", "linked").join(classes.withColumnRenamed("v", "content"), "content", "left")
+        rows = rows.withColumn("linked", F.col("root").isNotNull()).withColumn("root", F.coalesce("root", "content"))
+        rows = kept(rows, "classed")
+        mixed = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+        return kept(rows.join(mixed, "bucket"), "open")
 
     def candidates(hub: int, rows: DataFrame) -> DataFrame:
-        """Members (content, words, bucket, root) with their bucket's hub where the two are in different classes."""
-        chosen = F.min(F.struct(F.xxhash64("content", F.lit(hub)).alias("order"), "content", "words", "root"))
-        mixed = rows.groupBy("bucket").agg(chosen.alias("hub"), F.min("root").alias("low"), F.max("root").alias("high"))
-        mixed = kept(mixed.where("low <> high").select("bucket", "hub.content", "hub.words", "hub.root").toDF("bucket", "hub", "hub_words", "hub_root"), "hubs")
-        pairs = rows.join(mixed, "bucket").where("root <> hub_root")
+        """Members with their bucket's hub, one that has no link yet if there is any, where the two are in different classes."""
+        chosen = F.min(F.struct("linked", F.xxhash64("content", F.lit(hub)).alias("order"), "content", "words", "root")).alias("hub")
+        of_bucket = rows.groupBy("bucket").agg(chosen).select("bucket", "hub.content", "hub.words", "hub.root").toDF("bucket", "hub", "hub_words", "hub_root")
+        pairs = rows.join(kept(of_bucket, "hubs"), "bucket").where("root <> hub_root")
         # Lengths alone can rule a pair out.
         fits = F.least("words", "hub_words") >= similarity * F.greatest("words", "hub_words") - 1e-9
         return pairs.where(fits).select(F.least("content", "hub").alias("a"), F.greatest("content", "hub").alias("b")).distinct()
 
-    def untested(rows: DataFrame) -> DataFrame:
-        """(content, words, root) of members that have met their bucket's hubs only, of buckets where such members are in different classes."""
-        chosen = F.array(*(F.min_by("content", F.struct(F.xxhash64("content", F.lit(hub)), "content")) for hub in range(hubs)))
-        mixed = rows.groupBy("bucket").agg(chosen.alias("met"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        rest = kept(rows.join(mixed.select("bucket", "met"), "bucket").where(~F.array_contains("met", F.col("content"))).drop("met"), "rest")
-        mixed = rest.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        return rest.join(mixed.select("bucket"), "bucket").select("content", "words", "root").distinct()
-
-    def remaining(rest: DataFrame) -> DataFrame:
-        """Pairs of rest (content, words, root) in different classes that share one of their rarest grams."""
-        lists = kept(words_of(rest.select("content")), "rest-words")
-
-        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(1 << SLOTS, np.int64)
-            for b in batches:
-                for x in b.column(1).to_pylist():
-                    grams = rarest(word_names(x), similarity).view(U)
-                    total += np.bincount((grams >> U(64 - SLOTS)).astype(np.int64), minlength=1 << SLOTS)
-            slots = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(total[slots])], names=["slot", "n"])
-
-        # At most 2^SLOTS rows. Any counts give all pairs, as long as they are the same for all texts; good ones give few others.
-        found = lists.mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
-        counts = np.zeros(1 << SLOTS, np.int64)
-        for slot, n in found:
-            counts[slot] = n
-        common = docs.sparkSession.sparkContext.broadcast(counts)
+    def crowded_members(rest: DataFrame) -> DataFrame:
+        """(content, words, bucket) for texts of crowded buckets, by weighted sketches."""
+        lists = words_of(rest.select("content"))
 
         def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                grams = [rarest(word_names(x), similarity, common.value) for x in b.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(grams, pa.list_(pa.int64()))], names=["content", "grams"])
-
-        rows = lists.mapInArrow(listed, "content long, grams array<long>").join(rest, "content").select(F.explode("grams").alias("gram"), "content", "words", "root")
-        rows = kept(rows, "grams")
-        mixed = rows.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / MEET).alias("pieces"))
-        rows = rows.join(mixed.where("low <> high").select("gram", "pieces"), "gram")
-        # Crowded grams are dealt by pairs of pieces.
-        rows = rows.withColumn("own", F.pmod(F.xxhash64("content"), "pieces")).withColumn("other", F.explode(F.expr("sequence(0L, pieces - 1)")))
-        rows = kept(rows.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "content", "words", "root"), "meeting")
-        x = rows.where("own = i").selectExpr("gram", "i", "j", "content AS a", "words AS a_words", "root AS a_root")
-        y = rows.where("own = j").selectExpr("gram", "i", "j", "content AS b", "words AS b_words", "root AS b_root")
-        pairs = x.join(y, ["gram", "i", "j"]).where("a_root <> b_root AND (i < j OR a < b)")
-        fits = F.least("a_words", "b_words") >= similarity * F.greatest("a_words", "b_words") - 1e-9
-        return pairs.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+                for content, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    words = word_names(x)
+                    for k, _ in kinds_of(len(words), similarity, WEIGHTED):
+                        grams = numbered_grams(names_of(words, min(k, len(words))) ^ U(k)).view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), content)), pa.array(np.full(len(grams), k, np.int32)), pa.array(np.arange(len(grams))), pa.array(grams)], names=["content", "k", "at", "gram"])
+
+        grams = kept(lists.mapInArrow(listed, "content long, k int, at long, gram long"), "grams")
+        shared = kept(grams.groupBy("gram").agg(F.count("*").alias("texts")).where("texts > 1"), "shared")
+        # At most a text's own grams in a row.
+        own = grams.join(shared, "gram").groupBy("content", "k").agg(F.collect_list(F.struct("at", "gram", "texts")).alias("grams"))
+
+        def sketched_anew(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            many = dict(WEIGHTED["long"] + WEIGHTED["short"])
+            for b in batches:
+                out = []
+                for k, rows in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                    rows.sort(key=lambda r: r["at"])
+                    gram, n = np.array([r["gram"] for r in rows], dtype=np.int64).view(U), np.array([r["texts"] for r in rows])
+                    out.append(weighted_sketches(gram, n, k, many[k]))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], names=["content", "sketch"])
+
+        found = own.mapInArrow(sketched_anew, "content long, sketch array<long>").join(rest, "content")
+        return kept(found.select("content", "words", F.explode("sketch").alias("bucket")), "crowded")
 
     def words_of(needed: DataFrame) -> DataFrame:
         """(content, words with one space between two) of the texts needed, each read from one of its documents."""
@@ -317,19 +321,25 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, hubs: int = 3) -> Dat
         full = first.join(lists.toDF("b", "list_b"), "b").select("a", "b", "list_a", "list_b")
         return kept(full.mapInArrow(check, "a long, b long"), "verified")
 
-    links = verified(candidates(0, members.withColumn("root", F.col("content"))))
+    links = verified(candidates(0, kept(members.withColumn("root", F.col("content")).withColumn("linked", F.lit(False)), "open")))
     classes = components(links, "near")
-    for hub in range(1, hubs):
-        more = verified(candidates(hub, classed(classes)))
-        if more.limit(1).count():
-            links = links.union(more)
-            classes = components(links, "near")
-    rest = kept(untested(classed(classes)), "open")
-    if rest.limit(1).count():
-        more = verified(remaining(rest))
-        if more.limit(1).count():
+
+    def meet(rows: DataFrame, first: int) -> DataFrame:
+        """Rounds of hubs, each under another order, until one finds no link; the members still in mixed buckets."""
+        nonlocal links, classes
+        for hub in count(first):
+            rows = open_members(rows, classes)
+            if not rows.limit(1).count():
+                return rows
+            more = verified(candidates(hub, rows))
+            if not more.limit(1).count():
+                return rows
             links = links.union(more)
             classes = components(links, "near")
+
+    crowd = meet(members, 1).select("content", "words").distinct()
+    if crowd.limit(1).count():
+        meet(crowded_members(kept(crowd, "crowd")), 0)
     degree = links.select(F.col("a").alias("content")).union(links.select("b")).groupBy("content").agg(F.count("*").alias("links"))
     rooted = contents.select("content", "at").join(classes.withColumnRenamed("v", "content"), "content", "left")
     rooted = kept(rooted.join(degree, "content", "left").withColumn("root", F.coalesce("root", "content")), "rooted")

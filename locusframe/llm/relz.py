@@ -33,25 +33,32 @@ _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 _NONE = np.empty(0, np.int64)
 
 
-def word_symbols(body: bytes) -> Symbols:
-    """The words, runs of bytes that are no white space; the data are the words with one space between two."""
+def split_words(body: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words (runs of bytes that are no white space) with one space between two, and where each starts and ends there."""
     b = np.frombuffer(body, np.uint8)
     inside = IS_WORD[b]
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     first, end = edges[::2], edges[1::2]
     if not len(first):
-        return Symbols(np.empty(0, np.uint64), b"", _NONE, _NONE)
-    offset = np.zeros(len(b), dtype=np.int64)
-    offset[first] = first
-    offset = np.arange(len(b)) - np.maximum.accumulate(offset)
-    power = np.full(int(offset.max()) + 1, _STEP)
-    power[0] = 1
-    np.multiply.accumulate(power, out=power)
-    names = mix(np.add.reduceat(BYTE[b] * power[offset] * inside, first))
+        return b"", _NONE, _NONE
     gaps = np.zeros(len(b), dtype=bool)
     gaps[end[:-1]] = True
     ends = np.cumsum(end - first + 1) - 1
-    return Symbols(names, np.where(gaps, np.uint8(32), b)[inside | gaps].tobytes(), ends - (end - first), ends)
+    return np.where(gaps, np.uint8(32), b)[inside | gaps].tobytes(), ends - (end - first), ends
+
+
+def word_symbols(body: bytes) -> Symbols:
+    data, starts, ends = split_words(body)
+    if not len(starts):
+        return Symbols(np.empty(0, np.uint64), data, starts, ends)
+    b = np.frombuffer(data, np.uint8)
+    offset = np.arange(len(b)) - np.repeat(starts, np.diff(starts, append=len(b)))
+    power = np.full(int(offset.max()) + 1, _STEP)
+    power[0] = 1
+    np.multiply.accumulate(power, out=power)
+    value = BYTE[b]
+    value[ends[:-1]] = 0
+    return Symbols(mix(np.add.reduceat(value * power[offset], starts)), data, starts, ends)
 
 
 def word_names(body: bytes) -> np.ndarray:
@@ -92,17 +99,17 @@ def parse_factors(docs: DataFrame, window: int = 13) -> DataFrame:
         for b in batches:
             rows = []
             for doc_id, body, runs in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                words, factors, spans = word_symbols(body), greedy_factors(runs, window), []
+                (data, starts, word_ends), factors, spans = split_words(body), greedy_factors(runs, window), []
                 for first, end, *_ in factors:
                     if spans and spans[-1][1] == first:
                         spans[-1][1] = end
                     else:
                         spans.append([first, end])
-                ends = [0, *(x for s in spans for x in s), len(words.names)]
-                kept = b" ".join(words.data[words.starts[x] : words.ends[y - 1]] for x, y in zip(ends[::2], ends[1::2], strict=True) if x < y)
+                ends = [0, *(x for s in spans for x in s), len(starts)]
+                kept = b" ".join(data[starts[x] : word_ends[y - 1]] for x, y in zip(ends[::2], ends[1::2], strict=True) if x < y)
                 removed = sum(y - x for x, y in spans)
                 parsed = [{"first": x, "end": y, "reference": None if doc == -(2**63) else doc, "at": at} for x, y, doc, at in factors]
-                rows.append((doc_id, len(words.names), removed, hashlib.sha256(kept).hexdigest(), len(spans), ",".join(f"{x}:{y}" for x, y in spans), parsed, kept.decode("utf-8", "replace")))
+                rows.append((doc_id, len(starts), removed, hashlib.sha256(kept).hexdigest(), len(spans), ",".join(f"{x}:{y}" for x, y in spans), parsed, kept.decode("utf-8", "replace")))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], names=names)
 
     factor = pa.struct([(x, pa.int64()) for x in ("first", "end", "reference", "at")])
