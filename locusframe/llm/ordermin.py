@@ -15,7 +15,7 @@ have none yet are hubs before others. What
 keeps a bucket crowded is a passage or template that many texts have in common. So the members of such buckets get sketches of another
 kind: their grams are drawn with weights that fall with the number of such texts that have the gram, and those that no other
 has are left out. What two of them have in common beyond the crowd decides these, so that similar ones share nearly all and
-their buckets are small; their members meet hubs, round by round, again. No step makes pairs within a group: each round has at most as many
+their buckets are small; their members meet hubs, round by round, again, if they have two such sketches in common. No step makes pairs within a group: each round has at most as many
 candidates as there are sketches.
 
 Defined cases: null text is empty; empty texts (and those without words) form one class; texts of fewer words than a k-mer
@@ -47,7 +47,8 @@ SHORT = 12
 SKETCHES = {"long": [(5, 16), (3, 40)], "short": [(2, 40)]}
 #: The same for texts of crowded buckets.
 WEIGHTED = {"long": [(3, 16)], "short": [(1, 16)]}
-FEW = 2
+#: k-mers of a sketch; weighted sketches that a pair has in common, as most texts of a crowd have one with some other by chance.
+FEW, COMMON = 2, 2
 
 
 def content_names(text: Symbols) -> tuple[int, int]:
@@ -259,14 +260,15 @@ def near_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
         mixed = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
         return kept(rows.join(mixed, "bucket"), "open")
 
-    def candidates(hub: int, rows: DataFrame) -> DataFrame:
-        """Members with their bucket's hub, one that has no link yet if there is any, where the two are in different classes."""
+    def candidates(hub: int, rows: DataFrame, shared: int = 1) -> DataFrame:
+        """Members with their bucket's hub, one that has no link yet if there is any, where the two are in different classes and meet in ``shared`` buckets."""
         chosen = F.min(F.struct("linked", F.xxhash64("content", F.lit(hub)).alias("order"), "content", "words", "root")).alias("hub")
         of_bucket = rows.groupBy("bucket").agg(chosen).select("bucket", "hub.content", "hub.words", "hub.root").toDF("bucket", "hub", "hub_words", "hub_root")
         pairs = rows.join(kept(of_bucket, "hubs"), "bucket").where("root <> hub_root")
         # Lengths alone can rule a pair out.
         fits = F.least("words", "hub_words") >= similarity * F.greatest("words", "hub_words") - 1e-9
-        return pairs.where(fits).select(F.least("content", "hub").alias("a"), F.greatest("content", "hub").alias("b")).distinct()
+        pairs = pairs.where(fits).select(F.least("content", "hub").alias("a"), F.greatest("content", "hub").alias("b"))
+        return pairs.distinct() if shared == 1 else pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= shared).drop("n")
 
     def crowded_members(rest: DataFrame) -> DataFrame:
         """(content, words, bucket) for texts of crowded buckets, by weighted sketches."""
@@ -315,23 +317,25 @@ def near_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
                 keep = [alike(x.split(), y.split(), similarity) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        pairs = kept(pairs, "pairs")
-        lists = kept(words_of(pairs.select(F.col("a").alias("content")).union(pairs.select("b")).distinct()), "words")
+        pairs = materialize(pairs, "near-pairs")
+        lists = materialize(words_of(pairs.select(F.col("a").alias("content")).union(pairs.select("b")).distinct()), "near-words")
         first = pairs.join(lists.toDF("a", "list_a"), "a")
         full = first.join(lists.toDF("b", "list_b"), "b").select("a", "b", "list_a", "list_b")
-        return kept(full.mapInArrow(check, "a long, b long"), "verified")
+        found = kept(full.mapInArrow(check, "a long, b long"), "verified")
+        release(pairs, lists)
+        return found
 
     links = verified(candidates(0, kept(members.withColumn("root", F.col("content")).withColumn("linked", F.lit(False)), "open")))
     classes = components(links, "near")
 
-    def meet(rows: DataFrame, first: int) -> DataFrame:
+    def meet(rows: DataFrame, first: int, shared: int = 1) -> DataFrame:
         """Rounds of hubs, each under another order, until one finds no link; the members still in mixed buckets."""
         nonlocal links, classes
         for hub in count(first):
             rows = open_members(rows, classes)
             if not rows.limit(1).count():
                 return rows
-            more = verified(candidates(hub, rows))
+            more = verified(candidates(hub, rows, shared))
             if not more.limit(1).count():
                 return rows
             links = links.union(more)
@@ -339,7 +343,7 @@ def near_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
 
     crowd = meet(members, 1).select("content", "words").distinct()
     if crowd.limit(1).count():
-        meet(crowded_members(kept(crowd, "crowd")), 0)
+        meet(crowded_members(kept(crowd, "crowd")), 0, COMMON)
     degree = links.select(F.col("a").alias("content")).union(links.select("b")).groupBy("content").agg(F.count("*").alias("links"))
     rooted = contents.select("content", "at").join(classes.withColumnRenamed("v", "content"), "content", "left")
     rooted = kept(rooted.join(degree, "content", "left").withColumn("root", F.coalesce("root", "content")), "rooted")
