@@ -7,7 +7,7 @@ seats for m blocks takes block i floor(((i + 1) q + u) / m) - floor((i q + u) /
 block q / m times rounded down or up, hence at most three times.
 
 Defined cases: null text counts 0 words; null source is a source of its own and sorts last; null doc_id and repeated
-rows are documents like any other; a corpus or source without words has target and taken 0; an empty table gives no
+rows are documents like any other; very long texts span many blocks; a corpus or source without words has target and taken 0; an empty table gives no
 rows; further columns are ignored.
 """
 
@@ -86,9 +86,12 @@ def _number(*parts: Column) -> Column:
 
 
 def mix_sources(
-    docs: DataFrame, block_tokens: int = 128, shard_docs: int = 1024, cap: int = 3, seed: str = "mix"
+    docs: DataFrame, block_tokens: int = 128, shard_docs: int = 1024, cap: int = 3, seed: str = "mix", whole: bool = False
 ) -> DataFrame:
-    """(doc_id, text, source) -> doc_id, size, source_size, target, taken, source, shard, shard_blocks, shard_quota."""
+    """(doc_id, text, source) -> doc_id, size, source_size, target, taken, source, shard, shard_blocks, shard_quota.
+
+    whole: all columns of docs come before these; one of docs that has the name of a new one is replaced.
+    """
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     sized = materialize(
         docs.select(
@@ -98,6 +101,7 @@ def mix_sources(
             word_count(F.col("text")).alias("size"),
             _number(F.lit(seed), name).alias("order"),
             _number(F.lit(seed), F.lit("shard"), name).alias("deal"),
+            *([F.struct("*").alias("row")] if whole else []),
         ),
         "mix-sizes",
     )
@@ -145,7 +149,7 @@ def mix_sources(
         return F.col("length") * copies_before(block) + here * (token - block * F.col("length"))
 
     taken = taken_before(F.col("stop")) - taken_before(F.col("stop") - F.col("size"))
-    return placed.select(
+    found = placed.select(
         "doc_id",
         "size",
         "source_size",
@@ -155,7 +159,12 @@ def mix_sources(
         "shard",
         F.col("blocks").cast("long").alias("shard_blocks"),
         F.col("quota").cast("long").alias("shard_quota"),
+        *(["row"] if whole else []),
     )
+    if not whole:
+        return found
+    new = [c for c in found.columns if c not in ("doc_id", "source", "row")]
+    return found.select(*(f"row.`{c}`" for c in docs.columns if c not in new), *new)
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,10 @@ import itertools
 import math
 import random
 
+import duckdb
 import pytest
 
-from locusframe.llm.chat import rotate_perspectives
+from locusframe.llm.chat import OP1_SQL, rotate_perspectives
 from locusframe.llm.mixing import apportion, mix_sources
 from locusframe.llm.urls import RULES, host_and_path, judge_urls, matching_rule
 
@@ -34,33 +35,44 @@ def test_perspectives(spark):
     }
 
 
-def test_long_conversations_come_in_parts(spark):
-    rows = [(1, i, "ab"[i % 2], str(i), "") for i in range(100)] + [(2, 0, "ab"[i % 2], str(i), "") for i in range(100)]
-    out = rotate_perspectives(spark.createDataFrame(rows, CONVERSATIONS), part_turns=8).collect()
-    for conv in (1, 2):
-        for who in "ab":
-            own = [r for r in out if r["conv_id"] == conv and r["perspective"] == who]
-            assert sum(r["n_turns"] for r in own) == 100 and sum(r["n_targets"] for r in own) == 50
-            assert max(r["n_turns"] for r in own) < 40
-            for r in own:
-                assert r["mask"].count(":") == r["n_targets"]
-                for m in filter(None, r["mask"].split(",")):
-                    a, b = map(int, m.split(":"))
-                    assert r["rendered"][:a].endswith("<|assistant|>\n") and r["rendered"][a:b].endswith("<|end|>\n")
-    assert "".join(r["rendered"] for r in sorted((r for r in out if r["conv_id"] == 1 and r["perspective"] == "a"), key=lambda r: r["part"])) == rendered([("ab"[i % 2], str(i)) for i in range(100)], "a")[0]
-
-
-def test_crowded_parts_are_cut_in_order(spark):
-    turns = [(None if i % 3 else i % 5, "abc"[i % 3 if i % 7 else 2], f"{i % 90:02}") for i in range(400)]
-    rows = [(c, *t, "") for c in (1, None) for t in turns] + [(2, 0, "a", "same", "")] * 300 + [(3, 0, "a", str(i), "") for i in range(32)]
-    out = rotate_perspectives(spark.createDataFrame(rows, CONVERSATIONS).repartition(7), part_turns=8).collect()
-    in_order = sorted(turns, key=lambda t: (-1 if t[0] is None else t[0], *t[1:]))
-    for conv, said in ((1, in_order), (None, in_order), (2, [(0, "a", "same")] * 300), (3, sorted((0, "a", str(i)) for i in range(32)))):
-        for who in {t[1] for t in said}:
-            own = sorted((r for r in out if r["conv_id"] == conv and r["perspective"] == who), key=lambda r: r["sub_part"])
-            assert [r["sub_part"] for r in own] == list(range(-(-len(said) // 32)))
-            for k, r in enumerate(own):
-                assert (r["rendered"], r["mask"]) == rendered([t[1:] for t in said[32 * k : 32 * k + 32]], who)
+def in_parts(turns, size, context):
+    """Brute force: (part, perspective) -> rendering, mask, counts; turns are (role, text) in order."""
+    out = {}
+    head = next((i for i, t in enumerate(turns) if t[0] == "system"), None)
+    for k in range(0, len(turns), size):
+        before = turns[max(0, k - context) : k]
+        if k and head is not None and head < k - context:
+            before = [turns[head], *before]
+        own = turns[k : k + size]
+        for who in {r for r, _ in own} - {"system"}:
+            opening = rendered(before, who)[0]
+            text, mask = rendered(own, who)
+            shifted = ",".join(":".join(str(int(x) + len(opening)) for x in m.split(":")) for m in mask.split(","))
+            out[k // size, who] = (opening + text, shifted, len(own), len(before), sum(r == who for r, _ in own))
+    return out
+
+
+@pytest.mark.parametrize("size, context", [(8, 3), (256, 16)])
+def test_long_conversations_come_in_parts(spark, size, context):
+    r = random.Random(size)
+    talks = {
+        1: [(0, "system", "be kind")] + [(i, "ab"[i % 2], str(i)) for i in range(1, 300)],
+        None: [(None if i % 3 else i % 5, r.choice(["abc", "system"]) if i % 11 == 0 else "abc"[i % 3 if i % 7 else 2], f"{i % 90:02}") for i in range(1200)],
+        2: [(0, "a", "same")] * 1100, 3: [(0, "a", str(i)) for i in range(size)], 4: [(0, "a", str(i)) for i in range(size + 1)],
+    }
+    rows = [(c, *t, "") for c, turns in talks.items() for t in turns]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, CONVERSATIONS).repartition(7)
+    out = {}
+    for x in rotate_perspectives(df, size, context).collect():
+        out.setdefault(x["conv_id"], {})[x["part"], x["perspective"]] = (x["rendered"], x["mask"], x["n_turns"], x["n_context"], x["n_targets"])
+    for conv, turns in talks.items():
+        turns = sorted(turns, key=lambda t: (-1 if t[0] is None else t[0], *t[1:]))
+        assert out[conv] == in_parts([t[1:] for t in turns], size, context)
+    if size == 256:
+        conversations = df.toPandas()  # noqa: F841
+        found = duckdb.sql(OP1_SQL).fetchall()
+        assert sorted(found, key=str) == sorted((tuple(x) for x in rotate_perspectives(df).collect()), key=str)
 
 
 def test_no_conversations(spark):

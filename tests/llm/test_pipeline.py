@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline as cp
-from locusframe.llm.mixing import word_count
+from locusframe.llm.mixing import mix_sources, word_count
 
 
 def write(spark, folder, docs, labels, bench):
@@ -55,6 +55,8 @@ def test_stages(spark, tmp_path):
     assert kept[1].keys() == want
     want -= leaks
     assert kept[2].keys() == kept[3].keys() == kept[4].keys() == want
+    assert df.columns == ["doc_id", "text", "lang", "source", "n_chars", "size", "source_size", "target", "taken", "shard", "shard_blocks", "shard_quota"]
+    assert all(tuple(kept[4][i])[:5] == tuple(kept[3][i]) for i in want)
     assert kept[3][3]["text"].endswith(" write to [EMAIL]") and kept[3][3]["n_chars"] == len(kept[3][3]["text"])
     assert all(kept[3][i]["text"] == kept[2][i]["text"] for i in want if i != 3)
     assert all(r["taken"] <= 3 * r["size"] for r in kept[4].values())
@@ -68,5 +70,11 @@ def test_empty_tables(spark, tmp_path):
     assert cp.run(spark, str(tmp_path)).count() == 0
 
 
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b", "s", 9.5, "x")], "doc_id long, text string, source string, size double, row string")
+    out = mix_sources(df, whole=True)
+    assert out.columns[:4] == ["doc_id", "text", "source", "row"] and out.first()["size"] == 2 and out.first()["row"] == "x"
+
+
 def test_names():
     assert [n for n, _ in cp.STAGES] == ["toxicity", "near_duplicates", "decontamination", "personal_data", "mixing"] and word_count
