@@ -7,32 +7,38 @@ those left weigh less than 0.4 of the threshold, so a passage reaches it only by
 terms are kept in blocks of ``block`` parts with the block's largest weight, blocks whose summed maxima plus the largest rest stay
 below the threshold are skipped, and the parts of the others are scored in full. Retrieved pairs are verified on the whole
 document by the share of the item's 5-word shingles found in it, question (all but the last sentence) and answer (the last
-sentence) each; an item of one sentence is all question.
+sentence) each, or of the whole item if that is at least ``min_whole`` (a short answer has few shingles, all of which one changed
+word can touch); an item of one sentence is all question. An item of fewer than five words is found where a sentence
+or line of the document has just its words.
 
-Words are compared lower-cased, without punctuation. Items are indexed and broadcast in shards of at most ``shard_words`` words,
-however many there are; every shard meets every passage.
+Words are compared lower-cased, without punctuation. Document frequencies and lengths are counted over all items, once. Items are indexed and
+broadcast in shards of at most about ``shard_words`` words, however many there are; every shard meets every passage, and scores don't depend on the shards.
 
-Defined cases: null and empty texts and items match nothing; items of fewer than five words cannot be told from ordinary
-prose and match nothing; repeated items (one item_id) are tried each and reported once, with the best overlap; repeated
+Defined cases: null and empty texts and items match nothing; very long texts are queried passage by passage; null doc_ids and
+item_ids are reported as such; repeated items (one item_id) are tried each and reported once, with the best overlap; repeated
 documents are reported each; empty tables give no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, table
+from .common import documents, materialize, table
 
 TOKEN = re.compile(r"\w+")
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
+LINE_END = re.compile(r"(?<=[.!?])\s+|\n")
+PART_WORDS = 32
 K1, B = 1.2, 0.75
 SHINGLE = 5
 
@@ -54,29 +60,39 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return [w for p in parts[:-1] for w in p], parts[-1]
 
 
+def parts_of(tokens: list[str], part_words: int = PART_WORDS) -> list[list[str]]:
+    n = math.ceil(len(tokens) / part_words)
+    cuts = [len(tokens) * i // n for i in range(n + 1)] if n else [0]
+    return [tokens[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 class Index:
-    """The BM25 index of some items; threshold is a share of a part's score for itself."""
+    """The BM25 index of some items; threshold is a share of a part's score for itself.
+
+    counts: (parts, their mean length, term -> parts that have it) of all items; those given, where it is None.
+    """
 
-    def __init__(self, items: list[tuple], threshold: float = 0.5, part_words: int = 32, block: int = 4, rest: float = 0.4):
+    def __init__(self, items: list[tuple], threshold: float = 0.5, block: int = 4, rest: float = 0.4, counts: tuple | None = None):
         self.threshold, self.block = threshold, block
         self.items, self.parts, self.part_item = [], [], []
+        self.short: dict[tuple[str, ...], list] = defaultdict(list)
         for item_id, text in items:
             tokens = tokens_of(text)
+            if 0 < len(tokens) < SHINGLE:
+                self.short[tuple(tokens)].append(item_id)
             if len(tokens) < SHINGLE:
                 continue
             question, answer = question_and_answer(text)
-            n = math.ceil(len(tokens) / part_words)
-            cuts = [len(tokens) * i // n for i in range(n + 1)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                self.parts.append(tokens[a:b])
+            for part in parts_of(tokens):
+                self.parts.append(part)
                 self.part_item.append(len(self.items))
-            self.items.append((item_id, shingles(question), shingles(answer)))
+            self.items.append((item_id, shingles(question), shingles(answer), shingles(tokens)))
         df = Counter(t for p in self.parts for t in set(p))
-        mean = sum(map(len, self.parts)) / max(1, len(self.parts))
+        many, mean, df = counts or (len(self.parts), sum(map(len, self.parts)) / max(1, len(self.parts)), df)
         self.weights: list[dict[str, float]] = []
         for p in self.parts:
             norm = K1 * (1 - B + B * len(p) / mean)
-            w = {t: math.log1p((len(self.parts) - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + norm) for t, f in Counter(p).items()}
+            w = {t: math.log1p((many - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + norm) for t, f in Counter(p).items()}
             whole = math.fsum(w.values())
             self.weights.append({t: x / whole for t, x in w.items()})
         # term -> {block: largest weight of the term in the block, where it is essential}
@@ -129,28 +145,30 @@ class Index:
                     best[item] = max(score, best.get(item, 0.0))
         return best
 
-    def verified(self, text: str | None, min_question: float, min_answer: float, passage_words: int) -> list[tuple]:
+    def verified(self, text: str | None, min_question: float, min_answer: float, passage_words: int, min_whole: float = 0.8) -> list[tuple]:
         tokens = tokens_of(text)
         found = self.retrieve(tokens, passage_words)
-        if not found:
-            return []
         own: dict[int, set] = {}  # shingles of the document by length
         rows: dict = {}
         for item, score in found.items():
-            item_id, question, answer = self.items[item]
+            item_id, *kinds = self.items[item]
             shares = []
-            for part in (question, answer):
+            for part in kinds:
                 n = len(next(iter(part))) if part else 0
                 if n and n not in own:
                     own[n] = {tuple(tokens[i : i + n]) for i in range(len(tokens) - n + 1)}
                 shares.append(len(part & own[n]) / len(part) if part else 1.0)
-            if shares[0] >= min_question and shares[1] >= min_answer:
+            if shares[0] >= min_question and shares[1] >= min_answer or shares[2] >= min_whole:
                 rows[item_id] = max(rows.get(item_id, (-1.0,)), (shares[0], shares[1], score))
+        if self.short:
+            for line in LINE_END.split(text or ""):
+                for item_id in self.short.get(tuple(tokens_of(line)), ()):
+                    rows.setdefault(item_id, (1.0, 1.0, 1.0))
         return [(k, *v) for k, v in rows.items()]
 
 
 def leaks(
-    docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, min_question: float = 0.5, min_answer: float = 0.5,
+    docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, min_question: float = 0.5, min_answer: float = 0.5, min_whole: float = 0.8,
     passage_words: int = 64, shard_words: int = 2_000_000,
 ) -> DataFrame:
     """(doc_id, text), (item_id, text) -> one row per document and item that it holds: doc_id, item_id, question_overlap, answer_overlap, score."""
@@ -159,8 +177,10 @@ def leaks(
     for index in indexes(benchmark, threshold, shard_words):
 
         def search(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
+            items = pickle.loads(index.value)
             for b in batches:
-                rows = [(d, *x) for d, t in zip(b["doc_id"].tolist(), b["text"], strict=True) for x in index.value.verified(t, min_question, min_answer, passage_words)]
+                ids = [None if pd.isna(d) else int(d) for d in b["doc_id"]]
+                rows = [(d, *x) for d, t in zip(ids, b["text"], strict=True) for x in items.verified(t, min_question, min_answer, passage_words, min_whole)]
                 out = pd.DataFrame(rows, columns=["doc_id", "item_id", "question_overlap", "answer_overlap", "score"])
                 out[["doc_id", "item_id"]] = out[["doc_id", "item_id"]].astype("Int64")
                 yield out
@@ -172,33 +192,52 @@ def leaks(
     return out
 
 
-def indexes(benchmark: DataFrame, threshold: float, shard_words: int) -> list:
-    """Broadcast indexes of all items, each of at most about shard_words words: what the driver and a worker hold at once."""
+def indexes(benchmark: DataFrame, threshold: float, shard_words: int) -> Iterator:
+    """Broadcast indexes of all items, each of at most about shard_words words: what the driver and a worker hold at once.
+
+    They are pickled with their class, for executors that don't have this package.
+    """
     spark = benchmark.sparkSession
     items = benchmark.where("text is not null").select("item_id", "text")
     words = items.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, math.ceil(words / 5 / shard_words))
-    out = []
+    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(s, len(p), sorted(set(p))) for s, t in zip(b["shard"].tolist(), b["text"], strict=True) if len(x := tokens_of(t)) >= SHINGLE for p in parts_of(x)]
+            yield pd.DataFrame(rows, columns=["shard", "words", "terms"])
+
+    if shards > 1:
+        parts = materialize(items.select("shard", "text").mapInPandas(count, "shard long, words long, terms array<string>"), "leak-parts")
+        many, mean = parts.agg(F.count("*"), F.coalesce(F.avg("words"), F.lit(1.0))).first()
+        terms = parts.select("shard", F.explode("terms").alias("term"))
+        df = materialize(terms.groupBy("term").agg(F.count("*").alias("n")), "leak-terms")
     for shard in range(shards):
-        own = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard).collect()]
-        out.append(spark.sparkContext.broadcast(Index(sorted(own, key=repr), threshold)))
-    return out
+        own = [tuple(r) for r in items.where(F.col("shard") == shard).select("item_id", "text").collect()]
+        counts = None
+        if shards > 1:
+            of_shard = terms.where(F.col("shard") == shard).select("term").distinct().join(df, "term")
+            counts = (many, mean, {r["term"]: r["n"] for r in of_shard.collect()})
+        yield spark.sparkContext.broadcast(cloudpickle.dumps(Index(sorted(own, key=repr), threshold, counts=counts)))
 
 
 def drop_leaks(
-    docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, min_question: float = 0.5, min_answer: float = 0.5,
+    docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, min_question: float = 0.5, min_answer: float = 0.5, min_whole: float = 0.8,
     passage_words: int = 64, shard_words: int = 2_000_000,
 ) -> DataFrame:
-    """The rows of docs, with all columns, that hold no item."""
+    """The rows of docs, with all columns, that hold no item. After each shard but the last the rest is written, so that a worker holds one index."""
     def cleaner(index):
         @F.pandas_udf("boolean")
-        def clean(texts: pd.Series) -> pd.Series:
-            return pd.Series([not index.value.verified(t, min_question, min_answer, passage_words) for t in texts], dtype="bool")
+        def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            items = pickle.loads(index.value)
+            for texts in batches:
+                yield pd.Series([not items.verified(t, min_question, min_answer, passage_words, min_whole) for t in texts], dtype="bool")
 
         return clean
 
-    for index in indexes(benchmark, threshold, shard_words):
-        docs = docs.where(cleaner(index)(F.col("text")))
+    for i, index in enumerate(indexes(benchmark, threshold, shard_words)):
+        docs = (materialize(docs, "leak-rest") if i else docs).where(cleaner(index)(F.col("text")))
     return docs
 
 

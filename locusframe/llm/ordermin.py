@@ -28,7 +28,6 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import cache
 from itertools import count
 
 import numpy as np
@@ -76,12 +75,16 @@ def kinds_of(n: int, similarity: float, table: dict) -> list[tuple[int, int]]:
     return (table["short"] * (n < SHORT) + table["long"] * (int(n / similarity + 1e-9) >= SHORT)) if n else []
 
 
-@cache
 def _seeds(k: int, many: int) -> tuple[np.ndarray, np.ndarray]:
     """Odd factors, one for each sketch, and what tells the sketches apart."""
     return (mix(np.arange(1, many + 1, dtype=U)) << U(1)) | U(1), mix(np.arange(many, dtype=U) + U(k << 32))
 
 
+#: Made once, for every kind of sketch.
+SEEDS = {(k, many): _seeds(k, many) for kinds in SKETCHES.values() for k, many in kinds}
+SEEDS |= {(k + 100, many): _seeds(k + 100, many) for kinds in WEIGHTED.values() for k, many in kinds}
+
+
 def sketches(words: np.ndarray, similarity: float = 0.8) -> np.ndarray:
     """The order-sensitive sketches of a text (int64); none of a text without words."""
     n, out = len(words), []
@@ -89,7 +92,7 @@ def sketches(words: np.ndarray, similarity: float = 0.8) -> np.ndarray:
         grams = names_of(words, min(k, n))
         labelled = numbered_grams(grams)
         rows = max(1, min(many, (1 << 19) // len(grams)))
-        odd, own = _seeds(k, many)
+        odd, own = SEEDS[k, many]
         for i in range(0, many, rows):
             out.append(_least_in_order(labelled[None, :] * odd[i : i + rows, None], U(0xFFFFFFFFFFFFFFFF), grams, own[i : i + rows]))
     return np.concatenate(out) if out else np.empty(0, np.int64)
@@ -114,7 +117,7 @@ def weighted_sketches(grams: np.ndarray, texts: np.ndarray, k: int, many: int) -
     grams, others = grams[texts > 1], texts[texts > 1] - 1.0
     if not len(grams):
         return np.empty(0, np.int64)
-    odd, own = _seeds(k + 100, many)
+    odd, own = SEEDS[k + 100, many]
     out, rows = [], max(1, min(many, (1 << 19) // len(grams)))
     for i in range(0, many, rows):
         chance = (mix(grams[None, :] * odd[i : i + rows, None]) >> U(11)).astype(np.float64) + 0.5

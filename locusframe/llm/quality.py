@@ -7,7 +7,8 @@ stratum at once rejects at most ``limit`` of the good documents (``risk`` shared
 cutoffs the one with the most bad documents caught, each good one caught counting ``price`` times against it, is used;
 ties go to the loosest; a stratum without a certified gain has no cutoff and rejects nothing by that rule.
 
-Defined cases: null text has no words (base_failed); null language is a stratum; documents with several labels count
+Defined cases: null text has no words (base_failed); null language is a stratum of its own, the empty one another; very long texts
+are counted whole; null doc_ids are judged and have no labels; documents with several labels count
 once, as bad if any label says so; null labels are ignored; repeated rows are judged alike (and counted each); empty
 tables give no rows or no cutoffs; further columns are ignored.
 """
@@ -126,7 +127,7 @@ def fit_cutoffs(scored: DataFrame, labels: DataFrame, risk: float = 0.05, delta:
 
 def judge_quality(docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05) -> DataFrame:
     """(doc_id, text, lang) and (doc_id, quality) -> base columns, base_failed, kept, and the rule that rejected (or null)."""
-    rows = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("stratum"), "text")
+    rows = docs.select("doc_id", F.coalesce(F.concat(F.lit("l"), "lang"), F.lit("n")).alias("stratum"), "text")
     counted = materialize(rows.mapInPandas(_counted, COUNTED), "quality-base")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     scored = with_scores(counted).withColumn("base_failed", failed)
@@ -150,7 +151,7 @@ def op7_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = rf"""
 WITH texts AS (
-  SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+  SELECT doc_id, coalesce('l' || lang, 'n') AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
   FROM documents
 ),

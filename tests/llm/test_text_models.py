@@ -1,10 +1,15 @@
 """Personal data, quality, decontamination and toxicity."""
 
 import hashlib
+import os
+import pathlib
 import random
 import re
+import subprocess
+import sys
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -50,6 +55,22 @@ def test_the_field_finds_variants_and_leaves_others_alone():
     assert [k for *_, k in pii.find_personal("write anka at example dot com now", w)[1]] == ["email"]
 
 
+def test_every_entity_that_is_trained_on_is_a_candidate():
+    for text, marks in pii.training_sentences(900, 11):
+        tokens = pii.tokens_of(text, 0, len(text))
+        candidates = {(tokens[i][0], tokens[j - 1][1]) for i, j, _ in pii.segments(tokens)}
+        assert all((s, e) in candidates for s, e, _ in marks)
+
+
+def test_bracketed_forms_are_found_whole():
+    w = pii.trained()
+    assert pii.redact_text("write ann[at]host[dot]mail[dot]com now", w) == "write [EMAIL] now"
+    assert pii.redact_text("server 10[.]20[.]30[.]41 is down", w) == "server [IP] is down"
+    r = random.Random(5)
+    found = sum(pii.field_spans(f"ip {(t := '[.]'.join(str(r.randint(1, 255)) for _ in range(4)))}, ", w) == [(3, 3 + len(t), "ip")] for _ in range(300))
+    assert found >= 285
+
+
 def test_decoding_is_the_best_cover():
     r = np.random.default_rng(1)
     for _ in range(50):
@@ -144,6 +165,13 @@ def test_quality_rows(spark):
         assert out[i]["base_failed"] == (counts[0] < 50 or counts[4] * 2 > counts[0])
     assert not any(out[i]["kept"] for i in (9000, 9001, 9002, 9003)) and out[9004]["kept"]
     assert sum(out[i]["kept"] for i in range(3000)) >= 2850 and sum(out[i]["kept"] for i in range(3000, 3600)) == 0
+    # The SQL agrees where cutoffs act, strata differ and ids are missing.
+    more = spark.createDataFrame([(None, prose(), None, "x"), (9100, prose() + " ##" * 9, "", "x"), (9101, prose(), None, "x")], df.schema)
+    documents, labels = df.where("doc_id <> 9004").union(more).drop("kept").toPandas(), lf.toPandas()  # noqa: F841
+    rows = quality.judge_quality(df.where("doc_id <> 9004").union(more), lf).toPandas()
+    rejected = rows["rejected_by"].notna().sum()
+    same = duckdb.sql(f"WITH wanted AS ({quality.OP7_SQL}) SELECT count(*) FROM (SELECT CAST(doc_id AS BIGINT) AS doc_id, * EXCLUDE (doc_id) FROM wanted EXCEPT ALL SELECT CAST(doc_id AS BIGINT), * EXCLUDE (doc_id) FROM rows)").fetchall()[0]
+    assert rejected >= 600 and same == (0,)
     kept = quality.judge_quality(df, lf.limit(0)).where("kept").count()
     assert kept == 3602 and quality.judge_quality(df.limit(0), lf).count() == 0
 
@@ -197,6 +225,39 @@ def test_leaks(spark):
         kept = [x["doc_id"] for x in dc.drop_leaks(df, bf, shard_words=shard).collect()]
         assert sorted(kept) == sorted(i for i, *_ in docs if i not in {d for d, _ in truth})
     assert dc.leaks(df, bf.limit(0)).count() == 0 and dc.leaks(df.limit(0), bf).count() == 0
+    # Statistics are those of all items, whatever the shards; null ids are reported.
+    extra = spark.createDataFrame([(None, bench[3][1], "s"), (600, "First this. Too short!\nThen that.", "s"), (601, "this is too short to tell", "s")], df.schema)
+    one, some = ({(x["doc_id"], x["item_id"]): round(x["score"], 9) for x in dc.leaks(df.union(extra), bf, shard_words=n).collect()} for n in (2_000_000, 500))
+    assert one == some and one.keys() == truth | {(None, 3), (600, 72)}
+
+
+def test_near_copies_with_a_short_answer(spark):
+    r = random.Random(8)
+    question = words(r, 40)
+    index = dc.Index([(1, " ".join(question) + ". four five six seven.")])
+    assert [x[0] for x in index.verified(" ".join(question) + ". four five SIX eight.", 0.5, 0.5, 64)] == [1]
+    assert index.verified(" ".join(question[:25]) + ". four five six eight.", 0.5, 0.5, 64) == []
+
+
+def test_executors_without_the_package(tmp_path):
+    """Workers that don't have the package on their path get what they need from the driver."""
+    code = """
+import sys
+sys.path.insert(0, %r)
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from locusframe.llm import decontaminate, ordermin, pii, quality, relz, suffix, toxicity
+docs = spark.createDataFrame([(i, "en", " ".join("w%%d" %% (i * 100 + j) for j in range(60))) for i in range(6)], "doc_id long, lang string, text string")
+bench = spark.createDataFrame([(1, docs.first()["text"])], "item_id long, text string")
+labels = spark.createDataFrame([(i, 1, i %% 2) for i in range(6)], "doc_id long, quality int, toxic int")
+assert decontaminate.leaks(docs, bench).count() == 1 and decontaminate.drop_leaks(docs, bench).count() == 5
+for out in (ordermin.near_duplicates(docs), pii.personal_spans(docs), quality.judge_quality(docs, labels), relz.parse_factors(docs), suffix.dedup_substrings(docs), toxicity.score_documents(docs, labels)):
+    assert out.count() == 6
+print("all there")
+""" % str(pathlib.Path(__file__).parents[2])
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert "all there" in done.stdout, "\n".join(x for x in done.stderr.splitlines() if "Error" in x or ".py" in x)[-3000:]
 
 
 def test_question_without_its_answer_is_no_leak():
