@@ -1,23 +1,24 @@
 """Toxicity: logistic regression on presence of words and word beginnings, regularised by counterfactual swaps of identity terms.
 
 Training takes at most ``train_docs`` labelled documents (lowest hash of doc_id), whose distinct lower-cased words and
-their first 3 to 6 characters (for inflected forms) are the features; copies (same three lowest word hashes) count once. Of the features whose chi-square against the label exceeds
-``min_chi`` (chance words of a large vocabulary stay below) the ``n_features`` with the largest are kept, and all identity terms. Labels may be wrong: after a first fit, documents whose label the fit
-holds for ``doubt`` unlikely are left out and the weights are fitted anew. Every labelled sentence with an identity term is paired with copies in which the term is swapped for the others of
+their first 3 to 6 characters (for inflected forms) are the features; documents with just the same words count once. Of the features whose chi-square against the label
+is larger than chance would make the largest of as many features, but in one of 1 / ``chance`` samples, the ``n_features`` with the largest are kept, and all identity terms. Labels may be wrong: after a first fit, every
+document weighs as much as the first fit believes its label (``least`` at least) and the weights are fitted anew. Every labelled sentence with an identity term is paired with copies in which the term is swapped for the others of
 its group; the loss adds ``swap_penalty`` times the mean squared change of the logit over all pairs, in which whole words and
 beginnings change, so that mentions of a group carry no weight of their own. Scoring reads whole texts.
 
 Defined cases: null and empty texts have no words and get the intercept's score; without training labels of both kinds the
 score is the share of toxic ones (0 if there are none); a document with several labels counts as toxic if any says so; null
-labels are ignored; repeated rows are scored alike; an empty table gives no rows; further columns are ignored.
+labels are ignored; very long texts are scored whole; null doc_ids are scored (as held out or not by the checksum of the empty string) and have no labels; repeated rows are scored alike; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
-import zlib
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -86,8 +87,8 @@ def changes_of(text: str | None) -> list[str]:
     return out
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray, swaps: np.ndarray, l2: float = 0.3, swap_penalty: float = 1.0, rounds: int = 25):
-    """Newton's method for mean log loss + l2 / 2n |w|^2 + swap_penalty / 2 mean (swap . w)^2; the last weight is the intercept."""
+def fit_weights(x: np.ndarray, y: np.ndarray, swaps: np.ndarray, l2: float = 0.3, swap_penalty: float = 1.0, rounds: int = 25, trust: np.ndarray | None = None):
+    """Newton's method for mean log loss (rows weighted by trust) + l2 / 2n |w|^2 + swap_penalty / 2 mean (swap . w)^2; the last weight is the intercept."""
     n, k = x.shape
     x = np.hstack([x, np.ones((n, 1))])
     ridge = np.full(k + 1, l2 / n)
@@ -96,10 +97,11 @@ def fit_weights(x: np.ndarray, y: np.ndarray, swaps: np.ndarray, l2: float = 0.3
     if len(swaps):
         curve[:k, :k] += swap_penalty * swaps.T @ swaps / len(swaps)
     w = np.zeros(k + 1)
+    trust = np.ones(n) if trust is None else trust
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) / n + curve @ w
-        hess = (x * (p * (1 - p) / n)[:, None]).T @ x + curve
+        grad = x.T @ (trust * (p - y)) / n + curve @ w
+        hess = (x * (trust * p * (1 - p) / n)[:, None]).T @ x + curve
         step = np.linalg.solve(hess, grad)
         w -= step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-6:
@@ -110,7 +112,7 @@ def fit_weights(x: np.ndarray, y: np.ndarray, swaps: np.ndarray, l2: float = 0.3
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         words = [sorted(words_of(t)) for t in b["text"]]
-        low = [" ".join(sorted(w, key=lambda x: (zlib.crc32(x.encode("utf-8", "replace")), x))[:3]) for w in words]
+        low = [hashlib.blake2b(" ".join(w).encode("utf-8", "replace"), digest_size=16).hexdigest() for w in words]
         yield pd.DataFrame({"id": b["id"], "toxic": b["toxic"], "copy": low, "words": words, "swaps": [changes_of(t) for t in b["text"]]})
 
 
@@ -120,7 +122,7 @@ def _beginnings(n: int):
     return F.transform(long, lambda w: F.concat(F.lit(f"{n}:"), F.substring(w, 1, n) if n else w))
 
 
-def train(docs: DataFrame, labels: DataFrame, train_docs: int = 12_000, n_features: int = 512, min_docs: int = 5, min_chi: float = 30.0, doubt: float = 0.15, **fit) -> dict:
+def train(docs: DataFrame, labels: DataFrame, train_docs: int = 12_000, n_features: int = 512, min_docs: int = 5, chance: float = 0.001, least: float = 0.05, **fit) -> dict:
     """Labels (doc_id, toxic) are all for training -> {"bias": float, "weights": {length: {beginning: float}}}."""
     marks = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     dealt = F.xxhash64("doc_id", F.lit("toxicity"))
@@ -140,12 +142,17 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = 12_000, n_featur
     chi = n * (a * d - b * c) * (a * d - b * c) / ((a + b) * (c + d) * float(bad) * float(n - bad))
     pieces = F.concat(*(_beginnings(n) for n in LENGTHS))
     rows = rows.withColumn("features", F.array_distinct(pieces))
-    top = (
+    tried = (
         rows.select("toxic", F.explode("features").alias("word"))
         .groupBy("word")
         .agg(F.count("*").cast("double").alias("df"), F.sum("toxic").cast("double").alias("bad"))
         .where((F.col("df") >= min_docs) & (F.col("df") < n))
-        .where(chi >= min_chi)
+    )
+    tried = materialize(tried, "toxic-features")
+    # The chi-square that one of so many features exceeds by chance with that probability.
+    least_chi = NormalDist().inv_cdf(1 - chance / 2 / max(1, tried.count())) ** 2
+    top = (
+        tried.where(chi >= least_chi)
         .orderBy(chi.desc(), "word")
         .limit(n_features)
     )
@@ -164,9 +171,8 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = 12_000, n_featur
         for sign, names in zip((-1, 1), r["swap"].split("\t"), strict=True):
             swaps[i, [place[f] for f in names.split() if f in place]] = sign * math.sqrt(r["times"])
     w = fit_weights(x, y, swaps, **fit)
-    held = np.abs(y - 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))) < 1 - doubt
-    if 0 < y[held].sum() < held.sum():
-        w = fit_weights(x[held], y[held], swaps, **fit)
+    believed = 1 - np.abs(y - 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30))))
+    w = fit_weights(x, y, swaps, trust=np.maximum(believed, least), **fit)
     weights: dict[int, dict[str, float]] = {n: {} for n in LENGTHS}
     for v, i in place.items():
         length, _, piece = v.partition(":")

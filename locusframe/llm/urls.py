@@ -1,19 +1,22 @@
 """URL filter: allow and block rules, and gradient-boosted trees on lexical features for the rest (no Python workers).
 
 The URLs that a rule decides are the labelled ones. Trees are fitted on at most ``train_rows`` of them (chosen by a hash of
-the URL) and judge every URL without a rule.
+the URL, ties by the URL) and judge every URL without a rule. The rate of blocked URLs of a host's suffix (its last two labels) is counted out of fold: hosts are
+dealt into FOLDS, and a URL's rate comes from labelled URLs of other folds, so that no label is a feature of itself.
 
 Defined cases: a null URL or one without ``://`` has empty host and path, no rule, and is judged on its (empty) features;
-without labelled URLs of both verdicts the model's verdict is the commoner one, or allow; an empty table gives no rows;
-repeated rows are judged alike; further columns are ignored.
+very long URLs are read whole; without labelled URLs of both verdicts the model's verdict is the commoner one, or allow; an empty table gives no rows;
+repeated rows are judged alike; null page_ids are reported as such; further columns are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import materialize, table
 
@@ -26,6 +29,7 @@ RULES = [
     ("block", "com", "/de/"),
 ]
 FEATURES = ["length", "depth", "digit_ratio", "entropy", "params", "host_labels", "hyphens", "suffix_rate", "suffix_rows"]
+FOLDS = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -61,35 +65,36 @@ def lexical_features(pages: DataFrame) -> DataFrame:
         .withColumn("params", F.length(url).cast("double") - F.length(F.translate(url, "=", "")))
         .withColumn("host_labels", F.length("host").cast("double") - F.length(F.translate("host", ".", "")))
         .withColumn("hyphens", F.length("host").cast("double") - F.length(F.translate("host", "-", "")))
-        .withColumn("suffix", F.substring_index("host", ".", -1))
+        .withColumn("suffix", F.substring_index("host", ".", -2))
         .drop("counts")
     )
 
 
 def judge_urls(
-    pages: DataFrame, rules=RULES, train_rows: int = 20_000, trees: int = 12, depth: int = 3, seed: int = 7
+    pages: DataFrame, rules=RULES, train_rows: int = 20_000, trees: int = 12, depth: int = 3, seed: int = 7, held_out: Column | None = None
 ) -> DataFrame:
-    """(page_id, url) -> page_id, host, path, rule, verdict, score (the trees' probability of block, null where a rule decides)."""
+    """(page_id, url) -> page_id, host, path, rule, verdict, score (the trees' probability of block, null where a rule decides).
+
+    held_out: URLs that are judged by trees that don't know their label, in spite of a rule, to measure the trees.
+    """
     host, path = host_and_path(F.col("url"))
     urls = pages.select("page_id", "url").withColumn("host", host).withColumn("path", path)
     rule, ruled = matching_rule(F.col("host"), F.col("path"), rules)
-    urls = lexical_features(urls.withColumn("rule", rule).withColumn("ruled", ruled)).drop("url")
-    urls = materialize(urls, "urls")
+    ruled = ruled if held_out is None else F.when(~held_out, ruled)
+    urls = lexical_features(urls.withColumn("rule", rule).withColumn("ruled", ruled).withColumn("dealt", F.xxhash64("url", F.lit(seed))))
+    urls = materialize(urls.withColumn("fold", F.pmod(F.xxhash64("host", F.lit(seed)), F.lit(FOLDS))), "urls")
     blocked = F.when(F.col("ruled") == "block", 1.0).otherwise(0.0)
-    stats = (
-        urls.groupBy("suffix")
-        .agg(
-            F.count("ruled").alias("labelled"),
-            F.sum(F.when(F.col("ruled").isNotNull(), blocked)).alias("bad"),
-            F.log1p(F.count("*")).alias("suffix_rows"),
-        )
-        .select("suffix", "suffix_rows", ((F.coalesce("bad", F.lit(0.0)) + 1) / (F.col("labelled") + 2)).alias("suffix_rate"))
+    counts = (
+        urls.groupBy("suffix", "fold")
+        .agg(F.count("*").alias("rows"), F.count("ruled").alias("labelled"), F.sum(F.when(F.col("ruled").isNotNull(), blocked).otherwise(0.0)).alias("bad"))
     )
-    stats = materialize(stats, "url-suffixes")
-    full = urls.join(stats, "suffix")
+    # FOLDS rows a suffix at most.
+    every = Window.partitionBy("suffix")
+    others = (F.sum("bad").over(every) - F.col("bad") + 1) / (F.sum("labelled").over(every) - F.col("labelled") + 2)
+    stats = materialize(counts.select("suffix", "fold", F.log1p(F.sum("rows").over(every)).alias("suffix_rows"), others.alias("suffix_rate")), "url-suffixes")
+    full = urls.join(stats, ["suffix", "fold"])
     sample = materialize(
-        full.where("ruled is not null").select(*FEATURES, blocked.alias("label"), F.xxhash64(*FEATURES, F.lit(seed)).alias("dealt"))
-        .orderBy("dealt", *FEATURES, "label").limit(train_rows),
+        full.where("ruled is not null").select(*FEATURES, blocked.alias("label"), "dealt", "url").orderBy("dealt", "url").limit(train_rows).drop("url"),
         "url-sample",
     )
     classes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -98,8 +103,6 @@ def judge_urls(
         # Trees stay small and fixed in number, so the fitted model does not grow with the input.
         model = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=32, stepSize=0.3, seed=seed).fit(vectors.transform(sample.coalesce(2)))
         left = model.transform(vectors.transform(full.where("ruled is null")))
-        from pyspark.ml.functions import vector_to_array
-
         score = F.element_at(vector_to_array("probability"), 2)
         judged = left.withColumn("score", score).withColumn("verdict", F.when(F.col("prediction") > 0.5, "block").otherwise("allow"))
     else:

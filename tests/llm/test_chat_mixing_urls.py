@@ -177,6 +177,35 @@ def test_url_trees(spark):
     assert len(judged) == 200 and all(v == ("block" if i % 2 else "allow") for i, v in judged.items())
 
 
+def auc(scores):
+    """Share of (block, allow) pairs in the right order, ties half; scores are (score, is block)."""
+    bad, good = ([x for x, b in scores if b == k] for k in (True, False))
+    return sum((x > y) + (x == y) / 2 for x in bad for y in good) / (len(bad) * len(good))
+
+
+def test_trees_on_held_out_urls(spark):
+    """Blocked URLs have more digits and deeper paths, with exceptions; trees that don't know a third of the labels find them."""
+    r = random.Random(6)
+    rows = []
+    for i in range(1500):
+        bad = r.random() < 0.4
+        odd = r.random() < 0.1
+        path = "/".join(r.choice(["a", "news", "b12", "x9"]) + (str(r.randrange(10**6)) if bad != odd else "") for _ in range(r.randint(1, 4)))
+        rows.append((i, f"http://h{r.randrange(40)}.{'bad' if bad else 'good'}.net/{path}"))
+    rows += rows[:40] + [(2000, "http://h1.bad.net/" + "q" * 50_000), (2001, "http://")]
+    rules = [("block", "bad.net", "/"), ("allow", "good.net", "/")]
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    held = F.pmod(F.crc32(F.col("url").cast("binary")), F.lit(3)) == 0
+    out = judge_urls(df, rules, held_out=held).collect()
+    measured = [(x["score"], ".bad." in x["host"]) for x in out if x["score"] is not None and x["rule"] is not None]
+    assert len(out) == len(rows) and 400 < len(measured) < 600 and auc(measured) > 0.8
+    # The sample's bound cuts between URLs, not by their number of rows or partitions.
+    few = [sorted(map(str, judge_urls(x, rules, train_rows=200, held_out=held).select("page_id", "verdict").collect())) for x in (df, df.repartition(5))]
+    assert few[0] == few[1]
+
+
 def test_urls_without_labels(spark):
     out = judge_urls(spark.createDataFrame([(1, "http://x.net/"), (2, None)], "page_id long, url string")).collect()
     assert {(r["page_id"], r["verdict"], r["rule"]) for r in out} == {(1, "allow", None), (2, "allow", None)}

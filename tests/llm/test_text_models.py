@@ -302,7 +302,7 @@ def test_training_takes_weight_off_beginnings_of_identity_terms(spark):
         p = toxicity.score_text(text, model)
         return np.log(p / (1 - p))
 
-    plain, fair = (toxicity.train(df, lf, doubt=0.0, swap_penalty=x) for x in (0.0, 10.0))
+    plain, fair = (toxicity.train(df, lf, least=1.0, swap_penalty=x) for x in (0.0, 10.0))
     assert "musl" in plain["weights"][4]
     change = [logit("a muslim came", m) - logit("a hindu came", m) for m in (plain, fair)]
     assert change[0] > 2 and abs(change[1]) < 0.1 * change[0]
@@ -331,7 +331,7 @@ def test_toxic_rows(spark):
     docs += [(2000, None, "x", 0.0), (2001, "", "x", 0.0), (2002, "Vile, FILTH! " * 5000, "x", 0.0), (0, docs[0][1], "x", 0.0)]
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string, score double")
     lf = spark.createDataFrame([*labels, (3, 1, None), (7, 1, 0)], "doc_id long, quality int, toxic int")
-    out = toxicity.score_documents(df, lf, min_chi=20.0).collect()
+    out = toxicity.score_documents(df, lf).collect()
     assert len(out) == len(docs)
     for x in out:
         assert x["held_out"] == (zlib.crc32(str(x["doc_id"]).encode()) % 5 == 0)
@@ -341,7 +341,7 @@ def test_toxic_rows(spark):
     assert {x["doc_id"]: x["predicted"] for x in out if x["doc_id"] >= 2000} == {2000: 0, 2001: 0, 2002: 1}
     assert toxicity.score_documents(df, lf.limit(0)).where("predicted = 1").count() == 0
     assert toxicity.score_documents(df.limit(0), lf).count() == 0
-    kept = toxicity.drop_toxic(df, lf, min_chi=20.0)
+    kept = toxicity.drop_toxic(df, lf)
     assert kept.columns == df.columns and kept.where("doc_id = 2001").count() == 1
 
 
