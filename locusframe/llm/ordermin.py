@@ -10,13 +10,9 @@ most are of three, and of two where the longer text of a pair has fewer than ``S
 partners may be on the other side of that length have both kinds.
 
 Equal texts (128-bit digests of their words) are one vertex. Every member of a bucket of equal sketches meets the bucket's hub; then, where members of a
-bucket are still in different classes, the hub under another order, round by round until a round finds no link; texts that
-have none yet are hubs before others. What
-keeps a bucket crowded is a passage or template that many texts have in common. So the members of such buckets get sketches of another
-kind: their grams are drawn with weights that fall with the number of such texts that have the gram, and those that no other
-has are left out. What two of them have in common beyond the crowd decides these, so that similar ones share nearly all and
-their buckets are small; their members meet hubs, round by round, again, if they have two such sketches in common. No step makes pairs within a group: each round has at most as many
-candidates as there are sketches.
+bucket are still in different classes, the hub under another order, those that have no link yet before others: ``hubs`` rounds,
+or with None as many as find a link. No step makes pairs within a group, so each round has at most as many candidates as there are
+sketches; what it can lose is a pair that has only crowded buckets in common, none of whose hubs is near both (README).
 
 Defined cases: null text is empty; empty texts (and those without words) form one class; texts of fewer words than a k-mer
 have one, the whole; very long texts are aligned in memory linear in their words but for their commonest ones; null doc_id
@@ -37,17 +33,15 @@ from pyspark.sql import functions as F
 
 from .anchors import U, mix, names_of
 from .common import materialize, release, table
-from .relz import word_names, word_symbols
+from .relz import word_symbols
 from .repeats import Symbols, texts
 
 #: Pairs whose longer text has fewer than SHORT words have sketches of their own.
 SHORT = 12
 #: (words of a k-mer, how many sketches) for pairs whose longer text has SHORT words or more, and for the others.
 SKETCHES = {"long": [(5, 16), (3, 40)], "short": [(2, 40)]}
-#: The same for texts of crowded buckets.
-WEIGHTED = {"long": [(3, 16)], "short": [(1, 16)]}
-#: k-mers of a sketch; weighted sketches that a pair has in common, as most texts of a crowd have one with some other by chance.
-FEW, COMMON = 2, 2
+#: k-mers of a sketch.
+FEW = 2
 
 
 def content_names(text: Symbols) -> tuple[int, int]:
@@ -70,9 +64,9 @@ def numbered_grams(grams: np.ndarray) -> np.ndarray:
     return mix(grams + nth * U(0x9E3779B97F4A7C15))
 
 
-def kinds_of(n: int, similarity: float, table: dict) -> list[tuple[int, int]]:
+def kinds_of(n: int, similarity: float) -> list[tuple[int, int]]:
     """The kinds of sketches of a text of n words: those of all lengths that a similar text may have."""
-    return (table["short"] * (n < SHORT) + table["long"] * (int(n / similarity + 1e-9) >= SHORT)) if n else []
+    return (SKETCHES["short"] * (n < SHORT) + SKETCHES["long"] * (int(n / similarity + 1e-9) >= SHORT)) if n else []
 
 
 def _seeds(k: int, many: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,29 +76,28 @@ def _seeds(k: int, many: int) -> tuple[np.ndarray, np.ndarray]:
 
 #: Made once, for every kind of sketch.
 SEEDS = {(k, many): _seeds(k, many) for kinds in SKETCHES.values() for k, many in kinds}
-SEEDS |= {(k + 100, many): _seeds(k + 100, many) for kinds in WEIGHTED.values() for k, many in kinds}
 
 
 def sketches(words: np.ndarray, similarity: float = 0.8) -> np.ndarray:
     """The order-sensitive sketches of a text (int64); none of a text without words."""
     n, out = len(words), []
-    for k, many in kinds_of(n, similarity, SKETCHES):
+    for k, many in kinds_of(n, similarity):
         grams = names_of(words, min(k, n))
         labelled = numbered_grams(grams)
         rows = max(1, min(many, (1 << 19) // len(grams)))
         odd, own = SEEDS[k, many]
         for i in range(0, many, rows):
-            out.append(_least_in_order(labelled[None, :] * odd[i : i + rows, None], U(0xFFFFFFFFFFFFFFFF), grams, own[i : i + rows]))
+            out.append(_least_in_order(labelled[None, :] * odd[i : i + rows, None], grams, own[i : i + rows]))
     return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
-def _least_in_order(ranks: np.ndarray, most, grams: np.ndarray, own: np.ndarray) -> np.ndarray:
+def _least_in_order(ranks: np.ndarray, grams: np.ndarray, own: np.ndarray) -> np.ndarray:
     """One sketch a line: the grams at its FEW least ranks, in text order. Overwrites ranks."""
     few, lines = min(FEW, len(grams)), np.arange(len(ranks))
     places = np.empty((len(ranks), few), dtype=np.int64)
     for j in range(few):
         places[:, j] = ranks.argmin(axis=1)
-        ranks[lines, places[:, j]] = most
+        ranks[lines, places[:, j]] = U(0xFFFFFFFFFFFFFFFF)
     places.sort(axis=1)
     name = own
     for j in range(few):
@@ -112,20 +105,6 @@ def _least_in_order(ranks: np.ndarray, most, grams: np.ndarray, own: np.ndarray)
     return mix(name).view(np.int64)
 
 
-def weighted_sketches(grams: np.ndarray, texts: np.ndarray, k: int, many: int) -> np.ndarray:
-    """Sketches of the grams (in text order) that other texts have as well, drawn with weight 1 / (texts - 1)."""
-    grams, others = grams[texts > 1], texts[texts > 1] - 1.0
-    if not len(grams):
-        return np.empty(0, np.int64)
-    odd, own = SEEDS[k + 100, many]
-    out, rows = [], max(1, min(many, (1 << 19) // len(grams)))
-    for i in range(0, many, rows):
-        chance = (mix(grams[None, :] * odd[i : i + rows, None]) >> U(11)).astype(np.float64) + 0.5
-        # The first of independent waiting times with rates 1 / others.
-        out.append(_least_in_order(-np.log(chance / 2.0**53) * others, np.inf, grams, own[i : i + rows]))
-    return np.concatenate(out)
-
-
 def banded_distance(a: list, b: list, band: int) -> int:
     """The word edit distance of a and b if it is at most band, else some number above it.
 
@@ -219,7 +198,7 @@ def components(links: DataFrame, what: str) -> DataFrame:
     return roots
 
 
-def near_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+def near_classes(docs: DataFrame, similarity: float = 0.8, hubs: int | None = 3) -> DataFrame:
     """(doc_id, text) -> one row per document: doc, version (repeats.texts), class_doc, class_version (the class's least), class_size, links."""
     staged: list[DataFrame] = []
 
@@ -263,45 +242,14 @@ def near_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
         mixed = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
         return kept(rows.join(mixed, "bucket"), "open")
 
-    def candidates(hub: int, rows: DataFrame, shared: int = 1) -> DataFrame:
-        """Members with their bucket's hub, one that has no link yet if there is any, where the two are in different classes and meet in ``shared`` buckets."""
+    def candidates(hub: int, rows: DataFrame) -> DataFrame:
+        """Members with their bucket's hub, one that has no link yet if there is any, where the two are in different classes."""
         chosen = F.min(F.struct("linked", F.xxhash64("content", F.lit(hub)).alias("order"), "content", "words", "root")).alias("hub")
         of_bucket = rows.groupBy("bucket").agg(chosen).select("bucket", "hub.content", "hub.words", "hub.root").toDF("bucket", "hub", "hub_words", "hub_root")
         pairs = rows.join(kept(of_bucket, "hubs"), "bucket").where("root <> hub_root")
         # Lengths alone can rule a pair out.
         fits = F.least("words", "hub_words") >= similarity * F.greatest("words", "hub_words") - 1e-9
-        pairs = pairs.where(fits).select(F.least("content", "hub").alias("a"), F.greatest("content", "hub").alias("b"))
-        return pairs.distinct() if shared == 1 else pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= shared).drop("n")
-
-    def crowded_members(rest: DataFrame) -> DataFrame:
-        """(content, words, bucket) for texts of crowded buckets, by weighted sketches."""
-        lists = words_of(rest.select("content"))
-
-        def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for content, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    words = word_names(x)
-                    for k, _ in kinds_of(len(words), similarity, WEIGHTED):
-                        grams = numbered_grams(names_of(words, min(k, len(words))) ^ U(k)).view(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), content)), pa.array(np.full(len(grams), k, np.int32)), pa.array(np.arange(len(grams))), pa.array(grams)], names=["content", "k", "at", "gram"])
-
-        grams = kept(lists.mapInArrow(listed, "content long, k int, at long, gram long"), "grams")
-        shared = kept(grams.groupBy("gram").agg(F.count("*").alias("texts")).where("texts > 1"), "shared")
-        # At most a text's own grams in a row.
-        own = grams.join(shared, "gram").groupBy("content", "k").agg(F.collect_list(F.struct("at", "gram", "texts")).alias("grams"))
-
-        def sketched_anew(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            many = dict(WEIGHTED["long"] + WEIGHTED["short"])
-            for b in batches:
-                out = []
-                for k, rows in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                    rows.sort(key=lambda r: r["at"])
-                    gram, n = np.array([r["gram"] for r in rows], dtype=np.int64).view(U), np.array([r["texts"] for r in rows])
-                    out.append(weighted_sketches(gram, n, k, many[k]))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], names=["content", "sketch"])
-
-        found = own.mapInArrow(sketched_anew, "content long, sketch array<long>").join(rest, "content")
-        return kept(found.select("content", "words", F.explode("sketch").alias("bucket")), "crowded")
+        return pairs.where(fits).select(F.least("content", "hub").alias("a"), F.greatest("content", "hub").alias("b")).distinct()
 
     def words_of(needed: DataFrame) -> DataFrame:
         """(content, words with one space between two) of the texts needed, each read from one of its documents."""
@@ -328,25 +276,16 @@ def near_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
         release(pairs, lists)
         return found
 
-    links = verified(candidates(0, kept(members.withColumn("root", F.col("content")).withColumn("linked", F.lit(False)), "open")))
+    rows = kept(members.withColumn("root", F.col("content")).withColumn("linked", F.lit(False)), "open")
+    links = verified(candidates(0, rows))
     classes = components(links, "near")
-
-    def meet(rows: DataFrame, first: int, shared: int = 1) -> DataFrame:
-        """Rounds of hubs, each under another order, until one finds no link; the members still in mixed buckets."""
-        nonlocal links, classes
-        for hub in count(first):
-            rows = open_members(rows, classes)
-            if not rows.limit(1).count():
-                return rows
-            more = verified(candidates(hub, rows, shared))
-            if not more.limit(1).count():
-                return rows
-            links = links.union(more)
-            classes = components(links, "near")
-
-    crowd = meet(members, 1).select("content", "words").distinct()
-    if crowd.limit(1).count():
-        meet(crowded_members(kept(crowd, "crowd")), 0, COMMON)
+    for hub in count(1) if hubs is None else range(1, hubs):
+        rows = open_members(rows, classes)
+        more = verified(candidates(hub, rows))
+        if not more.limit(1).count():
+            break
+        links = links.union(more)
+        classes = components(links, "near")
     degree = links.select(F.col("a").alias("content")).union(links.select("b")).groupBy("content").agg(F.count("*").alias("links"))
     rooted = contents.select("content", "at").join(classes.withColumnRenamed("v", "content"), "content", "left")
     rooted = kept(rooted.join(degree, "content", "left").withColumn("root", F.coalesce("root", "content")), "rooted")
