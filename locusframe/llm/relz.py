@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .anchors import mix
 from .common import table
-from .repeats import Symbols, find_repeats, texts
+from .repeats import Symbols, find_repeats, listed, texts
 from .suffix import BYTE, with_repeats
 
 IS_WORD = np.ones(256, dtype=bool)
@@ -65,15 +65,17 @@ def word_names(body: bytes) -> np.ndarray:
     return word_symbols(body).names
 
 
-def greedy_factors(runs: list | None, window: int) -> list[tuple[int, int, int, int]]:
+def greedy_factors(runs: tuple[np.ndarray, ...], window: int) -> list[tuple[int, int, int, int]]:
     """Runs of found windows (start, n, earlier, earlier_start) -> factors (first word, end, reference, its first word)."""
-    found = sorted((r["start"], r["n"], r["earlier"], r["earlier_start"]) for r in runs or [])
-    reach: list[list[int]] = []  # first window, end of its words, reference, place there: windows found one after another in one reference
-    for start, n, doc, place in found:
-        if reach and reach[-1][1] == start + window - 1 and reach[-1][2] == doc and reach[-1][3] + start - reach[-1][0] == place:
-            reach[-1][1] += n
-        else:
-            reach.append([start, start + n + window - 1, doc, place])
+    start, n, doc, place = (x[np.argsort(runs[0], kind="stable")] for x in runs)
+    if not len(start):
+        return []
+    # Windows that are found one after another in one reference are one stretch.
+    new = np.ones(len(start), dtype=bool)
+    new[1:] = (start[1:] != start[:-1] + n[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] - start[1:] != place[:-1] - start[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(start)) - 1
+    reach = list(zip(start[first].tolist(), (start[last] + n[last] + window - 1).tolist(), doc[first].tolist(), place[first].tolist(), strict=True))
     out, done, i = [], 0, 0
     while i < len(reach):
         # Both starts and ends grow, so the last that begins by the first uncovered word reaches furthest.
@@ -98,8 +100,8 @@ def parse_factors(docs: DataFrame, window: int = 13) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for doc_id, body, runs in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                (data, starts, word_ends), factors, spans = split_words(body), greedy_factors(runs, window), []
+            for doc_id, body, runs in zip(b.column(0).to_pylist(), b.column(1), listed(b.column(2)), strict=True):
+                (data, starts, word_ends), factors, spans = split_words(body.as_py()), greedy_factors(runs, window), []
                 for first, end, *_ in factors:
                     if spans and spans[-1][1] == first:
                         spans[-1][1] = end

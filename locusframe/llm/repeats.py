@@ -71,6 +71,13 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(doc_key().alias("doc"), version_of(body).alias("version"), body.alias("body"), *more)
 
 
+def listed(column: pa.ListArray) -> Iterator[tuple[np.ndarray, ...]]:
+    """The rows of a column of arrays of structs of numbers, each as one numpy array a field; none for null."""
+    at, fields = column.offsets.to_numpy(), [x.to_numpy(zero_copy_only=False) for x in column.values.flatten()]
+    for i in range(len(column)):
+        yield tuple(x[at[i] : at[i + 1]] for x in fields)
+
+
 def _records(columns: list[np.ndarray], schema: str) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
     names = [x.split() for x in schema.split(", ")]
@@ -182,9 +189,8 @@ def _emit(within: bool, of: Callable, last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, n = [], 0
         for b in batches:
-            columns = [b.column(i) for i in range(b.num_columns)]
-            for i in range(b.num_rows):
-                doc, version, *rest = (c[i].as_py() for c in columns)
+            columns = [listed(c) if pa.types.is_list(c.type) else (x.as_py() for x in c) for c in b.columns]
+            for doc, version, *rest in zip(*columns, strict=True):
                 for name, context, check, start, shape in of(*rest):
                     rows.append((name, context, check, np.full(len(name), doc), np.full(len(name), version), start, shape))
                     n += len(name)
@@ -196,9 +202,9 @@ def _emit(within: bool, of: Callable, last: bool):
     return run
 
 
-def _chunks(symbols: Symbols, todo: list, window: int, chunk: int, piece: int = 1 << 20) -> Iterator[tuple[np.ndarray, ...]]:
+def _chunks(symbols: Symbols, todo: tuple, window: int, chunk: int, piece: int = 1 << 20) -> Iterator[tuple[np.ndarray, ...]]:
     """The open anchors of a text (start, shape, rank) in chunks of window starts, aligned to the anchor."""
-    start, shape, rank = (np.array([x[k] for x in todo], dtype=np.int64) for k in ("start", "shape", "rank"))
+    start, shape, rank = (x.astype(np.int64) for x in todo)
     many, offset = shape & 255, shape >> 8
     last, anchor = start + many - 1, start + offset
     # Chunk j of an anchor p: window starts p - chunk * (j + 1) + 1 .. p - chunk * j.
@@ -244,7 +250,7 @@ def find_repeats(docs: DataFrame, symbols: Callable, k: int, window: int, chunks
         if chunk is None:
             break
 
-        def later(body: bytes, todo: list, chunk: int = chunk):
+        def later(body: bytes, todo: tuple, chunk: int = chunk):
             return _chunks(symbols(body), todo, window, chunk)
 
         todo = marks.where("not repeat").groupBy("doc", "version").agg(F.collect_list(F.struct("start", "shape", "rank")).alias("todo"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .anchors import joined
 from .common import table
-from .repeats import Symbols, find_repeats, texts
+from .repeats import Symbols, find_repeats, listed, texts
 
 BYTE = np.random.default_rng(20240501).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -37,11 +37,9 @@ def with_repeats(docs: DataFrame, repeats: DataFrame) -> DataFrame:
     return texts(docs, "doc_id").join(runs, ["doc", "version"], "left").select("doc_id", "body", "runs")
 
 
-def removed_spans(runs: list | None, window: int) -> list[tuple[int, int]]:
-    if not runs:
-        return []
-    start = np.array([r["start"] for r in runs], dtype=np.int64)
-    return joined(start, start + np.array([r["n"] for r in runs], dtype=np.int64) - 1 + window)
+def removed_spans(runs: tuple[np.ndarray, ...], window: int) -> list[tuple[int, int]]:
+    start, n = runs[:2]
+    return joined(start, start + n - 1 + window)
 
 
 def dedup_substrings(docs: DataFrame, window: int = 100) -> DataFrame:
@@ -51,8 +49,8 @@ def dedup_substrings(docs: DataFrame, window: int = 100) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for doc_id, body, runs in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                spans = removed_spans(runs, window)
+            for doc_id, body, runs in zip(b.column(0).to_pylist(), b.column(1), listed(b.column(2)), strict=True):
+                body, spans = body.as_py(), removed_spans(runs, window)
                 ends = [0, *(x for s in spans for x in s), len(body)]
                 kept = b"".join(body[x:y] for x, y in zip(ends[::2], ends[1::2], strict=True)) if spans else body
                 rows.append((doc_id, len(body), len(body) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), ",".join(f"{x}:{y}" for x, y in spans), kept))

@@ -110,11 +110,10 @@ def check_factors(docs, out):
 
 
 def test_greedy_factors():
-    run = lambda *x: dict(zip(("start", "n", "earlier", "earlier_start"), x))
     # Two runs that go on in one reference are one factor; of two that straddle its end the one that reaches furthest is next.
-    runs = [run(0, 3, 7, 40), run(3, 2, 7, 43), run(5, 1, 2, 0), run(6, 4, 3, 9), run(60, 1, 1, 5)]
+    runs = tuple(np.array([(3, 2, 7, 43), (0, 3, 7, 40), (5, 1, 2, 0), (60, 1, 1, 5), (6, 4, 3, 9)]).T)
     assert greedy_factors(runs, 13) == [(0, 17, 7, 40), (17, 22, 3, 20), (60, 73, 1, 5)]
-    assert greedy_factors(None, 13) == []
+    assert greedy_factors(tuple(x[:0] for x in runs), 13) == []
 
 
 def thue_morse(n):
