@@ -32,9 +32,16 @@ def percent_decode(c: Column) -> Column:
 
 
 def natural_key(c: Column) -> Column:
-    """Sorts like the text, case ignored, with runs of digits as numbers (to 20 digits)."""
-    padded = F.regexp_replace(F.lower(c), "([0-9]+)", "0" * 20 + "$1")
-    return F.regexp_replace(padded, "[0-9]*([0-9]{20})", "$1")
+    """Sorts like the text, case ignored, with runs of digits as numbers of any length.
+
+    A run that begins with 0 is read as a fraction: such runs come before other numbers and are ordered digit by digit.
+    """
+
+    def of(run: Column) -> Column:
+        number = F.concat(F.lit("1"), F.lpad(F.length(run).cast("string"), 10, "0"), run)
+        return F.when(run.startswith("0"), F.concat(F.lit("0"), run, F.lit("\x01"))).when(run.rlike("^[0-9]"), number).otherwise(run)
+
+    return F.array_join(F.transform(F.regexp_extract_all(F.lower(c), F.lit("([0-9]+|[^0-9]+)"), F.lit(1)), of), "")
 
 
 def strip_line_ending(c: Column) -> Column:

@@ -104,12 +104,19 @@ def written(df: DataFrame, path: str) -> DataFrame:
 
 
 def replace_folder(spark: SparkSession, new: str, old: str) -> None:
-    """Puts a finished folder in the place of another."""
+    """Puts a finished folder in the place of another, which is moved aside and deleted only then."""
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(old).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(path(old), True)
+    aside = path(f"{old}.{uuid.uuid4().hex}.old")
+    had = fs.exists(path(old))
+    if had and not fs.rename(path(old), aside):
+        raise SourceIoError(f"cannot replace {old}")
     if not fs.rename(path(new), path(old)):
+        if had:
+            fs.rename(aside, path(old))
         raise SourceIoError(f"cannot write {old}")
+    if had:
+        fs.delete(aside, True)
 
 
 def annotation_of(spark: SparkSession, source) -> DataFrame:
@@ -259,6 +266,29 @@ class IndexReader:
         given = self.spark.createDataFrame(list(enumerate(ids)), "pos long, span_id long")
         return s.resolve_spans(given, self.spans)
 
+    def resolve_span_id(self, span_id: int) -> tuple[int, int, int]:
+        """(reference_id, start, length) of one span."""
+        found = self.spans.where(F.col("span_id") == span_id).select(*s.SPAN).first()
+        if found is None:
+            raise InputError(f"no span {span_id}")
+        return tuple(found)
+
+    def resolve_span_ids_with_stats(self, ids: list[int]) -> tuple[DataFrame, LookupStats]:
+        rows = self.resolve_span_ids(ids)
+        touched = self.spans.join(rows.select("block_id").distinct(), "block_id", "left_semi")
+        span = sum((st.start_bytes(touched).agg(F.sum("start_bytes")).first()[0] or 0, st.length_bytes(touched).agg(F.sum("length_bytes")).first()[0] or 0))
+        return rows, LookupStats(0, span)
+
+    def lookup_span_ids_with_stats(self, term: str, match: str = "exact") -> tuple[DataFrame, LookupStats]:
+        """Ids need the postings only."""
+        matcher, rows = self.matcher(term, match), self.lookup_span_ids(term, match)
+        if matcher.empty:
+            return rows, LookupStats()
+        return rows, LookupStats(st.posting_bytes(self.postings.where(matcher.predicate(F.col("term")))).agg(F.sum("posting_bytes")).first()[0] or 0, 0)
+
+    lookup_spans_with_mode, lookup_spans_with_mode_and_stats = lookup_spans, lookup_spans_with_stats
+    lookup_span_ids_with_mode, lookup_span_ids_with_mode_and_stats = lookup_span_ids, lookup_span_ids_with_stats
+
 
 class IndexedSource(IndexReader):
     """Record queries; opening it checks that the index belongs to the source as it is (check_source: by reading all of it)."""
@@ -269,6 +299,8 @@ class IndexedSource(IndexReader):
         super().__init__(spark, index)
         if check_source and sha256_file(source) != self.meta.source_fingerprint:
             raise StaleIndexError(f"{index} was built from another version of {source}")
+        if coordinate_index is None and self.meta.coordinate_index_fingerprint and check_source:
+            coordinate_index = next((p for p in (f"{source}.tbi", f"{source}.csi") if os.path.exists(p)), None)
         if self.meta.coordinate_index_fingerprint and coordinate_index is not None and sha256_file(coordinate_index) != self.meta.coordinate_index_fingerprint:
             raise StaleIndexError(f"{index} was built with another coordinate index")
         if attributes is not None and list(attributes) != self.meta.attributes:
@@ -311,8 +343,9 @@ class IndexedSource(IndexReader):
         stats = q.QueryStats(n["spans"], n["blocks"], n["spans"], unique_candidate_records=found.count(), matching_records=rows.count())
         return rows, stats
 
-    query_name = query_name_with_mode = query_on_contigs = query
-    query_name_with_stats = query_on_contigs_with_stats = query_with_stats
+    query_name = query_with_mode = query_name_with_mode = query_on_contigs = query_on_contigs_with_mode = query
+    query_name_with_stats = query_with_mode_and_stats = query_name_with_mode_and_stats = query_with_stats
+    query_on_contigs_with_stats = query_on_contigs_with_mode_and_stats = query_with_stats
 
 
 def open_index(spark: SparkSession, source, index, coordinate_index=None, **options) -> IndexedSource:

@@ -85,8 +85,9 @@ def inflated(raw: bytes) -> bytes:
 
 
 class _Blocks(InputPartition):
-    def __init__(self, first: int, last: int):
-        self.first, self.last = first, last  # byte offsets of the blocks
+    def __init__(self, first: int, last: int, before: int | None):
+        # Byte offsets of the blocks, and of the last one before them that has data.
+        self.first, self.last, self.before = first, last, before
 
 
 class _Reader(DataSourceReader):
@@ -94,12 +95,15 @@ class _Reader(DataSourceReader):
         self.path, self.split = path, split_bytes
 
     def partitions(self) -> list[InputPartition]:
-        cuts, end = [0], 0
+        cuts, before, full, end = [0], [None], None, 0
         for at, size in blocks(self.path):
             if at - cuts[-1] >= self.split:
                 cuts.append(at)
+                before.append(full)
+            if size > len(EOF_BLOCK):
+                full = at
             end = at + size
-        return [_Blocks(a, b) for a, b in zip(cuts, [*cuts[1:], end], strict=True)]
+        return [_Blocks(a, b, x) for a, b, x in zip(cuts, [*cuts[1:], end], before, strict=True)]
 
     def read(self, partition: InputPartition):
         """Lines that begin in the partition's blocks, in the order of their virtual offsets."""
@@ -118,17 +122,7 @@ class _Reader(DataSourceReader):
         with open(self.path, "rb") as f:
             line, line_at, fresh = b"", partition.first << 16, partition.first == 0
             if not fresh:  # does the block before end a line?
-                before = None
-                for at, size in blocks(self.path):
-                    if at >= partition.first:
-                        break
-                    if size > len(EOF_BLOCK):
-                        before = (at, size)
-                if before:
-                    f.seek(before[0])
-                    fresh = inflated(f.read(before[1])).endswith(b"\n")
-                else:
-                    fresh = True
+                fresh = partition.before is None or next(data(f, partition.before))[1].endswith(b"\n")
             for at, block in data(f, partition.first):
                 begin = 0
                 if at >= partition.last and (not fresh or not line):

@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import io
 import os
+import re
 import struct
 from dataclasses import dataclass, field
 
@@ -132,6 +133,13 @@ def bin_of(start: int, end: int) -> int:
     return 0
 
 
+def whole(text: bytes) -> int:
+    """A decimal number without sign; a leading + is accepted."""
+    if not re.fullmatch(rb"\+?[0-9]+", text):
+        raise ValueError(text)
+    return int(text)
+
+
 class CsiBuilder:
     """Collects records in order; a contig that comes back or a start that falls is an error."""
 
@@ -149,7 +157,7 @@ class CsiBuilder:
         f = line.split(b"\t") if self.fmt == GFF else line.split()
         at = 3 if self.fmt == GFF else 1
         try:
-            name, a, b = f[0].decode("utf-8"), int(f[at]), int(f[at + 1])
+            name, a, b = f[0].decode("utf-8"), whole(f[at]), whole(f[at + 1])
         except (IndexError, ValueError) as e:
             raise InputError(f"{self.fmt.upper()} line {self.line}: invalid coordinates") from e
         start, stop = (a - 1, b) if self.fmt == GFF else (a, max(b, a + 1))

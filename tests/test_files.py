@@ -128,7 +128,7 @@ def test_compress_keeps_bytes_and_skips_headers(tmp_path):
     assert read_coordinate_index(tmp_path / "o.bed.gz.csi").bed
 
 
-@pytest.mark.parametrize("text, said", [("chr1\t5\t9\nchr1\t4\t9\n", "sorted"), ("a\t1\t2\nb\t1\t2\na\t3\t4\n", "sorted"), ("a\t34359738367\t34359738369\n", "CSI limit"), ("a\tx\t2\n", "line 1")])
+@pytest.mark.parametrize("text, said", [("chr1\t5\t9\nchr1\t4\t9\n", "sorted"), ("a\t1\t2\nb\t1\t2\na\t3\t4\n", "sorted"), ("a\t34359738367\t34359738369\n", "CSI limit"), ("a\tx\t2\n", "line 1"), ("a\t1_0\t20\n", "line 1"), ("a\t-1\t20\n", "line 1")])
 def test_compress_rejects(tmp_path, text, said):
     (tmp_path / "a.bed").write_text(text)
     with pytest.raises(InputError, match=said):
@@ -182,3 +182,11 @@ def test_command_line(spark, tmp_path):
     assert "term_count: 2" in out.getvalue()
     with pytest.raises(InputError):
         run(spark, parser().parse_args(["sort", str(tmp_path / "a.bed"), "--compress"]))
+    out = io.BytesIO()
+    run(spark, parser().parse_args(["sort", "--ds", str(tmp_path / "a.bed"), "--compress", "--coordinate-index", str(tmp_path / "o.csi")]), out)
+    assert gzip.decompress(out.getvalue()) == (tmp_path / "a.bed").read_bytes() and (tmp_path / "o.csi").exists()
+    # Defaults: the index beside the file.
+    run(spark, parser().parse_args(["build", str(tmp_path / "a.bed")]), io.StringIO())
+    out = io.StringIO()
+    run(spark, parser().parse_args(["query", str(tmp_path / "a.bed"), "fern"]), out)
+    assert out.getvalue() == "ctgX\t30\t44\tFern\n"

@@ -89,6 +89,19 @@ def test_span_lookup_keeps_order_and_repeats(base):
     assert {r["term"]: r["span_ids"] for r in posting_lists(index.postings).collect()}["tolq"] == [0, 2]
 
 
+def test_names_of_queries(base):
+    _, index = base
+    assert index.resolve_span_id(3) == (1, 6, 24)
+    with pytest.raises(InputError):
+        index.resolve_span_id(4)
+    for query in (index.query_with_mode, index.query_name_with_mode, index.query_on_contigs_with_mode):
+        assert query("to", match="prefix", contigs=["scafB"]).count() == 1
+    assert index.query_on_contigs_with_mode_and_stats("to", match="prefix", contigs=["scafB"])[1].matching_records == 1
+    assert index.lookup_span_ids_with_mode_and_stats("tolq")[1].postings_bytes_decompressed == 3
+    rows, stats = index.resolve_span_ids_with_stats([2, 2])
+    assert rows.count() == 2 and stats.span_bytes_decompressed == 1 + 21
+
+
 def test_lookup_stats(base):
     _, index = base
     rows, stats = index.lookup_spans_with_stats("tolq")
