@@ -37,7 +37,8 @@ MARKS = "doc long, version long, start long, shape int, repeat boolean, earlier
 CROWD, SPREAD = 64, 256
 #: Context and check of rows that only make a name go on; they sort first.
 TOKEN = -(2**63)
-BATCH = 1 << 20
+#: Rows in which repeats are told apart before they are dealt, and rows handed to Spark at once.
+BATCH, PIECE = 1 << 20, 1 << 15
 _STEP, _SIGN = U(0x9E3779B97F4A7C15), np.int64(-(2**63))
 
 
@@ -88,10 +89,13 @@ def _dealt(rows: list[tuple[np.ndarray, ...]], within: bool, last: bool) -> Iter
     """One batch of DEALT: repeats inside the batch are known, crowded names are spread but in the last round."""
     if not rows:
         return
-    name, context, check, doc, version, start, shape = (np.concatenate(x) for x in zip(*rows, strict=True))
+    name, context, check, doc, version, start, shape = columns = [np.concatenate(x) for x in zip(*rows, strict=True)]
+    rows.clear()
     # Equal contexts have equal names.
     by = np.lexsort([start, doc, check, context])
-    name, context, check, doc, version, start, shape = (x[by] for x in (name, context, check, doc, version, start, shape))
+    for x in columns:
+        x[:] = x[by]
+    del by
     new = np.concatenate([[True], (context[1:] != context[:-1]) | (check[1:] != check[:-1])])
     first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
     later = doc > doc[first]
@@ -114,7 +118,8 @@ def _dealt(rows: list[tuple[np.ndarray, ...]], within: bool, last: bool) -> Iter
         context, check = np.concatenate([context, zero + TOKEN]), np.concatenate([check, zero + TOKEN])
         doc, version, start, of_start = (np.concatenate([x, zero]) for x in (doc, version, start, of_start))
         shape, known = np.concatenate([shape, zero]), np.concatenate([known, zero])
-    yield _records([name, context, check, doc, version, start, shape, known, of, of_start], DEALT)
+    for i in range(0, len(name), PIECE):
+        yield _records([x[i : i + PIECE] for x in (name, context, check, doc, version, start, shape, known, of, of_start)], DEALT)
 
 
 def _ranked(within: bool):
