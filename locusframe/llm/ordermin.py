@@ -24,7 +24,6 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +41,8 @@ SHORT = 12
 SKETCHES = {"long": [(5, 16), (3, 40)], "short": [(2, 40)]}
 #: k-mers of a sketch.
 FEW = 2
+#: Bins of a text's word counts, and members of a block of a crowded bucket.
+BINS, BLOCK = 256, 1024
 
 
 def content_names(text: Symbols) -> tuple[int, int]:
@@ -105,6 +106,27 @@ def _least_in_order(ranks: np.ndarray, grams: np.ndarray, own: np.ndarray) -> np
     return mix(name).view(np.int64)
 
 
+def word_bins(words: np.ndarray) -> bytes:
+    """How many of the words fall into each of BINS bins, 255 at most."""
+    return np.minimum(np.bincount((mix(words) >> U(17)).astype(np.int64) & (BINS - 1), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+def possible_pairs(names: np.ndarray, words: np.ndarray, roots: np.ndarray, sides: np.ndarray, bins: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
+    """The pairs of a tile (members in order of words) in different classes that word counts don't rule out; of two blocks, pairs across.
+
+    An edit changes at most one word of each text, so the distance is at least what the counts of the bins differ by.
+    """
+    sums, across = bins.sum(axis=1, dtype=np.int64), bool((sides != sides[0]).any())
+    ends = np.searchsorted(words, np.floor(words / similarity + 1e-9), "right")
+    for i in range(len(names)):
+        later = np.arange(i + 1, ends[i])
+        later = later[(roots[later] != roots[i]) & ((sides[later] != sides[i]) | (not across))]
+        if len(later):
+            least = np.maximum(bins[later], bins[i]).sum(axis=1, dtype=np.int64) - np.minimum(sums[later], sums[i])
+            for j in later[least <= np.floor((1 - similarity) * words[later] + 1e-9)]:
+                yield min(names[i], names[j]), max(names[i], names[j])
+
+
 def banded_distance(a: list, b: list, band: int) -> int:
     """The word edit distance of a and b if it is at most band, else some number above it.
 
@@ -198,7 +220,7 @@ def components(links: DataFrame, what: str) -> DataFrame:
     return roots
 
 
-def near_classes(docs: DataFrame, similarity: float = 0.8, hubs: int | None = 3) -> DataFrame:
+def near_classes(docs: DataFrame, similarity: float = 0.8, hubs: int = 2) -> DataFrame:
     """(doc_id, text) -> one row per document: doc, version (repeats.texts), class_doc, class_version (the class's least), class_size, links."""
     staged: list[DataFrame] = []
 
@@ -207,18 +229,18 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, hubs: int | None = 3)
         return staged[-1]
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
+        kinds = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.binary()]
         for b in batches:
             rows = []
             for doc, version, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 words = word_symbols(body)
-                rows.append((doc, version, *content_names(words), len(words.names), sketches(words.names, similarity)))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["doc", "version", "content", "check", "words", "sketch"])
+                rows.append((doc, version, *content_names(words), len(words.names), sketches(words.names, similarity), word_bins(words.names)))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["doc", "version", "content", "check", "words", "sketch", "bins"])
 
     keyed = texts(docs)
-    all_rows = kept(keyed.mapInArrow(sketched, "doc long, version long, content long, check long, words long, sketch array<long>"), "sketches")
-    contents = all_rows.groupBy("content", "check").agg(F.min(F.struct("doc", "version")).alias("at"), F.first("words").alias("words"), F.first("sketch").alias("sketch"))
+    all_rows = kept(keyed.mapInArrow(sketched, "doc long, version long, content long, check long, words long, sketch array<long>, bins binary"), "sketches")
+    contents = all_rows.groupBy("content", "check").agg(F.min(F.struct("doc", "version")).alias("at"), *(F.first(c).alias(c) for c in ("words", "sketch", "bins")))
     contents = kept(contents, "contents")
     # A vertex is named by 64 bits of its digest; should two share them, both are renamed by all 128.
     same = contents.groupBy("content").agg(F.count("*").alias("texts")).where("texts > 1")
@@ -235,11 +257,11 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, hubs: int | None = 3)
     members = kept(everywhere.join(shared, "bucket"), "members")
 
     def open_members(rows: DataFrame, classes: DataFrame) -> DataFrame:
-        """(content, words, bucket, root, linked): the members of buckets that hold several classes."""
-        rows = rows.drop("root", "linked").join(classes.withColumnRenamed("v", "content"), "content", "left")
+        """(content, words, bucket, root, linked, members): the members of buckets that hold several classes."""
+        rows = rows.drop("root", "linked", "members").join(classes.withColumnRenamed("v", "content"), "content", "left")
         rows = rows.withColumn("linked", F.col("root").isNotNull()).withColumn("root", F.coalesce("root", "content"))
         rows = kept(rows, "classed")
-        mixed = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+        mixed = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).where("low <> high").select("bucket", "members")
         return kept(rows.join(mixed, "bucket"), "open")
 
     def candidates(hub: int, rows: DataFrame) -> DataFrame:
@@ -251,6 +273,41 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, hubs: int | None = 3)
         fits = F.least("words", "hub_words") >= similarity * F.greatest("words", "hub_words") - 1e-9
         return pairs.where(fits).select(F.least("content", "hub").alias("a"), F.greatest("content", "hub").alias("b")).distinct()
 
+    def rest(rows: DataFrame) -> DataFrame:
+        """Pairs of members of a bucket in different classes that their word counts don't rule out, whatever the bucket's size.
+
+        Members are dealt to blocks by a hash; a tile is two blocks of a bucket or one, so a task holds the rows of a tile at once.
+        """
+
+        def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def found(tile: pa.Table) -> pa.RecordBatch:
+                name, words, root, own = (tile[c].to_numpy() for c in ("content", "words", "root", "own"))
+                bins = np.frombuffer(b"".join(tile["bins"].to_pylist()), dtype=np.uint8).reshape(-1, BINS)
+                ends = [*(np.flatnonzero(np.diff(tile["tile"].to_numpy())) + 1), len(name)]
+                pairs = [x for i, j in zip([0, *ends], ends) for x in possible_pairs(name[i:j], words[i:j], root[i:j], own[i:j], bins[i:j], similarity)]  # noqa: B905
+                return pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+            held: list[pa.RecordBatch] = []
+            for b in batches:
+                if not len(b):
+                    continue
+                # The last tile of a batch may go on in the next.
+                names = b.column("tile").to_numpy()
+                cut = int(np.searchsorted(names, names[-1]))
+                if cut or (held and held[-1].column("tile")[0].as_py() != names[0]):
+                    yield found(pa.Table.from_batches([*held, b.slice(0, cut)]))
+                    held = []
+                held.append(b.slice(cut))
+            if held:
+                yield found(pa.Table.from_batches(held))
+
+        parts = F.ceil(F.col("members") / BLOCK).cast("int")
+        dealt = rows.join(contents.select("content", "bins"), "content").withColumn("own", F.pmod(F.xxhash64("content", F.lit("block")), parts).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+        tile = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("tile")
+        dealt = dealt.select(tile, "content", "words", "root", "own", "bins")
+        return dealt.repartition("tile").sortWithinPartitions("tile", "words").mapInArrow(compared, "a long, b long").distinct()
+
     def words_of(needed: DataFrame) -> DataFrame:
         """(content, words with one space between two) of the texts needed, each read from one of its documents."""
         needed = needed.join(contents.select("content", "at.doc", "at.version"), "content")
@@ -279,12 +336,9 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, hubs: int | None = 3)
     rows = kept(members.withColumn("root", F.col("content")).withColumn("linked", F.lit(False)), "open")
     links = verified(candidates(0, rows))
     classes = components(links, "near")
-    for hub in count(1) if hubs is None else range(1, hubs):
+    for hub in range(1, hubs + 1):
         rows = open_members(rows, classes)
-        more = verified(candidates(hub, rows))
-        if not more.limit(1).count():
-            break
-        links = links.union(more)
+        links = links.union(verified(candidates(hub, rows) if hub < hubs else rest(rows)))
         classes = components(links, "near")
     degree = links.select(F.col("a").alias("content")).union(links.select("b")).groupBy("content").agg(F.count("*").alias("links"))
     rooted = contents.select("content", "at").join(classes.withColumnRenamed("v", "content"), "content", "left")

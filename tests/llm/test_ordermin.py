@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from locusframe.llm import ordermin
 from locusframe.llm.ordermin import alike, banded_distance, components, keep_one_of_each, near_duplicates, sketches
 from locusframe.llm.relz import word_names
 
@@ -84,11 +85,8 @@ def test_no_link_is_lost_in_a_large_group_of_copies(spark):
     assert {x["class_id"] for x in out} == {0} and {x["class_size"] for x in out} == {500}
 
 
-def test_crowded_buckets_lose_few_pairs(spark):
-    """Pages of one template, most too far apart to be linked, crowd the buckets of the pairs that are near by chance or because they were made so.
-
-    Comparing all pairs of a bucket would lose none; the operator makes no pairs within a group.
-    """
+def test_crowded_buckets_lose_no_pair(spark):
+    """Pages of one template, most too far apart to be linked, crowd the buckets of the pairs that are near by chance or because they were made so."""
     r = random.Random(5)
     base = [f"w{i}" for i in range(200)]
     page = lambda: [w if r.random() < 0.86 else f"p{r.randrange(10**6)}" for w in base]
@@ -106,11 +104,8 @@ def test_crowded_buckets_lose_few_pairs(spark):
             linked.add((i, j))
     assert len(linked) > 15 and max(map(len, buckets.values())) > 50
     df = frame(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])
-    three, out = ({x["doc_id"]: x["class_id"] for x in near_duplicates(df, hubs=n).collect()} for n in (3, None))
-    print("in one class:", *(f"{sum(x[i] == x[j] for i, j in linked)} of {len(linked)}" for x in (three, out)))
-    assert sum(three[i] == three[j] for i, j in linked) >= 0.8 * len(linked)
-    assert sum(out[i] == out[j] for i, j in linked) >= 0.9 * len(linked)
-    assert sum(out[i] == out[i + 1] for i in range(240, 300, 2) if (i, i + 1) in linked) >= 0.9 * sum((i, i + 1) in linked for i in range(240, 300, 2))
+    out = {x["doc_id"]: x["class_id"] for x in near_duplicates(df).collect()}
+    assert all(out[i] == out[j] for i, j in linked)
     # No class holds what links don't join: each member is near another one.
     groups = {}
     for i, c in out.items():
@@ -146,6 +141,31 @@ def test_complements_are_no_copies(spark):
     assert sorted(x["text"] for x in kept) == ["one text of no id", "quite another one"]
 
 
+@pytest.mark.parametrize("block", [3, 1024])
+def test_tiles_compare_all_members(spark, monkeypatch, block):
+    """Whatever the size of a block, every pair of a bucket that is in different classes is compared; word counts rule out no near pair."""
+    monkeypatch.setattr(ordermin, "BLOCK", block)
+    r = random.Random(11)
+    shared = [f"s{i}" for i in range(30)]
+    texts = [shared + [r.choice("abcdefgh") + str(r.randrange(40)) for _ in range(r.randrange(6, 14))] for _ in range(120)]
+    texts += [edited(r, t, r.randrange(1, 9)) for t in texts[:40]]
+    names = [word_names(" ".join(t).encode()) for t in texts]
+    rows = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+    bins = np.array([np.frombuffer(ordermin.word_bins(names[i]), np.uint8) for i in rows])
+    words, ids = np.array([len(texts[i]) for i in rows]), np.array(rows)
+    near = {(i, j) for i in rows for j in rows if i < j and alike(texts[i], texts[j], 0.8)}
+    assert near <= set(ordermin.possible_pairs(ids, words, ids, np.zeros(len(rows)), bins, 0.8))
+    across = set(ordermin.possible_pairs(ids, words, ids, ids % 2, bins, 0.8))
+    assert {(i, j) for i, j in near if (i + j) % 2} <= across and all((i + j) % 2 for i, j in across)
+    buckets = {}
+    for i, n in enumerate(names):
+        for b in sketches(n).tolist():
+            buckets.setdefault(b, []).append(i)
+    met = {(i, j) for m in buckets.values() for i in m for j in m if i < j}
+    out = {x["doc_id"]: x["class_id"] for x in near_duplicates(frame(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
+    assert near & met and all(out[i] == out[j] for i, j in near & met)
+
+
 def test_many_distinct_words():
     words = [f"w{i}" for i in range(60_000)]
     other = ["first", *words[:30_000], "middle", *words[30_000:], "last"]
