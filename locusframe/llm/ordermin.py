@@ -9,10 +9,11 @@ Sketches are of five words; as edits spread evenly over a text that is just simi
 most are of three, and of two where the longer text of a pair has fewer than ``SHORT`` words (``SKETCHES``). Texts whose
 partners may be on the other side of that length have both kinds.
 
-Equal texts (128-bit digests of their words) are one vertex. Every member of a bucket of equal sketches meets the bucket's hub; then, where members of a
-bucket are still in different classes, the hub under another order, those that have no link yet before others: ``hubs`` rounds,
-or with None as many as find a link. No step makes pairs within a group, so each round has at most as many candidates as there are
-sketches; what it can lose is a pair that has only crowded buckets in common, none of whose hubs is near both (README).
+Equal texts (128-bit digests of their words) are one vertex. Every member of a bucket of equal sketches meets the bucket's hub first, which brings
+groups of copies together. Then, in buckets that still hold several classes, all pairs of members in different classes are compared, in
+tiles of bounded size: counts of words in bins, from which an alignment's least distance follows, rule most of them out, and only pairs that may
+be near are written and aligned. So every pair with an equal sketch that is near ends in one class, however crowded its buckets; ``links``
+counts the links found, not those between members that other links had already brought together. A crowd of n texts that differ costs n * n / 2 comparisons of bins.
 
 Defined cases: null text is empty; empty texts (and those without words) form one class; texts of fewer words than a k-mer
 have one, the whole; very long texts are aligned in memory linear in their words but for their commonest ones; null doc_id
@@ -41,8 +42,8 @@ SHORT = 12
 SKETCHES = {"long": [(5, 16), (3, 40)], "short": [(2, 40)]}
 #: k-mers of a sketch.
 FEW = 2
-#: Bins of a text's word counts, and members of a block of a crowded bucket.
-BINS, BLOCK = 256, 1024
+#: Bins of a text's word counts, members of a block of a crowded bucket, and pairs aligned by a task.
+BINS, BLOCK, PAIRS = 256, 1024, 4096
 
 
 def content_names(text: Symbols) -> tuple[int, int]:
@@ -220,7 +221,7 @@ def components(links: DataFrame, what: str) -> DataFrame:
     return roots
 
 
-def near_classes(docs: DataFrame, similarity: float = 0.8, hubs: int = 2) -> DataFrame:
+def near_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(doc_id, text) -> one row per document: doc, version (repeats.texts), class_doc, class_version (the class's least), class_size, links."""
     staged: list[DataFrame] = []
 
@@ -256,27 +257,28 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, hubs: int = 2) -> Dat
     # Sketches that no other text has are read once.
     members = kept(everywhere.join(shared, "bucket"), "members")
 
-    def open_members(rows: DataFrame, classes: DataFrame) -> DataFrame:
-        """(content, words, bucket, root, linked, members): the members of buckets that hold several classes."""
-        rows = rows.drop("root", "linked", "members").join(classes.withColumnRenamed("v", "content"), "content", "left")
-        rows = rows.withColumn("linked", F.col("root").isNotNull()).withColumn("root", F.coalesce("root", "content"))
-        rows = kept(rows, "classed")
-        mixed = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).where("low <> high").select("bucket", "members")
-        return kept(rows.join(mixed, "bucket"), "open")
-
-    def candidates(hub: int, rows: DataFrame) -> DataFrame:
-        """Members with their bucket's hub, one that has no link yet if there is any, where the two are in different classes."""
-        chosen = F.min(F.struct("linked", F.xxhash64("content", F.lit(hub)).alias("order"), "content", "words", "root")).alias("hub")
-        of_bucket = rows.groupBy("bucket").agg(chosen).select("bucket", "hub.content", "hub.words", "hub.root").toDF("bucket", "hub", "hub_words", "hub_root")
-        pairs = rows.join(kept(of_bucket, "hubs"), "bucket").where("root <> hub_root")
+    def candidates(rows: DataFrame) -> DataFrame:
+        """Members with their bucket's hub, its least name."""
+        hub = F.min(F.struct(F.xxhash64("content").alias("order"), "content", "words")).alias("hub")
+        of_bucket = rows.groupBy("bucket").agg(hub).select("bucket", "hub.content", "hub.words").toDF("bucket", "hub", "hub_words")
+        pairs = rows.join(kept(of_bucket, "hubs"), "bucket").where("content <> hub")
         # Lengths alone can rule a pair out.
         fits = F.least("words", "hub_words") >= similarity * F.greatest("words", "hub_words") - 1e-9
         return pairs.where(fits).select(F.least("content", "hub").alias("a"), F.greatest("content", "hub").alias("b")).distinct()
 
+    def open_members(rows: DataFrame, classes: DataFrame) -> DataFrame:
+        """(content, words, bucket, root, members, major): the members of buckets that hold several classes, with the bucket's size and largest class."""
+        rows = rows.join(classes.withColumnRenamed("v", "content"), "content", "left")
+        rows = kept(rows.withColumn("root", F.coalesce("root", "content")), "classed")
+        of_class = rows.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+        mixed = of_class.groupBy("bucket").agg(F.sum("n").alias("members"), F.max(F.struct("n", "root")).alias("major")).where("members > major.n")
+        return kept(rows.join(mixed, "bucket"), "open")
+
     def rest(rows: DataFrame) -> DataFrame:
         """Pairs of members of a bucket in different classes that their word counts don't rule out, whatever the bucket's size.
 
-        Members are dealt to blocks by a hash; a tile is two blocks of a bucket or one, so a task holds the rows of a tile at once.
+        Members are dealt to blocks by a hash; a tile is one block of a bucket or two, so a task holds the rows of a tile at once. The largest class of a
+        crowded bucket has blocks of its own, that meet those of the others only.
         """
 
         def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,9 +303,13 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, hubs: int = 2) -> Dat
             if held:
                 yield found(pa.Table.from_batches(held))
 
-        parts = F.ceil(F.col("members") / BLOCK).cast("int")
-        dealt = rows.join(contents.select("content", "bins"), "content").withColumn("own", F.pmod(F.xxhash64("content", F.lit("block")), parts).cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+        crowded, hashed = F.col("members") > BLOCK, F.xxhash64("content", F.lit("block"))
+        others = F.when(crowded, F.ceil((F.col("members") - F.col("major.n")) / BLOCK)).otherwise(1)
+        blocks = F.when(crowded, F.ceil(F.col("major.n") / BLOCK)).otherwise(0)
+        of_major = crowded & (F.col("root") == F.col("major.root"))
+        own = F.when(of_major, others + F.pmod(hashed, blocks)).otherwise(F.pmod(hashed, others))
+        met = F.sequence(F.lit(0).cast("long"), F.when(of_major, others).otherwise(others + blocks).cast("long") - 1)
+        dealt = rows.join(contents.select("content", "bins"), "content").withColumns({"own": own.cast("long"), "met": met}).withColumn("other", F.explode("met"))
         tile = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("tile")
         dealt = dealt.select(tile, "content", "words", "root", "own", "bins")
         return dealt.repartition("tile").sortWithinPartitions("tile", "words").mapInArrow(compared, "a long, b long").distinct()
@@ -327,19 +333,17 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, hubs: int = 2) -> Dat
 
         pairs = materialize(pairs, "near-pairs")
         lists = materialize(words_of(pairs.select(F.col("a").alias("content")).union(pairs.select("b")).distinct()), "near-words")
-        first = pairs.join(lists.toDF("a", "list_a"), "a")
+        # Few bytes, but much work: as many tasks as the pairs need, not as their bytes do.
+        spread = pairs.repartition(1 + pairs.count() // PAIRS)
+        first = spread.join(lists.toDF("a", "list_a"), "a")
         full = first.join(lists.toDF("b", "list_b"), "b").select("a", "b", "list_a", "list_b")
         found = kept(full.mapInArrow(check, "a long, b long"), "verified")
         release(pairs, lists)
         return found
 
-    rows = kept(members.withColumn("root", F.col("content")).withColumn("linked", F.lit(False)), "open")
-    links = verified(candidates(0, rows))
+    links = verified(candidates(members))
+    links = links.union(verified(rest(open_members(members, components(links, "near")))))
     classes = components(links, "near")
-    for hub in range(1, hubs + 1):
-        rows = open_members(rows, classes)
-        links = links.union(verified(candidates(hub, rows) if hub < hubs else rest(rows)))
-        classes = components(links, "near")
     degree = links.select(F.col("a").alias("content")).union(links.select("b")).groupBy("content").agg(F.count("*").alias("links"))
     rooted = contents.select("content", "at").join(classes.withColumnRenamed("v", "content"), "content", "left")
     rooted = kept(rooted.join(degree, "content", "left").withColumn("root", F.coalesce("root", "content")), "rooted")
