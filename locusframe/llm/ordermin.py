@@ -11,9 +11,11 @@ partners may be on the other side of that length have both kinds.
 
 Equal texts (128-bit digests of their words) are one vertex. Every member of a bucket of equal sketches meets the bucket's hub first, which brings
 groups of copies together. Then, in buckets that still hold several classes, all pairs of members in different classes are compared, in
-tiles of bounded size: counts of words in bins, from which an alignment's least distance follows, rule most of them out, and only pairs that may
-be near are written and aligned. So every pair with an equal sketch that is near ends in one class, however crowded its buckets; ``links``
-counts the links found, not those between members that other links had already brought together. A crowd of n texts that differ costs n * n / 2 comparisons of bins.
+tiles of bounded size. Counts of words in bins, from which an alignment's least distance follows, rule most of them out; the members that are left over
+meet once more in their tiles, with their words, and are aligned there. No pair is written but the links, and of those only such as join two classes of a tile,
+fewer than it has members. So every pair with an equal sketch that is near ends in one class, however crowded its buckets; ``links``
+counts the links found, not those between members that other links had already brought together. A crowd of n texts that differ costs n * n / 2 comparisons of bins
+(and as many alignments where neither lengths nor words tell the texts apart, only their order), but no more rows than its tiles have members.
 
 Defined cases: null text is empty; empty texts (and those without words) form one class; texts of fewer words than a k-mer
 have one, the whole; very long texts are aligned in memory linear in their words but for their commonest ones; null doc_id
@@ -42,8 +44,8 @@ SHORT = 12
 SKETCHES = {"long": [(5, 16), (3, 40)], "short": [(2, 40)]}
 #: k-mers of a sketch.
 FEW = 2
-#: Bins of a text's word counts, members of a block of a crowded bucket, and pairs aligned by a task.
-BINS, BLOCK, PAIRS = 256, 1024, 4096
+#: Bins of a text's word counts, members of a block of a crowded bucket (one for every ROOM words of a text), and pairs, or members of tiles, aligned by a task.
+BINS, BLOCK, ROOM, PAIRS = 256, 1024, 512, 4096
 
 
 def content_names(text: Symbols) -> tuple[int, int]:
@@ -192,6 +194,63 @@ def alike(a: list, b: list, similarity: float) -> bool:
     return banded_distance(a, b, band) <= band
 
 
+def new_links(names: np.ndarray, words: np.ndarray, roots: np.ndarray, sides: np.ndarray, lists: list[bytes], shared: list[set], bucket: int, similarity: float) -> Iterator[tuple[int, int]]:
+    """Links that join the classes of a tile (members in order of words) as all its near pairs would, fewer than its members.
+
+    ``shared`` has the crowded buckets of each member: a pair that meets in several is aligned in the least of them only.
+    """
+    number: dict[bytes, int] = {}
+    said = [np.array([number.setdefault(w, len(number)) for w in x.split()], dtype=np.int64) for x in lists]
+    bins = np.array([np.minimum(np.bincount(x & (BINS - 1), minlength=BINS), 255) for x in said], dtype=np.uint8)
+    bags = [frozenset(labelled(x, len(number)).tolist()) for x in said]
+    said = [x.tolist() for x in said]
+    above = {r: r for r in roots.tolist()}
+
+    def find(r: int) -> int:
+        while above[r] != r:
+            above[r] = r = above[above[r]]
+        return r
+
+    for i, j in possible_pairs(np.arange(len(names)), words, roots, sides, bins, similarity):
+        a, b = find(int(roots[i])), find(int(roots[j]))
+        if a == b or min(shared[i] & shared[j]) != bucket:
+            continue
+        longer = max(len(said[i]), len(said[j]))
+        # Words of the longer text that the other has not cost an edit each.
+        if longer - len(bags[i] & bags[j]) <= int((1 - similarity) * longer + 1e-9) and alike(said[i], said[j], similarity):
+            above[a] = b
+            yield min(names[i], names[j]), max(names[i], names[j])
+
+
+def labelled(words: np.ndarray, many: int) -> np.ndarray:
+    """The words (numbers below many) with their occurrence numbers, as one number each, in order of words."""
+    words = np.sort(words)
+    return words + many * (np.arange(len(words)) - np.searchsorted(words, words))
+
+
+def whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
+    """Rows of whole tiles, of batches in order of tiles, and where each tile begins and ends."""
+
+    def cut_up(rows: list[pa.RecordBatch]) -> tuple[pa.Table, list[tuple[int, int]]]:
+        table = pa.Table.from_batches(rows)
+        ends = [0, *(np.flatnonzero(np.diff(table["tile"].to_numpy())) + 1).tolist(), len(table)]
+        return table, list(zip(ends[:-1], ends[1:], strict=True))
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not len(b):
+            continue
+        # The last tile of a batch may go on in the next.
+        names = b.column("tile").to_numpy()
+        cut = int(np.searchsorted(names, names[-1]))
+        if cut or (held and held[-1].column("tile")[0].as_py() != names[0]):
+            yield cut_up([*held, b.slice(0, cut)])
+            held = []
+        held.append(b.slice(cut))
+    if held:
+        yield cut_up(held)
+
+
 def components(links: DataFrame, what: str) -> DataFrame:
     """(a, b) -> (v, root) for all linked vertices, root the same within a component.
 
@@ -267,41 +326,38 @@ def near_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
         return pairs.where(fits).select(F.least("content", "hub").alias("a"), F.greatest("content", "hub").alias("b")).distinct()
 
     def open_members(rows: DataFrame, classes: DataFrame) -> DataFrame:
-        """(content, words, bucket, root, members, major): the members of buckets that hold several classes, with the bucket's size and largest class."""
+        """(content, words, bucket, root, members, major): the members of buckets that hold several classes, with the bucket's size and largest class, in members of at most ROOM words."""
         rows = rows.join(classes.withColumnRenamed("v", "content"), "content", "left")
         rows = kept(rows.withColumn("root", F.coalesce("root", "content")), "classed")
-        of_class = rows.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+        of_class = rows.groupBy("bucket", "root").agg(F.sum(F.greatest(F.lit(1), F.ceil(F.col("words") / ROOM))).alias("n"))
         mixed = of_class.groupBy("bucket").agg(F.sum("n").alias("members"), F.max(F.struct("n", "root")).alias("major")).where("members > major.n")
         return kept(rows.join(mixed, "bucket"), "open")
 
     def rest(rows: DataFrame) -> DataFrame:
-        """Pairs of members of a bucket in different classes that their word counts don't rule out, whatever the bucket's size.
+        """Links between members of a bucket in different classes, whatever the bucket's size; a tile has fewer than it has members.
 
         Members are dealt to blocks by a hash; a tile is one block of a bucket or two, so a task holds the rows of a tile at once. The largest class of a
         crowded bucket has blocks of its own, that meet those of the others only.
         """
 
-        def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def found(tile: pa.Table) -> pa.RecordBatch:
-                name, words, root, own = (tile[c].to_numpy() for c in ("content", "words", "root", "own"))
-                bins = np.frombuffer(b"".join(tile["bins"].to_pylist()), dtype=np.uint8).reshape(-1, BINS)
-                ends = [*(np.flatnonzero(np.diff(tile["tile"].to_numpy())) + 1), len(name)]
-                pairs = [x for i, j in zip([0, *ends], ends) for x in possible_pairs(name[i:j], words[i:j], root[i:j], own[i:j], bins[i:j], similarity)]  # noqa: B905
-                return pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-            held: list[pa.RecordBatch] = []
-            for b in batches:
-                if not len(b):
-                    continue
-                # The last tile of a batch may go on in the next.
-                names = b.column("tile").to_numpy()
-                cut = int(np.searchsorted(names, names[-1]))
-                if cut or (held and held[-1].column("tile")[0].as_py() != names[0]):
-                    yield found(pa.Table.from_batches([*held, b.slice(0, cut)]))
-                    held = []
-                held.append(b.slice(cut))
-            if held:
-                yield found(pa.Table.from_batches(held))
+        def left_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows, tiles in whole_tiles(batches):
+                words, root, own = (rows[c].to_numpy() for c in ("words", "root", "own"))
+                bins = np.frombuffer(b"".join(rows["bins"].to_pylist()), dtype=np.uint8).reshape(-1, BINS)
+                near = np.zeros(len(words), dtype=bool)
+                for i, j in tiles:
+                    for pair in possible_pairs(np.arange(i, j), words[i:j], root[i:j], own[i:j], bins[i:j], similarity):
+                        near[list(pair)] = True
+                yield from rows.drop_columns("bins").filter(pa.array(near)).combine_chunks().to_batches()
+
+        def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows, tiles in whole_tiles(batches):
+                name, words, root, own, bucket = (rows[c].to_numpy() for c in ("content", "words", "root", "own", "bucket"))
+                pairs = []
+                for i, j in tiles:
+                    lists, shared = rows["list"][i:j].to_pylist(), [set(x) for x in rows["shared"][i:j].to_pylist()]
+                    pairs += new_links(name[i:j], words[i:j], root[i:j], own[i:j], lists, shared, bucket[i], similarity)
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         crowded, hashed = F.col("members") > BLOCK, F.xxhash64("content", F.lit("block"))
         others = F.when(crowded, F.ceil((F.col("members") - F.col("major.n")) / BLOCK)).otherwise(1)
@@ -311,8 +367,13 @@ def near_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
         met = F.sequence(F.lit(0).cast("long"), F.when(of_major, others).otherwise(others + blocks).cast("long") - 1)
         dealt = rows.join(contents.select("content", "bins"), "content").withColumns({"own": own.cast("long"), "met": met}).withColumn("other", F.explode("met"))
         tile = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("tile")
-        dealt = dealt.select(tile, "content", "words", "root", "own", "bins")
-        return dealt.repartition("tile").sortWithinPartitions("tile", "words").mapInArrow(compared, "a long, b long").distinct()
+        dealt = dealt.select(tile, "bucket", "content", "words", "root", "own", "bins").repartition("tile").sortWithinPartitions("tile", "words")
+        left = kept(dealt.mapInArrow(left_over, "tile long, bucket long, content long, words long, root long, own long"), "left")
+        # Members that may be near one another are left over in all buckets that they share.
+        lists = words_of(left.select("content").distinct()).join(left.groupBy("content").agg(F.collect_set("bucket").alias("shared")), "content")
+        # Few bytes, but much work.
+        met_again = left.join(kept(lists, "left-words"), "content").repartition(1 + left.count() // PAIRS, "tile").sortWithinPartitions("tile", "words", "content")
+        return kept(met_again.mapInArrow(aligned, "a long, b long").distinct(), "joined")
 
     def words_of(needed: DataFrame) -> DataFrame:
         """(content, words with one space between two) of the texts needed, each read from one of its documents."""
@@ -342,7 +403,7 @@ def near_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
         return found
 
     links = verified(candidates(members))
-    links = links.union(verified(rest(open_members(members, components(links, "near")))))
+    links = links.union(rest(open_members(members, components(links, "near"))))
     classes = components(links, "near")
     degree = links.select(F.col("a").alias("content")).union(links.select("b")).groupBy("content").agg(F.count("*").alias("links"))
     rooted = contents.select("content", "at").join(classes.withColumnRenamed("v", "content"), "content", "left")

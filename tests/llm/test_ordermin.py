@@ -166,6 +166,53 @@ def test_tiles_compare_all_members(spark, monkeypatch, block):
     assert near & met and all(out[i] == out[j] for i, j in near & met)
 
 
+def test_rows_do_not_grow_with_the_square_of_a_crowd(spark, monkeypatch):
+    """Texts of the same words in other orders, whose pairs no count of words rules out: what is written grows with the texts, and near ones are found."""
+    r = random.Random(13)
+    head, tail = [f"s{i}" for i in range(40)], [f"t{i}" for i in range(20)]
+    texts = [head + r.sample(tail, 20) for _ in range(300)]
+    for t in texts[:20]:
+        texts.append([*t[:40], *t[44:], *t[40:44]])
+    written = {}
+
+    def noted(df, what, write=ordermin.materialize):
+        out = write(df, what)
+        written[what] = max(written.get(what, 0), out.count())
+        return out
+
+    monkeypatch.setattr(ordermin, "materialize", noted)
+    out = {x["doc_id"]: x["class_id"] for x in near_duplicates(frame(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
+    assert all(out[i] == out[300 + i] for i in range(20))
+    buckets = {}
+    for i, t in enumerate(texts):
+        for b in sketches(word_names(" ".join(t).encode())).tolist():
+            buckets.setdefault(b, []).append(i)
+    met = {(i, j) for m in buckets.values() for i in m for j in m if i < j}
+    near = [(i, j) for i, j in met if alike(texts[i], texts[j], 0.8)]
+    assert all(out[i] == out[j] for i, j in near)
+    # 56 sketches a text; without its hubs, the crowd has more pairs than that.
+    assert len(met) > 2 * 56 * len(texts) > 2 * max(written.values()), written
+
+
+def test_links_of_a_tile_join_its_classes(spark):
+    """Fewer links than members, whatever the near pairs; a pair is aligned in the least of its buckets; counts of words don't tell orders apart."""
+    r = random.Random(17)
+    base = [f"w{i}" for i in range(40)] + ["again"] * 300
+    texts = sorted((edited(r, base, r.randrange(18)) for _ in range(40)), key=len) + [[f"x{i}" for i in range(400)]]
+    lists, n = [" ".join(t).encode() for t in texts], len(texts)
+    words, ids = np.array([len(t) for t in texts]), np.arange(n) + 100
+    found = lambda shared, bucket: list(ordermin.new_links(ids, words, ids, np.zeros(n), lists, shared, bucket, 0.95))
+    links, above = found([{3, 7}] * n, 3), {i: i for i in range(n)}
+    for a, b in links:
+        a, b = above[a - 100], above[b - 100]
+        assert a != b
+        above = {k: a if v == b else v for k, v in above.items()}
+    near = [(i, j) for i in range(n) for j in range(i) if alike(texts[i], texts[j], 0.95)]
+    assert len(near) > n > len(links) and all(above[i] == above[j] for i, j in near)
+    assert all(alike(texts[a - 100], texts[b - 100], 0.95) for a, b in links)
+    assert found([{3, 7}] * n, 7) == []
+
+
 def test_many_distinct_words():
     words = [f"w{i}" for i in range(60_000)]
     other = ["first", *words[:30_000], "middle", *words[30_000:], "last"]
