@@ -75,6 +75,29 @@ def test_long_conversations_come_in_parts(spark, size, context):
         assert sorted(found, key=str) == sorted((tuple(x) for x in rotate_perspectives(df).collect()), key=str)
 
 
+@pytest.mark.parametrize("silent", [False, True])
+def test_context_of_several_parts_and_silent_participants(spark, silent):
+    """Context longer than a part is whole; with silent, each participant has all parts of the conversation, whether it speaks there or not."""
+    talks = {
+        1: [("ann", "hi"), ("system", "be kind"), ("zed", "once")] + [("ann" if i % 3 else "bob", str(i)) for i in range(30)],
+        None: [("ann", "a")] * 3 + [("system", str(i)) for i in range(9)] + [("bob", "b")], 2: [("system", "alone")] * 5,
+    }
+    df = spark.createDataFrame([(c, i, *t, "") for c, turns in talks.items() for i, t in enumerate(turns)], CONVERSATIONS)
+    out = {}
+    for x in rotate_perspectives(df, 4, 10, silent=silent).collect():
+        out.setdefault(x["conv_id"], {})[x["part"], x["perspective"]] = (x["rendered"], x["mask"], x["n_turns"], x["n_context"], x["n_targets"])
+    assert out.keys() == {1, None}
+    for conv, found in out.items():
+        turns, spoken = talks[conv], in_parts(talks[conv], 4, 10)
+        head = next(i for i, t in enumerate(turns) if t[0] == "system")
+        for k in range(0, len(turns), 4) if silent else ():
+            before, own = turns[max(0, k - 10) : k], turns[k : k + 4]
+            before = [turns[head], *before] if head < k - 10 else before
+            for who in {r for r, _ in turns} - {"system"}:
+                spoken.setdefault((k // 4, who), (rendered(before + own, who)[0], "", len(own), len(before), 0))
+        assert found == spoken
+
+
 def test_no_conversations(spark):
     assert rotate_perspectives(spark.createDataFrame([], CONVERSATIONS)).count() == 0
 
